@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import time
 import uuid
 from collections.abc import Callable, Iterable, Iterator
 
@@ -38,16 +39,22 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
 
 
 def release(spark: SparkSession) -> None:
-    """Let Spark's cleaner delete the shuffle files of phases that are written and done."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    """Let Spark's cleaner delete the shuffle files of phases that are written and done.
+
+    The cleaner acts on what the driver's collectors have found unused. The first round frees the
+    plans, the second the shuffles that only those held.
+    """
+    for _ in range(2):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.4)
 
 
 def read_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
-def shuffle_parts(df: DataFrame, bytes_each: int = 8 << 20) -> int:
+def shuffle_parts(df: DataFrame, bytes_each: int = 6 << 20) -> int:
     """As many partitions as keep each near bytes_each of the input, at least the session's number."""
     size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))

@@ -29,7 +29,7 @@ from .common import NO_ID, materialize, release, shuffle_parts, slices
 
 BASE = 0x9E3779B97F4A7C15 | 5
 STEP = 1 << 18  #: symbols hashed together, but for longer documents
-FLUSH = 1 << 20  #: runs that a map task gathers before it sends them
+FLUSH = 400_000  #: runs that a map task gathers before it sends them
 SETTLED, OPEN = 0, 1
 
 #: Symbols of texts: their hashes, and how many symbols each text has.
@@ -137,7 +137,7 @@ def runs(symbols: np.ndarray, counts: np.ndarray, shape: Shape) -> dict[str, np.
 
 RUN = (("key", "<u4"), ("content", "<u8"), ("left", "u1"), ("right", "u1"), ("k", "<i8"), ("h", "<i4"), ("p", "<u4"), ("n", "u1"))
 WINDOW = (("content", "<u8"), ("k", "<i8"), ("h", "<i4"), ("p", "<u4"))
-SPAN = (("k", "<i8"), ("h", "<i4"), ("p", "<u4"), ("n", "u1"), ("kind", "u1"))
+SPAN = (("k", "<i8"), ("h", "<i4"), ("p", "<u4"), ("n", "<u4"), ("kind", "u1"))
 
 
 def pack(columns: dict[str, np.ndarray], kind: tuple) -> bytes:
@@ -204,7 +204,7 @@ def blobs_by_part(x: dict[str, np.ndarray], part_of: np.ndarray, parts: int, kin
 
 
 def span_rows(x: dict[str, np.ndarray], kind: int) -> dict[str, np.ndarray]:
-    return {"k": x["k"], "h": x["h"], "p": x["p"], "n": x["n"] if "n" in x else np.ones(len(x["k"]), np.uint8), "kind": np.full(len(x["k"]), kind, np.uint8)}
+    return {"k": x["k"], "h": x["h"], "p": x["p"], "n": x["n"].astype(np.uint32) if "n" in x else np.ones(len(x["k"]), np.uint32), "kind": np.full(len(x["k"]), kind, np.uint8)}
 
 
 SENT = "part int, settled boolean, blob binary"
@@ -248,19 +248,42 @@ def send_runs(shape: Shape, parts: int) -> Callable:
     return run
 
 
-SPANS = "k long, h int, blob binary"
+TO_DOCUMENTS = "part int, blob binary"
 
 
-def spans_by_document(x: dict[str, np.ndarray]) -> Iterator[pa.RecordBatch]:
-    """Spans grouped by document, some documents at once."""
-    order = np.lexsort((x["p"], x["h"], x["k"]))
-    x = pick(x, order)
-    new = np.ones(len(order), bool)
-    new[1:] = (x["k"][1:] != x["k"][:-1]) | (x["h"][1:] != x["h"][:-1])
-    edge = np.append(np.flatnonzero(new), len(order))
-    for i in range(0, len(edge) - 1, 4096):
-        at = edge[i : i + 4097]
-        yield pa.RecordBatch.from_arrays([pa.array(x["k"][at[:-1]]), pa.array(x["h"][at[:-1]]), pa.array([pack(pick(x, slice(a, b)), SPAN) for a, b in zip(at[:-1], at[1:], strict=True)], pa.binary())], ["k", "h", "blob"])
+def by_document_part(x: dict[str, np.ndarray], parts: int) -> Iterator[pa.RecordBatch]:
+    """Spans as one blob for each part that documents are dealt to: as many rows as parts at most."""
+    if len(x["k"]):
+        part_of = (mix(x["k"].astype(np.uint64) ^ (x["h"].astype(np.uint64) << np.uint64(32))) % np.uint64(parts)).astype(np.int32)
+        rows = list(blobs_by_part(x, part_of, parts, SPAN))
+        for i in range(0, len(rows), 64):
+            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows[i : i + 64]], pa.int32()), pa.array([r[1] for r in rows[i : i + 64]], pa.binary())], ["part", "blob"])
+
+
+SPANS = "k long, h int, settled binary, open binary"
+
+
+def gather(batches):
+    """One part of documents: a row for each that has spans; settled ones that touch become one."""
+    x = unpack([b for batch in batches for b in batch.column("blob").to_pylist()], SPAN)
+    if not len(x["k"]):
+        return
+    x = pick(x, np.lexsort((x["p"], x["kind"], x["h"], x["k"])))
+    end = x["p"].astype(np.int64) + x["n"]
+    same = np.zeros(len(end), bool)
+    same[1:] = (x["k"][1:] == x["k"][:-1]) & (x["h"][1:] == x["h"][:-1])
+    touch = same.copy()
+    touch[1:] &= (x["kind"][1:] == SETTLED) & (x["kind"][:-1] == SETTLED) & (x["p"][1:] == end[:-1])
+    head = np.flatnonzero(~touch)
+    n = end[np.append(head[1:], len(end)) - 1] - x["p"][head]
+    same = same[head]
+    x = pick(x, head) | {"n": n.astype(np.uint32)}
+    edge = np.append(np.flatnonzero(~same), len(head))
+    split = edge[:-1] + np.add.reduceat((x["kind"] == SETTLED).astype(np.int64), edge[:-1])
+    blob = lambda a, b: pack(pick(x, slice(a, b)), SPAN) if a < b else None
+    for i in range(0, len(split), 4096):
+        a, m, b = edge[i : i + 4096][: len(split) - i], split[i : i + 4096], edge[i + 1 : i + 4097]
+        yield pa.RecordBatch.from_arrays([pa.array(x["k"][a]), pa.array(x["h"][a]), pa.array([blob(*y) for y in zip(a, m, strict=True)], pa.binary()), pa.array([blob(*y) for y in zip(m, b, strict=True)], pa.binary())], ["k", "h", "settled", "open"])
 
 
 def received(batches) -> tuple[list[bytes], list[bytes]]:
@@ -271,19 +294,21 @@ def received(batches) -> tuple[list[bytes], list[bytes]]:
     return open_, known
 
 
-def meet_runs(batches):
+def meet_runs(parts: int) -> Callable:
     """One partition of runs: those whose content a smaller document has, and those that stay open."""
-    blobs, known = received(batches)
-    out = [unpack(known, SPAN)]
-    if blobs:
-        x = unpack(blobs, RUN)
-        order, smaller = settle(x, ("key", "content"))
-        out.append(span_rows(pick(x, order[smaller]), SETTLED))
-        x = pick(x, order[~smaller])
-        out.append(span_rows(pick(x, np.flatnonzero(groups_of_many(x, ("key", "left")) | groups_of_many(x, ("key", "right")))), OPEN))
-    x = joined(out)
-    if len(x["k"]):
-        yield from spans_by_document(x)
+
+    def run(batches):
+        blobs, known = received(batches)
+        out = [unpack(known, SPAN)]
+        if blobs:
+            x = unpack(blobs, RUN)
+            order, smaller = settle(x, ("key", "content"))
+            out.append(span_rows(pick(x, order[smaller]), SETTLED))
+            x = pick(x, order[~smaller])
+            out.append(span_rows(pick(x, np.flatnonzero(groups_of_many(x, ("key", "left")) | groups_of_many(x, ("key", "right")))), OPEN))
+        yield from by_document_part(joined(out), parts)
+
+    return run
 
 
 def send_windows(shape: Shape, parts: int) -> Callable:
@@ -307,8 +332,7 @@ def send_windows(shape: Shape, parts: int) -> Callable:
                 first = np.concatenate(([0], np.cumsum(counts)))
                 names = windows(Sums(symbols), shape) if first[-1] >= shape.length else np.zeros(0, np.uint64)
                 for i in range(part.num_rows):
-                    spans = unpack(batch.column("blobs")[at + i].as_py(), SPAN)
-                    spans = pick(spans, spans["kind"] == OPEN)
+                    spans = unpack([batch.column("open")[at + i].as_py()], SPAN)
                     n = spans["n"].astype(np.int64)
                     p = np.repeat(spans["p"].astype(np.int64) - np.cumsum(n) + n, n) + np.arange(n.sum())
                     k, h = part.column("k")[i].as_py(), part.column("h")[i].as_py()
@@ -324,21 +348,19 @@ def send_windows(shape: Shape, parts: int) -> Callable:
     return run
 
 
-def meet_windows(batches):
+def meet_windows(parts: int) -> Callable:
     """One partition of windows: those that a smaller document has."""
-    blobs, known = received(batches)
-    out = [unpack(known, SPAN)]
-    if blobs:
-        x = unpack(blobs, WINDOW)
-        order, smaller = settle(x, ("content",))
-        out.append(span_rows(pick(x, order[smaller]), SETTLED))
-    x = joined(out)
-    if len(x["k"]):
-        yield from spans_by_document(x)
 
+    def run(batches):
+        blobs, known = received(batches)
+        out = [unpack(known, SPAN)]
+        if blobs:
+            x = unpack(blobs, WINDOW)
+            order, smaller = settle(x, ("content",))
+            out.append(span_rows(pick(x, order[smaller]), SETTLED))
+        yield from by_document_part(joined(out), parts)
 
-def has_open(blob) -> bool:
-    return bool((unpack([blob], SPAN)["kind"] == OPEN).any())
+    return run
 
 
 def keyed(docs: DataFrame, keep: list[str]) -> DataFrame:
@@ -349,23 +371,18 @@ def keyed(docs: DataFrame, keep: list[str]) -> DataFrame:
 def repeated_windows(docs: DataFrame, shape: Shape) -> DataFrame:
     """k, h and blobs of docs' rows that have windows of a smaller document: settled spans of window starts."""
     spark, rows, parts = docs.sparkSession, keyed(docs, []), shuffle_parts(docs)
-    met = rows.mapInArrow(send_runs(shape, parts), SENT).repartitionById(parts, F.col("part")).mapInArrow(meet_runs, SPANS)
-    met = materialize(met.select("k", "h", "blob", open_runs(F.col("blob")).alias("open")), "runs")
-    release(spark)
-    asked = met.where("open").groupBy("k", "h").agg(F.collect_list("blob").alias("blobs"))
-    texts = rows.join(asked, ["k", "h"]).select("k", "h", "text", "blobs")
-    more = texts.mapInArrow(send_windows(shape, parts), SENT).repartitionById(parts, F.col("part")).mapInArrow(meet_windows, SPANS)
-    more = materialize(more, "windows")
-    release(spark)
-    return met.select("k", "h", "blob").unionByName(more).groupBy("k", "h").agg(F.collect_list("blob").alias("blobs"))
-
 
-def open_runs(blob):
-    @F.pandas_udf("boolean")
-    def check(x):
-        return x.map(has_open)
+    def exchange(sent: DataFrame, meet: Callable, name: str) -> DataFrame:
+        met = sent.repartitionById(parts, F.col("part")).mapInArrow(meet, TO_DOCUMENTS)
+        return materialize(met.repartitionById(parts, F.col("part")).mapInArrow(gather, SPANS), name)
 
-    return check(blob)
+    met = exchange(rows.mapInArrow(send_runs(shape, parts), SENT), meet_runs(parts), "runs")
+    release(spark)
+    texts = rows.join(met.where(F.col("open").isNotNull()).select("k", "h", "open"), ["k", "h"]).select("k", "h", "text", "open")
+    more = exchange(texts.mapInArrow(send_windows(shape, parts), SENT), meet_windows(parts), "windows")
+    release(spark)
+    settled = met.where(F.col("settled").isNotNull()).select("k", "h", "settled").unionByName(more.select("k", "h", "settled"))
+    return settled.groupBy("k", "h").agg(F.collect_list("settled").alias("blobs"))
 
 
 def covered(blobs: list[bytes] | None, count: int, length: int) -> np.ndarray:
@@ -373,9 +390,9 @@ def covered(blobs: list[bytes] | None, count: int, length: int) -> np.ndarray:
     change = np.zeros(count + 1, np.int64)
     if blobs:
         spans = unpack(blobs, SPAN)
-        spans = pick(spans, spans["kind"] == SETTLED)
-        np.add.at(change, spans["p"].astype(np.int64), 1)
-        np.add.at(change, spans["p"].astype(np.int64) + spans["n"] + (length - 1), -1)
+        start = spans["p"].astype(np.int64)
+        np.add.at(change, start, 1)
+        np.add.at(change, start + spans["n"] + (length - 1), -1)
     return np.cumsum(change[:-1]) > 0
 
 
