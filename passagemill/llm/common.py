@@ -55,10 +55,14 @@ def read_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def shuffle_parts(df: DataFrame, bytes_each: int = 6 << 20) -> int:
-    """As many partitions as keep each near bytes_each of the input, at least the session's number."""
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    """As many partitions as keep each near bytes_each of the tables that df reads, at least the session's number.
+
+    A source that doesn't know its size counts as none: Spark gives it the largest number there is.
+    """
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    sizes = [int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size())]
     least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return max(least, min(size // bytes_each, 200_000))
+    return max(least, min(sum(x for x in sizes if x < 1 << 56) // bytes_each, 200_000))
 
 
 def text_of(name: str = "text") -> Column:
