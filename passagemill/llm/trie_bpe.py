@@ -20,10 +20,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import map_texts, read_documents, with_fields
-from .word_bpe import END, WordBpe, load
+from .word_bpe import END, WordBpe, load, token_table
 
 TOKENIZER = "word_bpe_49k.json"
-CACHED_WORDS = 600_000
+CACHED_WORDS = 200_000
 pack = [struct.Struct(f"<{n}i").pack for n in range(16)]
 
 
@@ -126,7 +126,7 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
     schema = with_fields(encoded, encoded.columns, "decoded string")
 
     def run(batches):
-        token = load(path).token.__getitem__
+        token = token_table(path).__getitem__
         for batch in batches:
             for start in range(0, batch.num_rows, 256):
                 part = batch.slice(start, 256)

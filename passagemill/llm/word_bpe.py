@@ -21,6 +21,7 @@ import regex
 WHITE = r"\t-\r \x85\xa0  -     　"
 PRETOKEN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^" + WHITE + r"\p{L}\p{N}]+")
 PRETOKEN_ASCII = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\t-\r a-z0-9]+")
+REMEMBERED = 400_000  #: transitions and token pairs that a worker keeps, each
 END = 256  #: the symbol behind the last byte of a word
 
 
@@ -94,6 +95,8 @@ class WordBpe:
         key = state * 257 + symbol
         to = self.next.get(key)
         if to is None:
+            if len(self.next) > REMEMBERED:
+                self.next.clear()
             at = state
             while at and symbol not in self.children[at]:
                 at = self.fail[at]
@@ -126,7 +129,7 @@ class WordBpe:
         key = last << 16 | token
         known = self._fits.get(key)
         if known is None:
-            if len(self._fits) > 2_000_000:
+            if len(self._fits) > REMEMBERED:
                 self._fits.clear()
             known = self._fits[key] = self.whole(token) and self._apart(last, token, 1 << 40)
         return known
@@ -159,3 +162,15 @@ def load(path: str) -> WordBpe:
     gc.freeze()  # its many small tables hold no cycles, and neither do tries: the cycle collector need not walk them
     gc.set_threshold(1_000_000, 100, 100)
     return made
+
+
+@functools.lru_cache(maxsize=2)
+def token_table(path: str) -> list[str]:
+    """Tokens by id, without the automaton: all that decoding needs."""
+    with open(path, encoding="utf-8") as f:
+        spec = json.load(f)
+    ids = spec["model"]["vocab"] | {x["content"]: x["id"] for x in spec["added_tokens"]}
+    out = [""] * (max(ids.values()) + 1)
+    for text, i in ids.items():
+        out[i] = text
+    return out
