@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import gc
 import tempfile
 import time
@@ -91,10 +93,17 @@ def with_fields(df: DataFrame, names: list[str], ddl: str) -> T.StructType:
     return T.StructType([*(df.schema[c] for c in names), *T.StructType.fromDDL(ddl)])
 
 
-def map_texts(df: DataFrame, fn: Callable[[list[str]], Iterable], schema: str, keep: list[str], most_bytes: int = 1 << 20) -> DataFrame:
+def give_back() -> None:
+    """Return freed memory to the system: an idle worker shares its executor's memory with the next stage."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # where the C library has no such call
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def map_texts(df: DataFrame, fn: Callable[[list[str]], Iterable], schema: str, keep: list[str], most_bytes: int = 1 << 20, after: Callable[[], None] | None = None) -> DataFrame:
     """keep's columns of df, then what fn returns for each text: columns as lists or arrays.
 
-    fn gets runs of texts of about most_bytes, so that memory doesn't follow Spark's batch size.
+    after is called when a partition is done. fn gets runs of texts of about most_bytes, so that memory doesn't follow Spark's batch size.
     """
     out = with_fields(df, keep, schema)
     names = out.fieldNames()
@@ -104,5 +113,8 @@ def map_texts(df: DataFrame, fn: Callable[[list[str]], Iterable], schema: str, k
             for part in slices(batch, "text", most_bytes):
                 made = fn(["" if x is None else x for x in part.column("text").to_pylist()])
                 yield pa.RecordBatch.from_arrays([part.column(c) for c in keep] + [x if isinstance(x, pa.Array) else pa.array(x) for x in made], names)
+        if after:
+            after()
+            give_back()
 
     return df.select(*keep, F.col("text")).mapInArrow(run, out)

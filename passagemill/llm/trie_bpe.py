@@ -118,7 +118,12 @@ def encode(docs: DataFrame, keep: list[str], path: str) -> DataFrame:
         ends = np.cumsum([0, *(len(x) // 4 for x in packed)], dtype=np.int32)
         return [pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(packed), np.int32)))]
 
-    return map_texts(docs, ids, "token_ids array<int>", keep)
+    def forget() -> None:
+        if path in _encoders:
+            _encoders[path].cache.clear()
+            _encoders[path].bpe.forget()
+
+    return map_texts(docs, ids, "token_ids array<int>", keep, after=forget)
 
 
 def decode(encoded: DataFrame, path: str) -> DataFrame:

@@ -90,6 +90,11 @@ class WordBpe:
                 queue.append(to)
         self.next: dict[int, int] = {}
 
+    def forget(self) -> None:
+        """Drop what texts made it remember."""
+        self.next.clear()
+        self._fits.clear()
+
     def step(self, state: int, symbol: int) -> int:
         """The automaton's next state."""
         key = state * 257 + symbol
