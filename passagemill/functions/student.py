@@ -6,6 +6,7 @@ import math
 
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def _beta_fraction(a: float, b: float, x: float) -> float:
@@ -56,12 +57,12 @@ def t_quantile(p: float, df: float) -> float:
     return (low + high) / 2
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def t_tail(t: pd.Series, df: pd.Series) -> pd.Series:
     return pd.Series([None if pd.isna(a) or pd.isna(b) or b < 1 else t_upper_tail(float(a), float(b)) for a, b in zip(t, df, strict=True)], dtype="float64")
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def t_critical(p: pd.Series, df: pd.Series) -> pd.Series:
     known: dict[tuple[float, float], float] = {}
     return pd.Series([None if pd.isna(b) or b < 1 else known.setdefault((a, b), t_quantile(float(a), float(b))) for a, b in zip(p, df, strict=True)], dtype="float64")

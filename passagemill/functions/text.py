@@ -5,6 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 TOKEN = r"[\p{L}\p{N}_]+"
 #: Function words that count as stop words. A parameter: pass another list where one is at hand.
@@ -136,7 +137,7 @@ def porter_stem(w: str) -> str:
     return w
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def stem(terms: pd.Series) -> pd.Series:
     """Stems of terms; each distinct term of a batch is stemmed once."""
     return terms.map({t: porter_stem(t) for t in terms.dropna().unique()})
