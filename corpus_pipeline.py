@@ -45,7 +45,7 @@ def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, token_ids, n_tokens, and digests of the ids and of the decoded text."""
     path = public_tokenizers.path(trie_bpe.TOKENIZER)
-    return trie_bpe.digests(trie_bpe.decode(trie_bpe.encode(docs, ["doc_id"], path), path), "token_ids")
+    return trie_bpe.digests(trie_bpe.roundtrip(docs, ["doc_id"], path), "token_ids")
 
 
 STAGES = [("language_id", language_id), ("line_dedup", dedup_lines), ("jaccard_join", near_duplicates), ("decontaminate", decontaminated), ("bpe", encode)]

@@ -110,20 +110,26 @@ def _encoder(path: str) -> TrieEncoder:
     return _encoders[path]
 
 
-def encode(docs: DataFrame, keep: list[str], path: str) -> DataFrame:
-    """keep's columns and token_ids array<int> of the column text."""
+def _ids(path: str, texts: list[str]) -> pa.ListArray:
+    packed = _encoder(path).encode(texts)
+    ends = np.cumsum([0, *(len(x) // 4 for x in packed)], dtype=np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(packed), np.int32)))
+
 
-    def ids(texts: list[str]) -> list:
-        packed = _encoder(path).encode(texts)
-        ends = np.cumsum([0, *(len(x) // 4 for x in packed)], dtype=np.int32)
-        return [pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(packed), np.int32)))]
+def _decoded(token: list[str], ids: pa.ListArray) -> pa.StringArray:
+    show = token.__getitem__
+    return pa.array([" ".join(map(show, x.values.to_numpy().tolist())) if x.is_valid else None for x in ids], pa.string())
 
-    def forget() -> None:
-        if path in _encoders:
-            _encoders[path].cache.clear()
-            _encoders[path].bpe.forget()
 
-    return map_texts(docs, ids, "token_ids array<int>", keep, after=forget)
+def _forget(path: str) -> None:
+    if path in _encoders:
+        _encoders[path].cache.clear()
+        _encoders[path].bpe.forget()
+
+
+def encode(docs: DataFrame, keep: list[str], path: str) -> DataFrame:
+    """keep's columns and token_ids array<int> of the column text."""
+    return map_texts(docs, lambda texts: [_ids(path, texts)], "token_ids array<int>", keep, after=lambda: _forget(path))
 
 
 def decode(encoded: DataFrame, path: str) -> DataFrame:
@@ -131,17 +137,24 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
     schema = with_fields(encoded, encoded.columns, "decoded string")
 
     def run(batches):
-        token = token_table(path).__getitem__
         for batch in batches:
             for start in range(0, batch.num_rows, 256):
                 part = batch.slice(start, 256)
-                ids = part.column("token_ids")
-                made = [" ".join(map(token, x.values.to_numpy().tolist())) if x.is_valid else None for x in ids]
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(made, pa.string())], [*part.schema.names, "decoded"])
+                yield pa.RecordBatch.from_arrays([*part.columns, _decoded(token_table(path), part.column("token_ids"))], [*part.schema.names, "decoded"])
 
     return encoded.mapInArrow(run, schema)
 
 
+def roundtrip(docs: DataFrame, keep: list[str], path: str) -> DataFrame:
+    """What decode(encode(docs, keep, path), path) gives, by one Python worker for each core instead of two."""
+
+    def both(texts: list[str]) -> list:
+        ids = _ids(path, texts)
+        return [ids, _decoded(_encoder(path).bpe.token, ids)]
+
+    return map_texts(docs, both, "token_ids array<int>, decoded string", keep, after=lambda: _forget(path))
+
+
 def digests(decoded: DataFrame, *more: str) -> DataFrame:
     """doc_id, more's columns, n_tokens, ids_sha256 and decoded_sha256 of encoded and decoded documents."""
     return decoded.select(
@@ -155,4 +168,4 @@ def digests(decoded: DataFrame, *more: str) -> DataFrame:
 
 def op3_bpe_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path(TOKENIZER)
-    return digests(decode(encode(read_documents(spark, sf_dir), ["doc_id"], path), path))
+    return digests(roundtrip(read_documents(spark, sf_dir), ["doc_id"], path))
