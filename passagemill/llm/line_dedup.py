@@ -96,14 +96,18 @@ def rows_batch(rows: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
 
 
 def first_of(x: dict[str, np.ndarray], by: tuple[str, ...]) -> tuple[np.ndarray, np.ndarray]:
-    """Rows that come first (by k, p) among equal ones, and the others."""
+    """Rows that come first (by k, p, h) among equal ones, and the others; of these not what has the first's place (a repeated row of docs)."""
     order = np.lexsort((x["h"], x["p"], x["k"], *(x[c] for c in by)))
     new = np.ones(len(order), bool)
     for j, c in enumerate(by):
         v = x[c][order]
         differs = v[1:] != v[:-1]
         new[1:] = differs if j == 0 else new[1:] | differs
-    return np.sort(order[new]), np.sort(order[~new])
+    head = order[np.flatnonzero(new)[np.cumsum(new) - 1]]
+    elsewhere = np.zeros(len(order), bool)
+    for c in ("k", "p", "h"):
+        elsewhere |= x[c][order] != x[c][head]
+    return np.sort(order[new]), np.sort(order[elsewhere])
 
 
 def send(edits: int, least: int, parts: int) -> Callable:
@@ -271,7 +275,7 @@ def histogram(line: str) -> np.ndarray:
 
 
 def verify(edits: int) -> Callable:
-    """Sorted by key, role, k, p: each probing line against the indexed lines of its key; the later of a pair goes."""
+    """Sorted by key, role, k, p: each probing line against the indexed lines of its key; the later of a pair (by k, p, h) goes."""
 
     def run(batches):
         now, held, out = None, [], []
@@ -292,7 +296,7 @@ def verify(edits: int) -> Callable:
                     some = held
                 gone = False
                 for x in some:
-                    mine = (x[0], x[1]) < (k, p)
+                    mine = (x[0], x[1], x[2]) < (k, p, h)
                     if x[3] == line or (gone if mine else x[4]):
                         continue
                     if within(x[3], line, edits):

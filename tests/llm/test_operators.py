@@ -274,6 +274,22 @@ def test_line_dedup(docs, nothing):
     assert line_dedup.dedup_lines(nothing, ["doc_id"]).count() == 0
 
 
+def test_line_dedup_leaves_one_copy_of_repeated_rows(spark):
+    only, no_id, pair = prose(12), prose(12), prose(12)
+    rows = [(1, only), (1, only), (None, no_id), (None, no_id), (None, pair + "x"), (None, pair + "y"), (3, prose(12)), (3, "z" + only), (3, "z" + only), (4, no_id[:-1] + "z" + "\n" + prose(12))]
+    for n in (1, 4):  # one batch, and rows that meet after the shuffle
+        docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(n)
+        got = line_dedup.dedup_lines(docs, ["doc_id"]).select("doc_id", "n_lines", "equal", "near", "kept").collect()
+        assert len(got) == len(rows)
+        assert [r["kept"] for r in got if r["doc_id"] == 1] == [only] * 2
+        assert all(r["equal"] == [] for r in got)
+        # of two texts without an id that are near to each other, one stays
+        assert len([r for r in got if r["doc_id"] is None and r["kept"][:-1] == pair]) == 1
+        # the least id holds a near line: the repeated later ones go, all of them
+        assert [r["kept"] for r in got if r["doc_id"] == 3].count("") == 2
+        assert sum(r["kept"] == "" for r in got if r["doc_id"] is None) == 3
+
+
 def test_jaccard_join(docs, nothing, monkeypatch):
     def shingles(t):
         w = (t or "").lower().encode().split()
