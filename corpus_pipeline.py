@@ -26,7 +26,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without their superfluous lines, n_chars with them; a document goes if lines went and nothing but white space is left."""
-    out = line_dedup.dedup_lines(docs.select("doc_id", "text", whole_row(docs)), ["_row"])
+    out = line_dedup.dedup_lines(docs.select("doc_id", "text", whole_row(docs)), ["_row"], short=True)
     went = (F.size("equal") > 0) | (F.size("near") > 0)
     row = F.col("_row").withField("text", F.col("kept"))
     if "n_chars" in docs.columns:

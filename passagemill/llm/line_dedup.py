@@ -1,7 +1,9 @@
 """Operator 2, line dedup: segment-partition edit join.
 
-A line of MIN_CHARS characters or more goes if an earlier line (by doc_id, then line number) is
-within EDITS single-character edits, equal lines included; shorter lines say too little and stay.
+A line goes if an earlier line (by doc_id, then line number) is equal or within EDITS single-character
+edits. Where the shorter of two lines has under MIN_CHARS characters, so many edits are allowed as are
+the same share of it: one from 16 characters, none below, where two edits make another word of a
+word. With short=False lines under MIN_CHARS stay altogether; op2 and the pipeline don't use that.
 Lines within EDITS edits share one of EDITS + 1 segments: each line is indexed by its own segments
 under (its length, segment number, segment) and probes, for each length that is up to EDITS smaller,
 the substrings that could be such a segment given where it would have to lie. Keys that bring
@@ -52,22 +54,32 @@ def segments(length: np.ndarray, edits: int) -> list[tuple[np.ndarray, np.ndarra
     return out
 
 
-def keys_of(sums: Sums, start: np.ndarray, length: np.ndarray, edits: int) -> Iterator[tuple[np.ndarray, np.ndarray, int]]:
-    """(lines, keys, role) of lines that lie at start in a symbol array."""
+def allowed(length, edits: int, full: int):
+    """Edits allowed between two lines of which the shorter has this length: edits from full characters, below in proportion."""
+    return np.minimum(edits, length * edits // full)
+
+
+def keys_of(sums: Sums, start: np.ndarray, length: np.ndarray, edits: int, full: int) -> Iterator[tuple[np.ndarray, np.ndarray, int]]:
+    """(lines, keys, role) of lines that lie at start in a symbol array; lines that allow no edit have none."""
 
     def key(size: np.ndarray, i: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         return mix(sums.at(a, b) + size.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(i))
 
-    every = np.arange(len(start))
-    for i, (at, size) in enumerate(segments(length, edits)):
-        yield every, key(length, i, start + at, start + at + size), 0
-    for less in range(edits + 1):
-        for i, (at, size) in enumerate(segments(length - less, edits)):
-            # the i segments before hold at most i edits if this is the first that is whole, those behind the others
-            low, high = max(-i, less - (edits - i)), min(i, less + (edits - i))
-            for shift in range(low, high + 1):
-                ok = np.flatnonzero((at + shift >= 0) & (at + shift + size <= length))
-                yield ok, key(length - less, i, start + at + shift, np.minimum(start + at + shift + size, start + length))[ok], 1
+    lines = start, length
+    for most in range(1, edits + 1):
+        own = np.flatnonzero(allowed(lines[1], edits, full) == most)
+        start, length = (x[own] for x in lines)
+        for i, (at, size) in enumerate(segments(length, most)):
+            yield own, key(length, i, start + at, start + at + size), 0
+        for less in range(most + 1):
+            own = np.flatnonzero(allowed(lines[1] - less, edits, full) == most)
+            start, length = (x[own] for x in lines)
+            for i, (at, size) in enumerate(segments(length - less, most)):
+                # the i segments before hold at most i edits if this is the first that is whole, those behind the others
+                low, high = max(-i, less - (most - i)), min(i, less + (most - i))
+                for shift in range(low, high + 1):
+                    ok = np.flatnonzero((at + shift >= 0) & (at + shift + size <= length))
+                    yield own[ok], key(length - less, i, start + at + shift, np.minimum(start + at + shift + size, start + length))[ok], 1
 
 
 def code_points(texts: list[str]) -> np.ndarray:
@@ -110,7 +122,7 @@ def first_of(x: dict[str, np.ndarray], by: tuple[str, ...]) -> tuple[np.ndarray,
     return np.sort(order[new]), np.sort(order[elsewhere])
 
 
-def send(edits: int, least: int, parts: int) -> Callable:
+def send(edits: int, full: int, least: int, parts: int) -> Callable:
     def flush(got: list[dict], keys: list[dict]) -> Iterator[pa.RecordBatch]:
         x = joined(got)
         first, again = first_of(x, ("line",))
@@ -119,9 +131,10 @@ def send(edits: int, least: int, parts: int) -> Callable:
             rows.append((int(x["line"][again[0]] % np.uint64(parts)), 2, pack(pick(x, again), GONE)))
         x = pick(x, first)
         rows += [(i, 0, b) for i, b in blobs_by_part(x, (x["line"] % np.uint64(parts)).astype(np.int32), parts, LINE)]
-        y = joined(keys)
-        y = pick(y, first_of(y, ("key", "role", "line"))[0])
-        rows += [(i, 1, b) for i, b in blobs_by_part(y, (y["key"] % np.uint64(parts)).astype(np.int32), parts, KEY)]
+        if keys:
+            y = joined(keys)
+            y = pick(y, first_of(y, ("key", "role", "line"))[0])
+            rows += [(i, 1, b) for i, b in blobs_by_part(y, (y["key"] % np.uint64(parts)).astype(np.int32), parts, KEY)]
         for i in range(0, len(rows), 64):
             yield rows_batch(rows[i : i + 64])
 
@@ -137,9 +150,10 @@ def send(edits: int, least: int, parts: int) -> Callable:
                 x = {"line": line, "k": part.column("k").to_numpy()[text], "h": part.column("h").to_numpy()[text], "p": number}
                 got.append(x)
                 once = first_of(x, ("line",))[0]
-                for at, key, role in keys_of(sums, start[once], length[once], edits):
+                for at, key, role in keys_of(sums, start[once], length[once], edits, full):
                     keys.append(pick(x, once[at]) | {"key": key, "role": np.full(len(at), role, np.uint8)})
                     held += len(at)
+                held += len(line)
                 if held >= FLUSH:
                     yield from flush(got, keys)
                     got, keys, held = [], [], 0
@@ -274,7 +288,7 @@ def histogram(line: str) -> np.ndarray:
     return np.bincount(np.frombuffer(line.encode("utf-32-le", "surrogatepass"), np.uint32) % 32, minlength=32).astype(np.int32)
 
 
-def verify(edits: int) -> Callable:
+def verify(edits: int, full: int) -> Callable:
     """Sorted by key, role, k, p: each probing line against the indexed lines of its key; the later of a pair (by k, p, h) goes."""
 
     def run(batches):
@@ -299,7 +313,7 @@ def verify(edits: int) -> Callable:
                     mine = (x[0], x[1], x[2]) < (k, p, h)
                     if x[3] == line or (gone if mine else x[4]):
                         continue
-                    if within(x[3], line, edits):
+                    if within(x[3], line, int(allowed(min(len(x[3]), len(line)), edits, full))):
                         if mine:
                             gone = True
                             out.append((k, h, p))
@@ -318,25 +332,25 @@ def gone_batch(rows: list[tuple[int, int, int]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int32()), pa.array(blobs, pa.binary())], ["k", "h", "gone"])
 
 
-def gone_lines(docs: DataFrame, edits: int = EDITS, least: int = MIN_CHARS) -> DataFrame:
+def gone_lines(docs: DataFrame, edits: int = EDITS, least: int = MIN_CHARS, short: bool = False) -> DataFrame:
     """k, h, gone: of each row with lines to remove, packed line numbers, several times where several things remove them."""
     spark, parts = docs.sparkSession, shuffle_parts(docs)
-    least = max(least, edits + 1)
+    full = max(least, edits + 1)
     rows = keyed(docs, [])
-    met = rows.mapInArrow(send(edits, least, parts), SENT).repartitionById(parts, F.col("part")).mapInArrow(meet, MET)
+    met = rows.mapInArrow(send(edits, full, 1 if short else full, parts), SENT).repartitionById(parts, F.col("part")).mapInArrow(meet, MET)
     met = materialize(met, "lines")
     release(spark)
     asked = met.where(F.col("asked").isNotNull()).groupBy("k", "h").agg(F.collect_list("asked").alias("asked"))
     told = rows.join(asked, ["k", "h"]).select("k", "h", "text", "asked").mapInArrow(fetch, TOLD)
-    near = told.repartition(parts, "key").sortWithinPartitions("key", "role", "k", "p").mapInArrow(verify(edits), "k long, h int, gone binary")
+    near = told.repartition(parts, "key").sortWithinPartitions("key", "role", "k", "p").mapInArrow(verify(edits, full), "k long, h int, gone binary")
     near = materialize(near, "near-lines")
     release(spark)
     return met.where(F.col("gone").isNotNull()).select("k", "h", F.col("gone"), F.lit(False).alias("near")).unionByName(near.withColumn("near", F.lit(True)))
 
 
-def dedup_lines(docs: DataFrame, keep: list[str], edits: int = EDITS, least: int = MIN_CHARS) -> DataFrame:
+def dedup_lines(docs: DataFrame, keep: list[str], edits: int = EDITS, least: int = MIN_CHARS, short: bool = False) -> DataFrame:
     """keep's columns, n_lines, equal and near (numbers of lines that go, from 0; near only what isn't equal), kept text of every row."""
-    found = gone_lines(docs, edits, least).groupBy("k", "h").agg(F.collect_list(F.when(~F.col("near"), F.col("gone"))).alias("equal"), F.collect_list(F.when(F.col("near"), F.col("gone"))).alias("near"))
+    found = gone_lines(docs, edits, least, short).groupBy("k", "h").agg(F.collect_list(F.when(~F.col("near"), F.col("gone"))).alias("equal"), F.collect_list(F.when(F.col("near"), F.col("gone"))).alias("near"))
     rows = keyed(docs, keep).join(found, ["k", "h"], "left").select(*keep, F.col("text").alias("_text"), F.col("equal").alias("_equal"), F.col("near").alias("_near"))
     schema = with_fields(rows, keep, "n_lines long, equal array<int>, near array<int>, kept string")
 
@@ -358,5 +372,5 @@ def dedup_lines(docs: DataFrame, keep: list[str], edits: int = EDITS, least: int
 
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A row for each document: lines, how many went as equal or near to an earlier one, which, and a digest of the text that stays."""
-    out = dedup_lines(read_documents(spark, sf_dir), ["doc_id"])
+    out = dedup_lines(read_documents(spark, sf_dir), ["doc_id"], short=True)
     return out.select("doc_id", "n_lines", F.size("equal").cast("long").alias("n_equal"), F.size("near").cast("long").alias("n_near"), "near", F.sha2(F.coalesce("kept", F.lit("")), 256).alias("kept_sha256"))

@@ -274,6 +274,35 @@ def test_line_dedup(docs, nothing):
     assert line_dedup.dedup_lines(nothing, ["doc_id"]).count() == 0
 
 
+def test_line_dedup_of_short_lines(spark, tmp_path):
+    import corpus_pipeline
+
+    rng = random.Random(8)
+    base = ["Released under the MIT License.", "All rights reserved.", "cat", "a", "", "  ", "0123456789abcde", "0123456789abcdef", prose(12)]
+    pool = base + [x[:i] + rng.choice(["", "x", "xy", x[i + 1 :][:1] + "-"]) + x[i + rng.randint(0, 2) :] for x in base for i in (0, len(x) // 2, len(x))]
+    texts = [(i, "\n".join(rng.choice(pool) for _ in range(rng.randint(1, 4)))) for i in range(60)]
+    lines = sorted((i, p, x) for i, t in texts for p, x in enumerate(t.split("\n")) if x)
+    first = {}
+    for i, p, x in lines:
+        first.setdefault(x, (i, p))
+    near = {x for x in first for y in first if first[y] < first[x] and edits(x, y) <= min(2, min(len(x), len(y)) // 16)}
+    assert any(len(x) < 16 for x in first) and {len(x) for x in near} & set(range(16, 32)) and any(len(x) > 32 for x in near)
+    want = {}
+    for i, t in texts:
+        parts = t.split("\n")
+        same = [p for p, x in enumerate(parts) if x and first[x] != (i, p)]
+        like = [p for p, x in enumerate(parts) if x and first[x] == (i, p) and x in near]
+        want[i] = len(parts), same, like, "\n".join(x for p, x in enumerate(parts) if p not in same + like)
+    docs = spark.createDataFrame(texts, "doc_id long, text string").repartition(3)
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    got = line_dedup.dedup_lines(docs, ["doc_id"], short=True).collect()
+    assert {r["doc_id"]: (r["n_lines"], r["equal"], r["near"], r["kept"]) for r in got} == want
+    rows = queries.QUERIES["op2_line_dedup"](spark, str(tmp_path)).collect()
+    assert {r["doc_id"]: (r["n_equal"], r["near"]) for r in rows} == {i: (len(x[1]), x[2]) for i, x in want.items()}
+    stage = dict(corpus_pipeline.STAGES)["line_dedup"](spark, docs, str(tmp_path))
+    assert {r["doc_id"]: r["text"] for r in stage.collect()} == {i: x[3] for i, x in want.items() if x[3].strip(" ") or not x[1] + x[2]}
+
+
 def test_line_dedup_leaves_one_copy_of_repeated_rows(spark):
     only, no_id, pair = prose(12), prose(12), prose(12)
     rows = [(1, only), (1, only), (None, no_id), (None, no_id), (None, pair + "x"), (None, pair + "y"), (3, prose(12)), (3, "z" + only), (3, "z" + only), (4, no_id[:-1] + "z" + "\n" + prose(12))]
