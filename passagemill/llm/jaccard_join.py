@@ -175,7 +175,7 @@ def keyed(docs: DataFrame, keep: list[str]) -> DataFrame:
 
 
 def classes_of(docs: DataFrame, similarity: float = SIMILARITY, recall: float = RECALL) -> DataFrame:
-    """A row for each distinct text of docs: c, rep (its least doc_id), class_id, n_links, n_copies."""
+    """A row for each distinct text of docs: c, rep (its least doc_id), class_id, n_links, n_copies, stays (the first by rep, c of its linked texts)."""
     spark, parts = docs.sparkSession, shuffle_parts(docs)
     bands, rows = banding(similarity, recall)
     texts = keyed(docs, [])
@@ -200,8 +200,10 @@ def classes_of(docs: DataFrame, similarity: float = SIMILARITY, recall: float =
     counts = links.groupBy("node").agg(F.sum("n").alias("n_links"))
     grouped = components(links.select(F.col("node").alias("a"), F.col("low").alias("b"))).withColumnRenamed("component", "root")
     named = classes.select("c", "node", "rep", "n_copies").join(counts, "node", "left").join(grouped, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    least = named.where(F.col("n_links") > 0).groupBy("root").agg(F.min("rep").alias("least"))
-    named = named.join(least, "root", "left").select("c", "rep", F.coalesce("least", "rep").alias("class_id"), F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"), "n_copies")
+    least = named.where(F.col("n_links") > 0).groupBy("root").agg(F.min(F.struct("rep", "c")).alias("least"))
+    named = named.join(least, "root", "left").select(
+        "c", "rep", F.coalesce("least.rep", "rep").alias("class_id"), F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"), "n_copies", F.coalesce(F.col("least.c") == F.col("c"), F.lit(True)).alias("stays")
+    )
     return materialize(named, "named")
 
 
@@ -212,8 +214,8 @@ def jaccard_join(docs: DataFrame, similarity: float = SIMILARITY, recall: float
 
 
 def first_of_classes(docs: DataFrame, similarity: float = SIMILARITY, recall: float = RECALL) -> DataFrame:
-    """The rows of docs that stay if of each class only the document with the least doc_id does; of equal rows one stays."""
-    stay = classes_of(docs, similarity, recall).where(F.col("rep") == F.col("class_id")).select("c", F.col("rep").alias("k"))
+    """The rows of docs that stay if of each class only the document with the least doc_id does; of texts that share it one stays, and of equal rows."""
+    stay = classes_of(docs, similarity, recall).where("stays").select("c", F.col("rep").alias("k"))
     rows = keyed(docs.select("doc_id", "text", whole_row(docs)), ["_row"]).drop("text")
     return rows.join(stay, ["k", "c"]).dropDuplicates(["k", "c"]).select("_row.*")
 

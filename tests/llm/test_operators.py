@@ -348,6 +348,16 @@ def test_jaccard_join(docs, nothing, monkeypatch):
     assert stay.columns == docs.columns and stay.count() == len(set(root.values()))
 
 
+def test_jaccard_join_keeps_one_text_of_a_shared_id(spark):
+    near = lambda t: t + " extra"
+    x, y, z, lone = prose(60), prose(60), prose(60), prose(60)
+    rows = [(7, x), (7, near(x)), (9, near(near(x))), (None, y), (None, near(y)), (None, near(y)), (5, z), (None, near(z)), (None, lone), (None, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    stay = [(r["doc_id"], r["text"]) for r in jaccard_join.first_of_classes(docs).collect()]
+    assert len([t for i, t in stay if i == 7]) == 1 and len([t for _, t in stay if t in (y, near(y))]) == 1
+    assert len(stay) == 5 and {(5, z), (None, lone), (None, "")} <= set(stay)
+
+
 def test_banding_meets_recall():
     bands, rows = jaccard_join.banding()
     assert bands * rows <= jaccard_join.HASHES and 1 - (1 - 0.8**rows) ** bands >= jaccard_join.RECALL
