@@ -1,12 +1,11 @@
-"""Operator 10, substring dedup: De Bruijn compaction.
-
-Words are the letters, WINDOW words in a row are an edge from their first to their last WINDOW - 1
-words. Edges go to the partition of their least-hashed gram, and edges in a row with one such gram
-travel as one compact path (repeats.py); paths that several documents have with one content are not
-branching there and stay compact, others are opened into their edges, which meet one by one. What
-repeats in a document is then compacted across partitions: stretches join with those whose first
-word follows their last one, by document and word number, and a joined span's coordinates in its
-source say which words go.
+"""Operator 10, substring dedup: runs of windows that meet by anchor, the engine of operator 7.
+
+Words are the symbols, WINDOW words in a row are a window. Windows go to the partition of their
+least-hashed gram, and windows in a row with one such gram travel as one run (repeats.py); runs whose
+whole content a smaller document has are settled, others that may agree in part are opened into their
+windows, which meet one by one. There are no De Bruijn nodes, no tests of in- or out-degrees and no
+compaction join: a document's spans are gathered in one place, sorted by word number and merged where
+they touch, and the merged spans say which words go.
 
 Each word that a window covers goes if the window's words also start in a document with a smaller
 id; windows are judged on the input. Defined cases: a null or empty text has no words; documents

@@ -1,12 +1,11 @@
-"""Operator 7, suffix-array dedup: bucket-pointer refinement.
-
-Suffixes of all documents, taken as UTF-8 bytes, are put in buckets by their first bytes, and a
-bucket is refined by sorting on the buckets that its suffixes have at later offsets, each step using
-the buckets that the one before has made, until the order covers LENGTH bytes. Suffixes that end in
-one bucket then have equal LENGTH-byte strings. A bucket is named by a hash, so that all executors
-name it alike. Which suffixes can share a bucket at all is found on sampled ones first (repeats.py):
-runs of suffixes meet in the bucket of an anchor's q-gram and are refined by the buckets left and
-right of it; only those that stay together are refined to the full length one by one.
+"""Operator 7, suffix-array dedup: runs of windows that meet by anchor, the engine of operator 10.
+
+Bytes of the UTF-8 text are the symbols, LENGTH bytes in a row are a window. Windows in a row with one
+least-hashed gram, their anchor, travel as one run (repeats.py); runs meet by the anchor, and those
+that may agree with others in part, judged by hashes left and right of it, are opened into their
+windows, which meet one by one. A window's name starts from the hash of its first GRAM bytes and is
+combined, where the text is, with the hashes at later offsets until it covers LENGTH bytes. No
+buckets are sorted in these rounds; only the final names are. Windows of one name count as equal.
 
 Each byte that such a string covers goes if the string also starts in a document with a smaller id;
 strings are judged on the input. Defined cases: a null or empty text has no bytes; documents under
