@@ -4,12 +4,13 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
-import gc
+import itertools
+import re
 import tempfile
-import time
 import uuid
 from collections.abc import Callable, Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -20,51 +21,91 @@ from pyspark.sql import types as T
 NO_ID = 2**63 - 1
 
 
+#: Deletes the shuffle files of a query when it has ended: what it made is written then.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: Shuffle partitions at most; beyond it several buckets share one and are read one after another.
+MOST_PARTITIONS = 100_000
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a local one only where none is set, as in tests."""
+    """The folder that driver and executors share. Where none is set: one of this machine in local mode, as in tests; an error on a cluster."""
     base = spark.conf.get("spark.checkpoint.dir", "") or spark.sparkContext.getCheckpointDir()
     if not base:
-        base = tempfile.mkdtemp(prefix="passagemill-")
+        if not re.fullmatch(r"local(\[[^\[]*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        base = f"file://{tempfile.mkdtemp(prefix='passagemill-')}"
         spark.sparkContext.setCheckpointDir(base)
     return base
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write df as a table in the shared folder and read it again.
+    """Write df as a table in the shared folder and read it again; the shuffles that made it are freed.
 
     It cuts the lineage: a lost executor costs the tasks that it ran, not the phases before.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/passagemill/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def release(spark: SparkSession) -> None:
-    """Let Spark's cleaner delete the shuffle files of phases that are written and done.
-
-    The cleaner acts on what the driver's collectors have found unused. The first round frees the
-    plans, the second the shuffles that only those held.
-    """
-    for _ in range(2):
-        gc.collect()
-        spark.sparkContext._jvm.System.gc()
-        time.sleep(0.4)
+    path = f"{shared_dir(spark)}/passagemill/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.written_at = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete materialized tables that nothing will read any more."""
+    for table in tables:
+        spark = table.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(table.written_at)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def read_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
-def shuffle_parts(df: DataFrame, bytes_each: int = 6 << 20) -> int:
-    """As many partitions as keep each near bytes_each of the tables that df reads, at least the session's number.
+def buckets_for(df: DataFrame, bytes_each: int = 6 << 20) -> int:
+    """As many buckets as keep each near bytes_each of the tables that df reads, at least the session's number of partitions.
 
-    A source that doesn't know its size counts as none: Spark gives it the largest number there is.
+    A source that doesn't know its size (Spark says the largest number there is) is measured: the bytes of its texts are summed.
     """
     leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
     sizes = [int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size())]
-    least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return max(least, min(sum(x for x in sizes if x < 1 << 56) // bytes_each, 200_000))
+    size = sum(sizes)
+    if size >= 1 << 56:
+        size = df.agg(F.sum(F.octet_length("text").cast("long")).alias("n")).first()["n"] or 0
+    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), size // bytes_each)
+
+
+def shuffle_parts(df: DataFrame, bytes_each: int = 6 << 20) -> int:
+    """Partitions for work that sorts and streams, so that their size doesn't bind its memory."""
+    return min(buckets_for(df, bytes_each), MOST_PARTITIONS)
+
+
+def dealt(sent: DataFrame, buckets: int) -> DataFrame:
+    """Rows (part, ...) with each part's rows one after another in one partition: one part is in memory at a time."""
+    parts = min(buckets, MOST_PARTITIONS)
+    if parts == buckets:
+        return sent.repartitionById(parts, F.col("part"))
+    return sent.repartitionById(parts, F.pmod("part", F.lit(parts))).sortWithinPartitions("part")
+
+
+def by_part(batches: Iterable[pa.RecordBatch]) -> Iterator[Iterator[pa.RecordBatch]]:
+    """The batches of dealt() as one iterator for each part."""
+
+    def runs_of() -> Iterator[tuple[int, pa.RecordBatch]]:
+        for batch in batches:
+            part = batch.column("part").to_numpy()
+            edge = [0, *(np.flatnonzero(part[1:] != part[:-1]) + 1).tolist(), len(part)] if len(part) else []
+            for a, b in itertools.pairwise(edge):
+                yield int(part[a]), batch.slice(a, b - a)
+
+    for _, group in itertools.groupby(runs_of(), lambda x: x[0]):
+        yield (batch for _, batch in group)
 
 
 def text_of(name: str = "text") -> Column:

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import NO_ID, materialize, read_documents, release, shuffle_parts, slices, text_of, whole_row
+from .common import NO_ID, materialize, read_documents, shuffle_parts, slices, text_of, whole_row
 from .components import components
 from .repeats import STEP, Sums, mix
 from .substring_dedup import word_symbols
@@ -186,7 +186,6 @@ def classes_of(docs: DataFrame, similarity: float = SIMILARITY, recall: float =
     hubs = banded.groupBy("band", "hash").agg(F.min("node").alias("b"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
     edges = banded.join(hubs, ["band", "hash"]).select(F.col("node").alias("a"), "b")
     found = materialize(components(edges), "candidates")
-    release(spark)
     sized = found.groupBy("component").agg(F.count(F.lit(1)).alias("n")).select("component", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
     nodes = found.join(sized, "component").join(classes.select("node", "c", "rep"), "node").select("node", "component", "blocks", "c", F.col("rep").alias("k"))
     sets = with_sets(texts.join(nodes, ["k", "c"]).select("node", "component", "blocks", "text"))
@@ -196,7 +195,6 @@ def classes_of(docs: DataFrame, similarity: float = SIMILARITY, recall: float =
     dealt = dealt.select(F.xxhash64("component", low, high).alias("g"), "node", "block", (F.col("block") == F.col("other")).alias("own"), "set")
     links = dealt.repartition(parts, "g").sortWithinPartitions("g", "node").mapInArrow(verify(similarity), "node long, n long, low long")
     links = materialize(links, "links")
-    release(spark)
     counts = links.groupBy("node").agg(F.sum("n").alias("n_links"))
     grouped = components(links.select(F.col("node").alias("a"), F.col("low").alias("b"))).withColumnRenamed("component", "root")
     named = classes.select("c", "node", "rep", "n_copies").join(counts, "node", "left").join(grouped, "node", "left").withColumn("root", F.coalesce("root", "node"))

@@ -29,17 +29,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, read_documents, release, shuffle_parts, slices, with_fields
+from .common import materialize, read_documents, shuffle_parts, slices, with_fields
 from .repeats import STEP, Sums, blobs_by_part, joined, keyed, mix, pack, pick, unpack
 
 EDITS, MIN_CHARS = 2, 32
 BLOCK = 2048
 FLUSH = 1 << 20
 
-LINE = (("line", "<u8"), ("k", "<i8"), ("h", "<i4"), ("p", "<u4"))
+LINE = (("line", "<u8"), ("k", "<i8"), ("h", "<i8"), ("p", "<u4"))
 #: role: 0 indexed, 1 probing
-KEY = (("key", "<u8"), ("line", "<u8"), ("k", "<i8"), ("h", "<i4"), ("p", "<u4"), ("role", "u1"))
-GONE = (("k", "<i8"), ("h", "<i4"), ("p", "<u4"))
+KEY = (("key", "<u8"), ("line", "<u8"), ("k", "<i8"), ("h", "<i8"), ("p", "<u4"), ("role", "u1"))
+GONE = (("k", "<i8"), ("h", "<i8"), ("p", "<u4"))
 
 
 def segments(length: np.ndarray, edits: int) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -130,11 +130,11 @@ def send(edits: int, full: int, least: int, parts: int) -> Callable:
         if len(again):
             rows.append((int(x["line"][again[0]] % np.uint64(parts)), 2, pack(pick(x, again), GONE)))
         x = pick(x, first)
-        rows += [(i, 0, b) for i, b in blobs_by_part(x, (x["line"] % np.uint64(parts)).astype(np.int32), parts, LINE)]
+        rows += [(i, 0, b) for i, b in blobs_by_part(x, (x["line"] % np.uint64(parts)).astype(np.int32), LINE)]
         if keys:
             y = joined(keys)
             y = pick(y, first_of(y, ("key", "role", "line"))[0])
-            rows += [(i, 1, b) for i, b in blobs_by_part(y, (y["key"] % np.uint64(parts)).astype(np.int32), parts, KEY)]
+            rows += [(i, 1, b) for i, b in blobs_by_part(y, (y["key"] % np.uint64(parts)).astype(np.int32), KEY)]
         for i in range(0, len(rows), 64):
             yield rows_batch(rows[i : i + 64])
 
@@ -163,7 +163,7 @@ def send(edits: int, full: int, least: int, parts: int) -> Callable:
     return run
 
 
-MET = "k long, h int, gone binary, asked binary"
+MET = "k long, h long, gone binary, asked binary"
 ASKED = (("key", "<u8"), ("p", "<u4"), ("role", "u1"))
 
 
@@ -209,7 +209,7 @@ def meet(batches):
         x = pick(x, order)
         rec = np.rec.fromarrays((x["k"], x["h"]), names="k,h")
         a, b = np.searchsorted(rec, docs, side="left"), np.searchsorted(rec, docs, side="right")
-        return [pack_rows(pick(x, slice(i, j)), kind) if i < j else None for i, j in zip(a, b, strict=True)]
+        return [pack(pick(x, slice(i, j)), kind) if i < j else None for i, j in zip(a, b, strict=True)]
 
     gone_by, asked_by = by_document(out, GONE), by_document(asked, ASKED)
     for i in range(0, len(docs), 4096):
@@ -217,11 +217,7 @@ def meet(batches):
         yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(docs["k"][s])), pa.array(np.ascontiguousarray(docs["h"][s])), pa.array(gone_by[s], pa.binary()), pa.array(asked_by[s], pa.binary())], ["k", "h", "gone", "asked"])
 
 
-def pack_rows(x: dict[str, np.ndarray], kind: tuple) -> bytes:
-    return pack(x | {"k": x["p"]}, kind) if kind is ASKED else pack(x, kind)
-
-
-TOLD = "key long, role int, k long, h int, p int, line string"
+TOLD = "key long, role int, k long, h long, p int, line string"
 
 
 def fetch(batches):
@@ -233,7 +229,7 @@ def fetch(batches):
                 lines = (text or "").split("\n")
                 x = unpack(blobs, ASKED)
                 rows += [(key, role, k, h, p, lines[p]) for key, role, p in zip(x["key"].view(np.int64).tolist(), x["role"].tolist(), x["p"].tolist(), strict=True)]
-            kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.string()]
+            kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.string()]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else [[]] * 6, kinds, strict=True)], ["key", "role", "k", "h", "p", "line"])
 
 
@@ -329,7 +325,7 @@ def verify(edits: int, full: int) -> Callable:
 
 def gone_batch(rows: list[tuple[int, int, int]]) -> pa.RecordBatch:
     blobs = [pack({"k": np.array([k]), "h": np.array([h]), "p": np.array([p])}, GONE) for k, h, p in rows]
-    return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int32()), pa.array(blobs, pa.binary())], ["k", "h", "gone"])
+    return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()), pa.array(blobs, pa.binary())], ["k", "h", "gone"])
 
 
 def gone_lines(docs: DataFrame, edits: int = EDITS, least: int = MIN_CHARS, short: bool = False) -> DataFrame:
@@ -339,12 +335,10 @@ def gone_lines(docs: DataFrame, edits: int = EDITS, least: int = MIN_CHARS, shor
     rows = keyed(docs, [])
     met = rows.mapInArrow(send(edits, full, 1 if short else full, parts), SENT).repartitionById(parts, F.col("part")).mapInArrow(meet, MET)
     met = materialize(met, "lines")
-    release(spark)
     asked = met.where(F.col("asked").isNotNull()).groupBy("k", "h").agg(F.collect_list("asked").alias("asked"))
     told = rows.join(asked, ["k", "h"]).select("k", "h", "text", "asked").mapInArrow(fetch, TOLD)
-    near = told.repartition(parts, "key").sortWithinPartitions("key", "role", "k", "p").mapInArrow(verify(edits, full), "k long, h int, gone binary")
+    near = told.repartition(parts, "key").sortWithinPartitions("key", "role", "k", "p").mapInArrow(verify(edits, full), "k long, h long, gone binary")
     near = materialize(near, "near-lines")
-    release(spark)
     return met.where(F.col("gone").isNotNull()).select("k", "h", F.col("gone"), F.lit(False).alias("near")).unionByName(near.withColumn("near", F.lit(True)))
 
 

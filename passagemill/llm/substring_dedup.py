@@ -1,27 +1,35 @@
-"""Operator 10, substring dedup: runs of windows that meet by anchor, the engine of operator 7.
-
-Words are the symbols, WINDOW words in a row are a window. Windows go to the partition of their
-least-hashed gram, and windows in a row with one such gram travel as one run (repeats.py); runs whose
-whole content a smaller document has are settled, others that may agree in part are opened into their
-windows, which meet one by one. There are no De Bruijn nodes, no tests of in- or out-degrees and no
-compaction join: a document's spans are gathered in one place, sorted by word number and merged where
-they touch, and the merged spans say which words go.
+"""Operator 10, substring dedup: De Bruijn compaction.
+
+The graph's nodes are strings of WINDOW - 1 words, its edges strings of WINDOW or more words from node
+to node. The filter (repeats.py) names the stretches of a document that may repeat; a stretch that
+another document has whole is one edge, as its inner nodes do not branch there, and one that agrees in
+part is an edge for each window. Edges that two documents have stay, each with its source: the
+coordinates of its least occurrence. A node is simple if all edges into it end in one window and all
+edges out of it begin with one; at simple nodes an edge is joined to the edge that goes on in the same
+source, and paths of such joins are compacted by pointer jumping: each round a join doubles how far
+every edge sees, until all know where their path starts. Occurrences that follow one path without a
+gap are one long span. Spans are verified at last: the words at their coordinates and the words at
+the source's are fetched from the texts and compared, so no removal rests on a hash.
 
 Each word that a window covers goes if the window's words also start in a document with a smaller
 id; windows are judged on the input. Defined cases: a null or empty text has no words; documents
-under WINDOW words lose nothing; copies within one document stay. Extra columns are not looked at.
+under WINDOW words lose nothing; copies within one document stay, and so do those among repeated rows
+of one id; rows without id count as one document behind all others. Very long texts are worked on
+whole; memory follows the longest text. An empty table gives an empty result. Extra columns, whatever
+their names, are not looked at. Edges and nodes are named by 64-bit hashes: two names that meet by
+chance can leave a repeat standing, and never remove what doesn't repeat.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import read_documents
-from .repeats import Shape, Sums, covered, run_starts, with_repeats
-from .suffix_dedup import byte_symbols
+from .common import discard, materialize, read_documents
+from .repeats import Shape, Sums, candidates, chosen_runs, covered, joined, keyed, pick, run_starts
+from .suffix_dedup import byte_symbols, stretches
 
 WINDOW, GRAM = 13, 5
 SPACES = b" \t\n\v\f\r"
@@ -51,6 +59,121 @@ def words_of(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "surrogatepass").split()
 
 
+EDGES = "edge long, first long, last long, head long, tail long, n int, k long, h long, p int"
+
+
+def send_edges(shape: Shape):
+    """Occurrences of edges: name, first and last window, first and last node, windows, coordinates."""
+
+    def run(batches):
+        for _, _, sums, x in chosen_runs(batches, shape):
+            parts = x["open"] | x["hot"]
+            one = np.flatnonzero(parts)
+            shift = stretches(np.zeros(len(one), np.int64), x["n"][one])
+            one = np.repeat(one, x["n"][one])
+            single = pick(x, one) | {"n": np.ones(len(one), np.int64), "p": x["p"][one] + shift, "at": x["at"][one] + shift}
+            x = joined([pick(x, x["copy"] & ~(parts & (x["n"] == 1))), single])
+            if not len(x["p"]):
+                continue
+            at, stop, w = x["at"], x["at"] + x["n"], shape.length
+            made = {"edge": sums.at(at, stop + w - 1), "first": sums.at(at, at + w), "last": sums.at(stop - 1, stop - 1 + w), "head": sums.at(at, at + w - 1), "tail": sums.at(stop, stop + w - 1)}
+            made = [pa.array(v.view(np.int64)) for v in made.values()] + [pa.array(x["n"].astype(np.int32)), pa.array(x["k"]), pa.array(x["h"]), pa.array(x["p"].astype(np.int32))]
+            yield pa.RecordBatch.from_arrays(made, ["edge", "first", "last", "head", "tail", "n", "k", "h", "p"])
+
+    return run
+
+
+def repeated_edges(occurrences: DataFrame) -> DataFrame:
+    """Edges of two documents or more, each with the coordinates of its least occurrence: sk, sh, sp."""
+    once = occurrences.groupBy("edge").agg(F.min(F.struct("k", "h", "p")).alias("s"), F.max("k").alias("most"), *(F.min(c).alias(c) for c in ("first", "last", "head", "tail", "n")))
+    return once.where(F.col("s.k") < F.col("most")).select("edge", "first", "last", "head", "tail", "n", F.col("s.k").alias("sk"), F.col("s.h").alias("sh"), F.col("s.p").alias("sp"))
+
+
+def links(edges: DataFrame) -> DataFrame:
+    """edge and the edge before it (before), where a simple node joins them and the source goes on."""
+    into = edges.groupBy(F.col("tail").alias("node")).agg(F.min("last").alias("a"), F.max("last").alias("b")).where("a = b").select("node")
+    out = edges.groupBy(F.col("head").alias("node")).agg(F.min("first").alias("a"), F.max("first").alias("b")).where("a = b").select("node")
+    simple = into.join(out, "node")
+    left = edges.select(F.col("edge").alias("before"), F.col("tail").alias("node"), "n", "sk", "sh", (F.col("sp") + F.col("n")).alias("sp")).join(simple, "node", "left_semi")
+    right = edges.select("edge", F.col("head").alias("node"), "sk", "sh", "sp")
+    found = right.join(left, ["node", "sk", "sh", "sp"]).groupBy("edge").agg(F.max(F.struct("n", "before")).alias("x"))
+    return found.select("edge", F.col("x.before").alias("before"))
+
+
+def compact(edges: DataFrame) -> DataFrame:
+    """edge, sk, sh, sp and start (the place in the source where the edge's path starts).
+
+    Pointer jumping: to names an edge before on the path and at its place; done says that it is the
+    first. A path goes forward in one source, so there are no rings, and as many rounds are needed as
+    the length of the longest path has binary digits. Finished edges take no part any more but as what
+    others look up.
+    """
+    places = edges.select("edge", "sp")
+    linked = materialize(links(edges), "links")
+    state = linked.join(places.select(F.col("edge").alias("before"), F.col("sp").alias("at")), "before").join(linked.select(F.col("edge").alias("before"), F.lit(True).alias("more")), "before", "left")
+    state = materialize(state.select("edge", F.col("before").alias("to"), "at", F.col("more").isNull().alias("done")), "jumps")
+    while not state.where("not done").isEmpty():
+        goal = state.select(F.col("edge").alias("to"), F.col("to").alias("to2"), F.col("at").alias("at2"), F.col("done").alias("done2"))
+        gone = state.where("not done").join(goal, "to").select("edge", F.col("to2").alias("to"), F.col("at2").alias("at"), F.col("done2").alias("done"))
+        now = materialize(state.where("done").unionByName(gone), "jumps")
+        discard(state)
+        state = now
+    discard(linked)
+    return edges.join(state.select("edge", "at"), "edge", "left").select("edge", "sk", "sh", "sp", F.coalesce("at", "sp").alias("start"))
+
+
+def long_spans(occurrences: DataFrame, paths: DataFrame) -> DataFrame:
+    """k, h, a, size (words) of occurrences that follow one path without a gap, and the source's sk, sh, sa."""
+    on = occurrences.join(paths, "edge").where(F.col("k") > F.col("sk")).select("k", "h", "p", "n", "sk", "sh", "start", (F.col("p") - F.col("sp")).alias("shift"))
+    line = Window.partitionBy("k", "h", "sk", "sh", "start", "shift").orderBy("p", "n")
+    reach = F.max(F.col("p") + F.col("n")).over(line.rowsBetween(Window.unboundedPreceding, -1))
+    cut = on.withColumn("new", F.coalesce(F.col("p") > reach, F.lit(True)).cast("int"))
+    cut = cut.withColumn("part", F.sum("new").over(line.rowsBetween(Window.unboundedPreceding, 0)))
+    spans = cut.groupBy("k", "h", "sk", "sh", "start", "shift", "part").agg(F.min("p").alias("a"), F.max(F.col("p") + F.col("n")).alias("e"))
+    return spans.select("k", "h", "a", (F.col("e") - F.col("a") + (WINDOW - 1)).alias("size"), "sk", "sh", (F.col("a") - F.col("shift")).alias("sa"))
+
+
+WORDS = "k long, h long, a int, size int, sk long, sh long, sa int, words string"
+
+
+def fetch(batches):
+    """The words at the coordinates that each text is asked for."""
+    names = ["k", "h", "a", "size", "sk", "sh", "sa", "words"]
+    kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.string()]
+    for batch in batches:
+        for i in range(batch.num_rows):
+            k, h, text, asked = (batch.column(c)[i].as_py() for c in ("k", "h", "text", "asked"))
+            words = words_of(text)
+            for j in range(0, len(asked), 256):
+                rows = [(k, h, x["a"], x["size"], x["sk"], x["sh"], x["sa"], b" ".join(words[x["a"] : x["a"] + x["size"]]).decode("utf-8", "surrogatepass")) for x in asked[j : j + 256]]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names)
+
+
+def verified(rows: DataFrame, spans: DataFrame) -> DataFrame:
+    """The spans whose words are the words at their source's coordinates."""
+    source = ["size", "sk", "sh", "sa"]
+    at_source = spans.select(F.col("sk").alias("k"), F.col("sh").alias("h"), F.col("sa").alias("a"), *source).distinct()
+    asked = spans.unionByName(at_source).groupBy("k", "h").agg(F.collect_set(F.struct("a", *source)).alias("asked"))
+    told = materialize(rows.join(asked, ["k", "h"]).select("k", "h", "text", "asked").mapInArrow(fetch, WORDS), "words")
+    is_source = (F.col("k") == F.col("sk")) & (F.col("h") == F.col("sh")) & (F.col("a") == F.col("sa"))
+    right = told.where(is_source).select(*source, "words").distinct()
+    return told.where(~is_source).join(right, [*source, "words"], "left_semi").select("k", "h", "a", "size"), told
+
+
+def repeated_spans(docs: DataFrame, shape: Shape) -> DataFrame:
+    """k, h, spans array<struct<a,size>> of docs' rows: stretches of words whose every window a smaller document has."""
+    rows = keyed(docs, [])
+    may = candidates(docs, shape)
+    occurrences = materialize(rows.join(may, ["k", "h"]).select("k", "h", "text", "spans").mapInArrow(send_edges(shape), EDGES), "occurrences")
+    edges = materialize(repeated_edges(occurrences), "edges")
+    spans = materialize(long_spans(occurrences, compact(edges)), "spans")
+    discard(may, occurrences, edges)
+    found, told = verified(rows, spans)
+    out = materialize(found.groupBy("k", "h").agg(F.collect_set(F.struct("a", "size")).alias("spans")), "repeated-spans")
+    discard(spans, told)
+    return out
+
+
 def dedup(docs: DataFrame, shape: Shape = SHAPE) -> DataFrame:
     """doc_id, n_words, starts and ends of removed word runs, kept string, of every row of docs."""
     schema = "doc_id long, n_words long, starts array<long>, ends array<long>, kept string"
@@ -59,19 +182,21 @@ def dedup(docs: DataFrame, shape: Shape = SHAPE) -> DataFrame:
         for batch in batches:
             for start in range(0, batch.num_rows, 512):
                 rows = []
-                for doc_id, text, blobs in zip(*(c.to_pylist() for c in batch.slice(start, 512).columns), strict=True):
+                for doc_id, text, spans in zip(*(c.to_pylist() for c in batch.slice(start, 512).columns), strict=True):
                     words = words_of(text)
                     a = b = np.zeros(0, np.int64)
                     kept = words
-                    if blobs:
-                        gone = covered(blobs, len(words), shape.length)
+                    if spans:
+                        at = np.array([(x["a"], x["a"] + x["size"]) for x in spans], np.int64)
+                        gone = covered(at[:, 0], at[:, 1], len(words))
                         a, b = run_starts(gone)
                         kept = [w for w, x in zip(words, gone.tolist(), strict=True) if not x]
                     rows.append((doc_id, len(words), a.tolist(), b.tolist(), b" ".join(kept).decode("utf-8", "surrogatepass")))
                 kinds = [pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.string()]
                 yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows, strict=True), kinds, strict=True)], ["doc_id", "n_words", "starts", "ends", "kept"])
 
-    return with_repeats(docs, shape).select(F.col("doc_id").cast("long"), "text", "blobs").mapInArrow(run, schema)
+    found = repeated_spans(docs, shape)
+    return keyed(docs, ["doc_id"]).join(found, ["k", "h"], "left").select(F.col("doc_id").cast("long"), "text", "spans").mapInArrow(run, schema)
 
 
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,12 +7,13 @@ import re
 import zlib
 from collections import defaultdict
 
+import numpy as np
 import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from passagemill.llm import common, decontaminate, jaccard_join, language, line_dedup, media, queries, secrets_ledger, substring_dedup, suffix_dedup, token_counts, trie_bpe
+from passagemill.llm import common, decontaminate, jaccard_join, language, line_dedup, media, queries, repeats, secrets_ledger, substring_dedup, suffix_dedup, token_counts, trie_bpe
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, k long, h int, c string, blob string, words string, _row string, rejected string"
 RNG = random.Random(5)
@@ -110,8 +111,6 @@ def test_bpe_against_library_on_odd_strings():
     texts = ["".join(rng.choice(pool) for _ in range(rng.randint(0, 60))) for _ in range(3000)]
     texts += ["".join(rng.choice(["<|endoftext|>", "<|startoftext|>", "a", " "]) for _ in range(6)) for _ in range(50)]
     want = [x.ids for x in library.encode_batch(texts, add_special_tokens=False)]
-    import numpy as np
-
     assert [np.frombuffer(x, np.int32).tolist() for x in encoder.encode(texts)] == want
     assert [counter.tokens(t) for t in texts] == [len(x) for x in want]
 
@@ -224,13 +223,66 @@ def test_substring_dedup(docs, nothing):
     assert substring_dedup.dedup(nothing).count() == 0
 
 
-def test_repeats_in_small_flushes(docs, monkeypatch):
-    from passagemill.llm import repeats
-
-    whole = by_text(substring_dedup.dedup(docs), "n_words", "kept")
-    monkeypatch.setattr(repeats, "FLUSH", 10)
+@pytest.mark.parametrize(("flush", "held", "crowd"), [(10, 1 << 30, 1 << 30), (10, 20, 1 << 30), (1 << 30, 1 << 30, 0), (25, 10, 2)])
+def test_repeats_with_little_memory_and_crowded_anchors(docs, monkeypatch, flush, held, crowd):
+    """Small flushes, parts that drop copies early, and anchors that count as crowded: the same result."""
+    operators = ((substring_dedup.dedup, ("n_words", "kept")), (suffix_dedup.dedup, ("n_bytes", "starts", "kept")))
+    whole = [by_text(fn(docs), *c) for fn, c in operators]
+    monkeypatch.setattr(repeats, "FLUSH", flush)
+    monkeypatch.setattr(suffix_dedup, "FLUSH", flush)
     monkeypatch.setattr(repeats, "STEP", 50)
-    assert by_text(substring_dedup.dedup(docs), "n_words", "kept") == whole
+    monkeypatch.setattr(repeats, "HELD", held)
+    monkeypatch.setattr(suffix_dedup, "HELD", held)
+    monkeypatch.setattr(repeats, "CROWD", crowd)
+    assert [by_text(fn(docs), *c) for fn, c in operators] == whole
+
+
+def test_buckets_beyond_the_partitions_go_one_after_another(docs, monkeypatch):
+    whole = by_text(suffix_dedup.dedup(docs), "kept")
+    monkeypatch.setattr(common, "MOST_PARTITIONS", 2)
+    monkeypatch.setattr(suffix_dedup, "buckets_for", lambda df: 7)
+    monkeypatch.setattr(repeats, "buckets_for", lambda df: 7)
+    assert by_text(suffix_dedup.dedup(docs), "kept") == whole
+
+
+def test_bucket_pointers_against_brute_force():
+    rng = random.Random(2)
+    for _ in range(30):
+        pieces = ["".join(rng.choice("ab") for _ in range(rng.randint(9, 60))).encode() for _ in range(12)]
+        raw = np.frombuffer(b"".join(pieces), np.uint8)
+        for length in (8, 9, 17, 20):
+            seen = defaultdict(list)
+            at = 0
+            for x in pieces:
+                for i in range(len(x) - length + 1):
+                    seen[x[i : i + length]].append(at + i)
+                at += len(x)
+            suffix, bucket = suffix_dedup.bucket_pointers(raw, np.array([len(x) for x in pieces]), length)
+            got = defaultdict(set)
+            for i, b in zip(suffix.tolist(), bucket.tolist(), strict=True):
+                got[b].add(i)
+            assert sorted(map(sorted, got.values())) == sorted(x for x in seen.values() if len(x) > 1), length
+
+
+def test_equal_names_of_different_pieces_settle_nothing():
+    x = {"key": np.zeros(3, np.uint64), "content": np.zeros(3, np.uint64), "k": np.array([1, 2, 3]), "h": np.zeros(3, np.int64), "p": np.zeros(3, np.uint32), "n": np.ones(3, np.uint8)}
+    raw = np.frombuffer(b"abcabdabc", np.uint8)
+    left, kept, told = suffix_dedup.without_copies(x, raw, 3)
+    assert left["k"].tolist() == [1, 2] and kept.tobytes() == b"abcabd" and told["k"].tolist() == [3]
+
+
+def test_spans_are_verified_by_words(spark):
+    rows = spark.createDataFrame([(1, 10, "a b c d"), (2, 20, "x a b c"), (3, 30, "x a b d")], "k long, h long, text string")
+    spans = spark.createDataFrame([(2, 20, 1, 3, 1, 10, 0), (3, 30, 1, 3, 1, 10, 0)], "k long, h long, a int, size int, sk long, sh long, sa int")
+    found, _ = substring_dedup.verified(rows, spans)
+    assert [(r["k"], r["a"], r["size"]) for r in found.collect()] == [(2, 1, 3)]
+
+
+def test_paths_are_compacted(spark):
+    """Five edges in a row of one source, a branching node, and an edge of another source."""
+    edges = [(i, i, i, 100 + i, 101 + i, 1, 1, 1, i) for i in range(5)] + [(9, 9, 9, 102, 300, 1, 1, 1, 50), (8, 8, 8, 105, 106, 1, 2, 2, 5)]
+    made = substring_dedup.compact(spark.createDataFrame(edges, "edge long, first long, last long, head long, tail long, n int, sk long, sh long, sp int"))
+    assert {r["edge"]: r["start"] for r in made.collect()} == {0: 0, 1: 0, 2: 2, 3: 2, 4: 2, 9: 50, 8: 5}
 
 
 def edits(a, b):
