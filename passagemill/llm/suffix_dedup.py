@@ -25,14 +25,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import buckets_for, by_part, dealt, discard, read_documents
-from .repeats import COPY, FLUSH, OWN, SENT, SPAN, TO_DOCUMENTS, Columns, Shape, blobs_by_part, by_document, candidates, chosen_runs, covered, joined, keyed, merged, pack, pick, run_starts, sent, settle, spans_of, to_documents, unpack
+from .repeats import COPY, OWN, SENT, SPAN, TO_DOCUMENTS, Columns, Shape, blobs_by_part, by_document, candidates, chosen_runs, covered, joined, keyed, merged, pack, pick, run_starts, sent, settle, spans_of, to_documents, unpack
 
 LENGTH, GRAM = 50, 8
 _BYTES = np.random.Generator(np.random.PCG64(7)).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 #: Pieces: their first n bytes start strings; raw holds all their bytes one after another.
 PIECE = (("key", "<u8"), ("content", "<u8"), ("k", "<i8"), ("h", "<i8"), ("p", "<u4"), ("n", "u1"))
-HELD = 64 << 20  #: bytes of pieces that a part gathers before it drops copies
+HELD = 24 << 20  #: bytes of pieces that a part gathers before it drops copies
+SENT_BYTES = 12 << 20  #: bytes of pieces that a map task gathers before it sends them
+AT_ONCE = 2 << 20  #: bytes of pieces whose suffixes are sorted together, but for one anchor's
+BLOCK = 1 << 14  #: pieces whose bytes are gathered at once
 
 
 def byte_symbols(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -54,30 +57,34 @@ def sizes(x: Columns, length: int) -> np.ndarray:
     return x["n"].astype(np.int64) + (length - 1)
 
 
-def cut(x: Columns, raw: np.ndarray, at: np.ndarray, length: int) -> tuple[Columns, np.ndarray]:
-    """Some pieces and their bytes."""
-    size = sizes(x, length)
-    start = np.cumsum(size) - size
-    return pick(x, at), raw[stretches(start[at], size[at])]
+def bytes_at(raw: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The bytes of stretches one after another, gathered BLOCK stretches at a time."""
+    out, at = np.empty(int(size.sum()), np.uint8), 0
+    for i in range(0, len(start), BLOCK):
+        n = int(size[i : i + BLOCK].sum())
+        out[at : at + n] = raw[stretches(start[i : i + BLOCK], size[i : i + BLOCK])]
+        at += n
+    return out
 
 
 def without_copies(x: Columns, raw: np.ndarray, length: int) -> tuple[Columns, np.ndarray, Columns]:
     """Pieces that no smaller document has whole, their bytes, and spans of the others. Equal names are checked byte by byte."""
-    order, smaller, _ = settle(x, ("key", "content", "n"))
+    order, smaller, _ = settle(x, ("content",))
     size = sizes(x, length)
     start = np.cumsum(size) - size
     head = order[np.maximum.accumulate(np.where(smaller, 0, np.arange(len(order))))]  # what stands before has the group's least k
     mine, other = order[smaller], head[smaller]
+    like = (x["n"][mine] == x["n"][other]) & (x["key"][mine] == x["key"][other])
+    mine, other = mine[like], other[like]
     same = np.zeros(len(mine), bool)
-    for i in range(0, len(mine), 1 << 16):  # bounds memory
-        a, b = mine[i : i + (1 << 16)], other[i : i + (1 << 16)]
+    for i in range(0, len(mine), BLOCK):
+        a, b = mine[i : i + BLOCK], other[i : i + BLOCK]
         n = size[a]
         equal = raw[stretches(start[a], n)] == raw[stretches(start[b], n)]
-        same[i : i + (1 << 16)] = np.logical_and.reduceat(equal, np.cumsum(n) - n)
-    gone = np.zeros(len(order), bool)
-    gone[mine[same]] = True
-    told = spans_of(pick(x, gone), COPY)
-    return (*cut(x, raw, np.flatnonzero(~gone), length), told)
+        same[i : i + BLOCK] = np.logical_and.reduceat(equal, np.cumsum(n) - n)
+    stays = np.ones(len(order), bool)
+    stays[mine[same]] = False
+    return pick(x, stays), bytes_at(raw, start[stays], size[stays]), spans_of(pick(x, ~stays), COPY)
 
 
 def bucket_pointers(raw: np.ndarray, size: np.ndarray, length: int, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray]:
@@ -85,13 +92,13 @@ def bucket_pointers(raw: np.ndarray, size: np.ndarray, length: int, gram: int =
 
     raw holds pieces of these sizes; a suffix ends with its piece.
     """
-    room = np.repeat(np.cumsum(size), size) - np.arange(len(raw))
+    room = (np.repeat(np.cumsum(size), size) - np.arange(len(raw))).astype(np.int32)
     first = np.zeros(len(raw), np.uint64)
     for i in range(gram):
         first[: len(raw) - i] |= raw[i:].astype(np.uint64) << np.uint64(8 * (gram - 1 - i))
-    order = np.flatnonzero(room >= gram)
+    order = np.flatnonzero(room >= gram).astype(np.int32)
     order = order[np.argsort(first[order], kind="stable")]
-    pointer = np.zeros(len(raw), np.int64)
+    pointer = np.zeros(len(raw), np.int32)
 
     def point(places: np.ndarray, new: np.ndarray) -> np.ndarray:
         """Let the suffixes at these places of order point to the last of their bucket; which have company."""
@@ -124,19 +131,36 @@ def bucket_pointers(raw: np.ndarray, size: np.ndarray, length: int, gram: int =
 
 
 def repeated(x: Columns, raw: np.ndarray, length: int) -> Columns:
-    """Spans of string starts that a smaller document has."""
+    """Spans of string starts that a smaller document has. Anchors are worked on some at a time: equal strings have equal ones."""
     size = sizes(x, length)
-    suffix, bucket = bucket_pointers(raw, size, length)
-    if not len(suffix):
-        return spans_of(pick(x, slice(0, 0)), COPY)
-    end = np.cumsum(size)
-    piece = np.searchsorted(end, suffix, side="right")
-    k = x["k"][piece]
-    new = np.ones(len(bucket), bool)
-    new[1:] = bucket[1:] != bucket[:-1]
-    gone = np.flatnonzero(k > np.minimum.reduceat(k, np.flatnonzero(new))[np.cumsum(new) - 1])
-    found = pick(x, piece[gone]) | {"p": x["p"][piece[gone]] + (suffix[gone] - (end - size)[piece[gone]]).astype(np.uint32), "n": np.ones(len(gone), np.uint32)}
-    return merged(spans_of(found, COPY))
+    start = np.cumsum(size) - size
+    order = np.lexsort((x["k"], x["key"]))
+    key, k = x["key"][order], x["k"][order]
+    told = [spans_of(pick(x, slice(0, 0)), COPY)]
+    if not len(order):
+        return told[0]
+    head = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+    last = np.append(head[1:], len(order))
+    several = np.flatnonzero(k[head] != k[last - 1])  # an anchor of one document repeats nothing
+    upto = np.cumsum(size[order])
+    i = 0
+    while i < len(several):
+        j = max(i + 1, int(np.searchsorted(upto[last[several] - 1], upto[head[several[i]]] + AT_ONCE)))
+        places = order[stretches(head[several[i:j]], (last - head)[several[i:j]])]
+        some, n = pick(x, places), size[places]
+        suffix, bucket = bucket_pointers(bytes_at(raw, start[places], n), n, length)
+        i = j
+        if not len(suffix):
+            continue
+        end = np.cumsum(n)
+        piece = np.searchsorted(end, suffix, side="right")
+        of = some["k"][piece]
+        new = np.ones(len(bucket), bool)
+        new[1:] = bucket[1:] != bucket[:-1]
+        gone = np.flatnonzero(of > np.minimum.reduceat(of, np.flatnonzero(new))[np.cumsum(new) - 1])
+        found = pick(some, piece[gone]) | {"p": some["p"][piece[gone]] + (suffix[gone] - (end - n)[piece[gone]]).astype(np.uint32), "n": np.ones(len(gone), np.uint32)}
+        told.append(merged(spans_of(found, COPY)))
+    return joined(told)
 
 
 def send_pieces(shape: Shape, parts: int):
@@ -151,7 +175,7 @@ def send_pieces(shape: Shape, parts: int):
         for i, blob in blobs_by_part(x, (x["key"] % np.uint64(parts)).astype(np.int32), (*PIECE, ("_at", "<i8"))):
             mine = unpack([blob], (*PIECE, ("_at", "<i8")))
             at = mine.pop("_at")
-            rows.append((i, False, pack(mine, PIECE) + raw[stretches(start[at], size[at])].tobytes()))
+            rows.append((i, False, pack(mine, PIECE) + bytes_at(raw, start[at], size[at]).tobytes()))
         yield from sent(rows)
 
     def run(batches):
@@ -167,9 +191,9 @@ def send_pieces(shape: Shape, parts: int):
             single["key"] = single["content"] = sums.at(single["at"], single["at"] + shape.length)
             x = joined([pick(x, ~x["hot"] | x["copy"]), single])
             got.append({name: x[name] for name, _ in PIECE})
-            raws.append(bytes_of[stretches(x["at"], sizes(x, shape.length))])
-            held += len(x["p"])
-            if held >= FLUSH:
+            raws.append(bytes_at(bytes_of, x["at"], sizes(x, shape.length)))
+            held += len(raws[-1])
+            if held >= SENT_BYTES:
                 yield from flush(got, raws)
                 got, raws, held = [], [], 0
         if got:

@@ -229,7 +229,9 @@ def test_repeats_with_little_memory_and_crowded_anchors(docs, monkeypatch, flush
     operators = ((substring_dedup.dedup, ("n_words", "kept")), (suffix_dedup.dedup, ("n_bytes", "starts", "kept")))
     whole = [by_text(fn(docs), *c) for fn, c in operators]
     monkeypatch.setattr(repeats, "FLUSH", flush)
-    monkeypatch.setattr(suffix_dedup, "FLUSH", flush)
+    monkeypatch.setattr(suffix_dedup, "SENT_BYTES", 70 * flush)
+    monkeypatch.setattr(suffix_dedup, "AT_ONCE", 70 * flush)
+    monkeypatch.setattr(suffix_dedup, "BLOCK", min(flush, 1 << 14))
     monkeypatch.setattr(repeats, "STEP", 50)
     monkeypatch.setattr(repeats, "HELD", held)
     monkeypatch.setattr(suffix_dedup, "HELD", held)
