@@ -2,8 +2,8 @@
 
 The graph's nodes are strings of WINDOW - 1 words, its edges strings of WINDOW or more words from node
 to node. The filter (repeats.py) names the stretches of a document that may repeat; a stretch that
-another document has whole is one edge, as its inner nodes do not branch there, and one that agrees in
-part is an edge for each window. Edges that two documents have stay, each with its source: the
+another document has whole is one edge; where no smaller document has it whole, its runs are edges
+too, and where runs agree in part only, so is each of their windows. Edges that two documents have stay, each with its source: the
 coordinates of its least occurrence. A node is simple if all edges into it end in one window and all
 edges out of it begin with one; at simple nodes an edge is joined to the edge that goes on in the same
 source, and paths of such joins are compacted by pointer jumping: each round a join doubles how far
@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import discard, materialize, read_documents
-from .repeats import Shape, Sums, candidates, chosen_runs, covered, joined, keyed, pick, run_starts
+from .repeats import Columns, Shape, Sums, candidates, chosen_runs, covered, keyed, pack, pick, run_starts, unpack
 from .suffix_dedup import byte_symbols, stretches
 
 WINDOW, GRAM = 13, 5
@@ -59,30 +59,69 @@ def words_of(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "surrogatepass").split()
 
 
-EDGES = "edge long, first long, last long, head long, tail long, n int, k long, h long, p int"
+EDGE = "edge long, first long, last long, head long, tail long, n int, k long, h long, p int"
+PART = (("edge", "<u8"), ("first", "<u8"), ("last", "<u8"), ("head", "<u8"), ("tail", "<u8"), ("n", "<u4"), ("p", "<u4"))
+
+
+def edges_at(sums: Sums, at: np.ndarray, n: np.ndarray, window: int) -> Columns:
+    """Names of the edges of n windows from these places: own, first and last window, first and last node."""
+    stop = at + n
+    return {"edge": sums.at(at, stop + window - 1), "first": sums.at(at, at + window), "last": sums.at(stop - 1, stop - 1 + window), "head": sums.at(at, at + window - 1), "tail": sums.at(stop, stop + window - 1), "n": n}
+
+
+def edge_batch(x: Columns, *more: pa.Array) -> pa.RecordBatch:
+    named = [x[c].view(np.int64) for c in ("edge", "first", "last", "head", "tail")]
+    columns = [*named, x["n"].astype(np.int32), x["k"], x["h"], x["p"].astype(np.int32)]
+    return pa.RecordBatch.from_arrays([*map(pa.array, columns), *more], ["edge", "first", "last", "head", "tail", "n", "k", "h", "p", "parts"][: 9 + len(more)])
 
 
 def send_edges(shape: Shape):
-    """Occurrences of edges: name, first and last window, first and last node, windows, coordinates."""
+    """Occurrences of edges with their coordinates. Runs in a row that others have whole are one edge, with its runs packed in parts."""
 
     def run(batches):
         for _, _, sums, x in chosen_runs(batches, shape):
-            parts = x["open"] | x["hot"]
-            one = np.flatnonzero(parts)
-            shift = stretches(np.zeros(len(one), np.int64), x["n"][one])
-            one = np.repeat(one, x["n"][one])
-            single = pick(x, one) | {"n": np.ones(len(one), np.int64), "p": x["p"][one] + shift, "at": x["at"][one] + shift}
-            x = joined([pick(x, x["copy"] & ~(parts & (x["n"] == 1))), single])
             if not len(x["p"]):
                 continue
-            at, stop, w = x["at"], x["at"] + x["n"], shape.length
-            made = {"edge": sums.at(at, stop + w - 1), "first": sums.at(at, at + w), "last": sums.at(stop - 1, stop - 1 + w), "head": sums.at(at, at + w - 1), "tail": sums.at(stop, stop + w - 1)}
-            made = [pa.array(v.view(np.int64)) for v in made.values()] + [pa.array(x["n"].astype(np.int32)), pa.array(x["k"]), pa.array(x["h"]), pa.array(x["p"].astype(np.int32))]
-            yield pa.RecordBatch.from_arrays(made, ["edge", "first", "last", "head", "tail", "n", "k", "h", "p"])
+            open_ = np.flatnonzero(x["open"] | x["hot"])
+            shift = stretches(np.zeros(len(open_), np.int64), x["n"][open_])
+            one = np.repeat(open_, x["n"][open_])
+            single = edges_at(sums, x["at"][one] + shift, np.ones(len(one), np.int64), shape.length) | {"k": x["k"][one], "h": x["h"][one], "p": x["p"][one] + shift}
+            for i in range(0, len(one), 1 << 16):
+                yield edge_batch(pick(single, slice(i, i + (1 << 16))), pa.nulls(min(1 << 16, len(one) - i), pa.binary()))
+            x = pick(x, x["copy"])
+            if not len(x["p"]):
+                continue
+            new = np.ones(len(x["p"]), bool)
+            new[1:] = (x["text"][1:] != x["text"][:-1]) | (x["p"][1:] != x["p"][:-1] + x["n"][:-1])
+            edge = np.append(np.flatnonzero(new), len(new))
+            begin, stop = edge[:-1], edge[1:] - 1
+            n = x["p"][stop] + x["n"][stop] - x["p"][begin]
+            whole = edges_at(sums, x["at"][begin], n, shape.length) | {c: x[c][begin] for c in ("k", "h", "p")}
+            inner = edges_at(sums, x["at"], x["n"], shape.length) | {"p": x["p"]}
+            parts = [pack(pick(inner, slice(a, b + 1)), PART) if a < b else None for a, b in zip(begin, stop, strict=True)]
+            yield edge_batch(whole, pa.array(parts, pa.binary()))
 
     return run
 
 
+def taken_apart(batches):
+    """Edges of parts."""
+    for batch in batches:
+        for k, h, blob in zip(*(batch.column(c).to_pylist() for c in ("k", "h", "parts")), strict=True):
+            x = unpack([blob], PART)
+            for i in range(0, len(x["n"]), 1 << 16):
+                some = pick(x, slice(i, i + (1 << 16)))
+                yield edge_batch(some | {"k": np.full(len(some["n"]), k), "h": np.full(len(some["n"]), h)})
+
+
+def occurrences_of(sent: DataFrame) -> DataFrame:
+    """Occurrences of edges at all grains: what is longer than a run is taken apart where no smaller document has it whole."""
+    long = sent.where(F.col("parts").isNotNull())
+    least = long.groupBy("edge").agg(F.min("k").alias("least"))
+    own = long.join(least, "edge").where(F.col("k") == F.col("least")).select("k", "h", "parts")
+    return sent.drop("parts").unionByName(own.mapInArrow(taken_apart, EDGE))
+
+
 def repeated_edges(occurrences: DataFrame) -> DataFrame:
     """Edges of two documents or more, each with the coordinates of its least occurrence: sk, sh, sp."""
     once = occurrences.groupBy("edge").agg(F.min(F.struct("k", "h", "p")).alias("s"), F.max("k").alias("most"), *(F.min(c).alias(c) for c in ("first", "last", "head", "tail", "n")))
@@ -164,10 +203,12 @@ def repeated_spans(docs: DataFrame, shape: Shape) -> DataFrame:
     """k, h, spans array<struct<a,size>> of docs' rows: stretches of words whose every window a smaller document has."""
     rows = keyed(docs, [])
     may = candidates(docs, shape)
-    occurrences = materialize(rows.join(may, ["k", "h"]).select("k", "h", "text", "spans").mapInArrow(send_edges(shape), EDGES), "occurrences")
+    told = materialize(rows.join(may, ["k", "h"]).select("k", "h", "text", "spans").mapInArrow(send_edges(shape), EDGE + ", parts binary"), "told")
+    occurrences = materialize(occurrences_of(told), "occurrences")
+    discard(may, told)
     edges = materialize(repeated_edges(occurrences), "edges")
     spans = materialize(long_spans(occurrences, compact(edges)), "spans")
-    discard(may, occurrences, edges)
+    discard(occurrences, edges)
     found, told = verified(rows, spans)
     out = materialize(found.groupBy("k", "h").agg(F.collect_set(F.struct("a", "size")).alias("spans")), "repeated-spans")
     discard(spans, told)
