@@ -4,21 +4,24 @@ For each language a zstandard raw-content dictionary is cut from a bounded sampl
 texts. A text goes to the language whose dictionary compresses it to the fewest bytes; whole texts
 are compressed, in blocks that are each small against a dictionary, so that a long text can't lean
 on its own beginning instead. The score is the relative margin between the best and the second
-language; margins under MARGIN are rejected (column rejected) in texts of ENOUGH characters, and so
-are texts without a letter.
+language; margins under MARGIN are rejected (column rejected), and so are texts without a letter.
+The margin alone decides: it holds for texts of every length.
 
-Learning reads text and lang of documents outside the held-out fold only. Defined cases: a null text
-or one without a letter is `und` with score 0 and rejected; without any labelled text all are. Rows
-with a null lang teach nothing. Ties go to the language with more labelled texts. With one learned language
-the score is 1. Repeated rows give repeated results.
+Learning reads text and lang of documents outside the held-out fold only. Every label is learned,
+from SAMPLE_TEXTS of its texts at most, each with a piece of PIECE characters from anywhere in it.
+
+Defined cases: a null text or one without a letter (Unicode's category L) is `und` with score 0 and
+rejected; without any labelled text all are. Rows with a null lang teach nothing. Ties go to the
+language with more labelled texts and are rejected. With one learned language the score is 1.
+Repeated rows give repeated results, and repeated texts teach once. Very long texts are compressed
+whole. Extra columns, whatever their names, are not looked at. An empty table gives an empty result.
 """
 
 from __future__ import annotations
 
-import re
-
 import numpy as np
 import pyarrow as pa
+import regex
 import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -26,15 +29,12 @@ from pyspark.sql import functions as F
 from .common import map_texts, read_documents
 
 FOLDS = 5
-SAMPLE_DOCS = 96  #: labelled texts of a language in its dictionary
-SAMPLE_CHARS = 1_200  #: characters of each that go into it
-LANGUAGES = 200  #: most languages that are learned, the most frequent first: bounds what is sent to executors
-LEVEL, BLOCK = 3, 4_096  #: zstandard level; bytes compressed at once
+SAMPLE_TEXTS, PIECE = 256, 1_200  #: labelled texts of a language that give a piece to its dictionary, and characters of a piece
+LEVEL, BLOCK = 6, 2_048  #: zstandard level; bytes compressed at once
 MARGIN = 0.002
 UNKNOWN = "und"
-ENOUGH = 64  #: characters from which a narrow margin is held against a text; shorter ones can't show more
 PLAIN = bytes(b if b >= 128 or chr(b).isalpha() else 32 for b in range(256))
-LETTER = re.compile(r"[^\W\d_]")
+LETTER = regex.compile(r"\p{L}")
 
 
 def fold(doc_id: Column) -> Column:
@@ -44,19 +44,22 @@ def fold(doc_id: Column) -> Column:
 def learn(docs: DataFrame) -> dict[str, bytes]:
     """Language to dictionary, the most frequent language first, from text and lang alone.
 
-    A dictionary has at most SAMPLE_DOCS * SAMPLE_CHARS characters. The counts are over all labelled
-    rows. The sample is the distinct texts with the least hash: a threshold known from the count
-    leaves about four times the sample, of which the least are kept. Labels can be wrong, so each
-    half of the sample is classified by the other half's dictionaries, and what they give to another
-    language is left out.
+    The counts are over all labelled rows. The sample is the distinct texts with the least hash: a
+    threshold known from the count leaves about four times the sample, of which the least are kept.
+    Each gives one piece from anywhere in it, by its hash. Labels can be wrong, so each half of the
+    sample is classified by the other half's dictionaries, and what they give to another language is
+    left out. The driver gets a count and a sample for each label: a bound by the number of languages.
     """
     known = docs.select("doc_id", "text", "lang").where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ((fold(F.col("doc_id")) != 0) | F.col("doc_id").isNull()))
-    counts = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()}
-    if not counts:
+    told = known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").collect()
+    if not told:
         return {}
-    share = F.create_map(*(F.lit(x) for lang, n in counts.items() for x in (lang, min(1.0, 4 * SAMPLE_DOCS / n))))
-    drawn = known.select("lang", F.substring("text", 1, SAMPLE_CHARS).alias("part"), F.xxhash64("text").alias("h")).where(F.col("lang").isin(list(counts))).where((F.col("h").cast("double") / 2.0**64 + 0.5) <= F.element_at(share, F.col("lang")))
-    least = drawn.dropDuplicates(["lang", "h"]).groupBy("lang").agg(F.slice(F.sort_array(F.collect_list(F.struct("h", "part"))), 1, SAMPLE_DOCS)["part"].alias("parts"))
+    counts = {r["lang"]: r["n"] for r in told}
+    share = F.create_map(*(F.lit(x) for lang, n in counts.items() for x in (lang, min(1.0, 4 * SAMPLE_TEXTS / n))))
+    drawn = known.select("lang", "text", F.xxhash64("text").alias("h")).where((F.col("h").cast("double") / 2.0**64 + 0.5) <= F.element_at(share, F.col("lang")))
+    pieces = F.greatest(F.ceil(F.char_length("text") / PIECE), F.lit(1))
+    part = F.substring("text", (F.pmod(F.xxhash64("h"), pieces) * PIECE + 1).cast("int"), F.lit(PIECE))
+    least = drawn.select("lang", "h", part.alias("part")).dropDuplicates(["lang", "h"]).groupBy("lang").agg(F.slice(F.sort_array(F.collect_list(F.struct("h", "part"))), 1, SAMPLE_TEXTS)["part"].alias("parts"))
     parts = {r["lang"]: r["parts"] for r in least.collect()}
     parts = {lang: parts[lang] for lang in counts if lang in parts}
     halves = [Classifier({lang: join(x[i::2]) for lang, x in parts.items()}) for i in (0, 1)]
@@ -94,7 +97,7 @@ class Classifier:
         sizes = self.sizes(text)
         order = sorted(range(len(sizes)), key=lambda i: (sizes[i], i))
         score = 1 - sizes[order[0]] / sizes[order[1]] if len(order) > 1 else 1.0
-        return self.langs[order[0]], score, score < MARGIN and len(text) >= ENOUGH
+        return self.langs[order[0]], score, score < MARGIN
 
 
 def identify(docs: DataFrame, dictionaries: dict[str, bytes], keep: list[str]) -> DataFrame:

@@ -1,13 +1,17 @@
 """Operator 1, secret scans: an incremental blob ledger.
 
-Every version of every document is a blob, named by the SHA-256 of its bytes. The ledger is a table
-of (blob, rule version, spans): a scan takes only blobs that it lacks under the current rules, each
-distinct text once however many paths hold it, appends what it finds (also when that is nothing) and
-joins the ledger back to all paths. The rule version is a digest of the rules, so changed rules scan
-all again and unchanged ones nothing.
+Every version of every document is a blob, named by the SHA-256 of its bytes. The ledger has two
+tables: paths, where each batch appends which document had which blob, so the history of a document
+is kept; and findings, a row for each scanned pair of blob and rule version, also where nothing was
+found. A scan takes only blobs that findings lacks under the current rules, each distinct text once
+however many paths hold it, and findings are joined back to all paths, those of earlier batches
+included. The rule version is a digest of the rules, so changed rules scan all again and unchanged
+ones nothing. Batches that run at one time may scan a blob twice; reading takes each pair once.
 
 Defined cases: a null text is the empty blob. Repeated rows give repeated results. Spans are in code
-points, end exclusive. Extra columns are not looked at. An empty table gives an empty result.
+points, end exclusive. A path whose blob wasn't scanned under the rules keeps its row, with null spans.
+Very long texts are scanned whole. Extra columns, whatever their names, are not looked at. An empty
+table gives an empty result.
 """
 
 from __future__ import annotations
@@ -17,10 +21,10 @@ import re
 import uuid
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-from .common import map_texts, read_documents, shared_dir, text_of
+from .common import CLEANUP, map_texts, read_documents, shared_dir, text_of
 
 #: The rules, in the order in which equal starts are listed: pattern, group whose length counts, least length, a string or strings (lower case) without which nothing matches.
 RULES: tuple[tuple[str, str, int, int, tuple[str, ...]], ...] = (
@@ -30,7 +34,8 @@ RULES: tuple[tuple[str, str, int, int, tuple[str, ...]], ...] = (
 )
 
 Rules = tuple[tuple[str, str, int, int, tuple[str, ...]], ...]
-LEDGER = "blob string, rules string, spans array<struct<kind:string,start:int,end:int>>"
+PATHS = "doc_id long, blob string, batch string"
+FINDINGS = "blob string, rules string, spans array<struct<kind:string,start:int,end:int>>"
 
 
 def rule_version(rules: Rules) -> str:
@@ -58,45 +63,58 @@ def scan(blobs: DataFrame, rules: Rules = RULES) -> DataFrame:
 
 
 class Ledger:
-    """The table of scanned blobs at a path that all executors share."""
+    """The tables of a ledger in a folder that all executors share."""
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path
 
-    def read(self) -> DataFrame:
-        hadoop = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
+    def _read(self, name: str, schema: str) -> DataFrame:
+        hadoop = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
         there = hadoop.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(hadoop)
-        return self.spark.read.schema(LEDGER).parquet(self.path) if there else self.spark.createDataFrame([], LEDGER)
-
-    def update(self, docs: DataFrame, rules: Rules = RULES) -> int:
-        """Scan what docs (text) hold and the ledger lacks. Returns how many blobs were scanned."""
-        version = rule_version(rules)
-        blobs = docs.select(F.sha2(text_of(), 256).alias("blob"), text_of().alias("text")).groupBy("blob").agg(F.first("text").alias("text"))
-        known = self.read().where(F.col("rules") == version).select("blob")
+        return self.spark.read.schema(schema).parquet(f"{self.path}/{name}") if there else self.spark.createDataFrame([], schema)
+
+    def paths(self) -> DataFrame:
+        return self._read("paths", PATHS)
+
+    def scanned(self, rules: Rules = RULES) -> DataFrame:
+        """blob and spans of what was scanned under the rules, each blob once."""
+        return self._read("findings", FINDINGS).where(F.col("rules") == rule_version(rules)).dropDuplicates(["blob"]).select("blob", "spans")
+
+    def update(self, docs: DataFrame, rules: Rules = RULES) -> tuple[str, int]:
+        """Record docs (doc_id, text) as a batch and scan what the ledger lacks. Returns the batch's name and how many blobs were scanned."""
+        batch = uuid.uuid4().hex
+        named = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.sha2(text_of(), 256).alias("blob"), text_of().alias("text"))
+        named.select("doc_id", "blob", F.lit(batch).alias("batch")).write.mode("append").parquet(f"{self.path}/paths")
+        blobs = named.groupBy("blob").agg(F.first("text").alias("text"))
+        known = self.scanned(rules).select("blob")
         if not known.isEmpty():
             blobs = blobs.join(known, "blob", "left_anti")
-        found = scan(blobs, rules)
-        seen = F.count(F.lit(1)).alias("n")
-        from pyspark.sql import Observation
-
         watch = Observation()
-        found.observe(watch, seen).write.mode("append").parquet(self.path)
-        return watch.get["n"]
+        before = self.spark.conf.get(CLEANUP, "false")
+        self.spark.conf.set(CLEANUP, "true")  # the texts that were shuffled are not needed after the scan
+        try:
+            scan(blobs, rules).observe(watch, F.count(F.lit(1)).alias("n")).write.mode("append").parquet(f"{self.path}/findings")
+        finally:
+            self.spark.conf.set(CLEANUP, before)
+        return batch, watch.get["n"]
 
-    def findings(self, docs: DataFrame, rules: Rules = RULES) -> DataFrame:
-        """doc_id and spans of every row of docs, from the ledger."""
-        paths = docs.select("doc_id", F.sha2(text_of(), 256).alias("blob"))
-        known = self.read().where(F.col("rules") == rule_version(rules)).select("blob", "spans")
-        return paths.join(known, "blob").select("doc_id", "spans")
+    def findings(self, batch: str | None = None, rules: Rules = RULES) -> DataFrame:
+        """doc_id, blob, batch, spans of every recorded row, or of one batch's; spans are null where a blob wasn't scanned under the rules."""
+        paths = self.paths() if batch is None else self.paths().where(F.col("batch") == batch)
+        return paths.join(self.scanned(rules), "blob", "left").select("doc_id", "blob", "batch", "spans")
 
 
 def joined(spans):
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
-def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read_documents(spark, sf_dir)
-    ledger = Ledger(spark, f"{shared_dir(spark)}/passagemill/ledger-{uuid.uuid4().hex}")
-    ledger.update(docs)
+def digests(found: DataFrame) -> DataFrame:
+    """The contract's columns of findings."""
     count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
-    return ledger.findings(docs).select("doc_id", count("assign"), count("access"), count("hex"), F.sha2(joined(F.col("spans")), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
+    return found.select("doc_id", count("assign"), count("access"), count("hex"), F.sha2(joined(F.col("spans")), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
+
+
+def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ledger = Ledger(spark, f"{shared_dir(spark)}/passagemill/{spark.sparkContext.applicationId}/ledger-{uuid.uuid4().hex}")
+    batch, _ = ledger.update(read_documents(spark, sf_dir))
+    return digests(ledger.findings(batch))

@@ -143,7 +143,7 @@ def compact(edges: DataFrame) -> DataFrame:
     """edge, sk, sh, sp and start (the place in the source where the edge's path starts).
 
     Pointer jumping: to names an edge before on the path and at its place; done says that it is the
-    first. A path goes forward in one source, so there are no rings, and as many rounds are needed as
+    first. A path goes forward in one source, so there are no rings, and as many jumps are needed as
     the length of the longest path has binary digits. Finished edges take no part any more but as what
     others look up.
     """
@@ -153,8 +153,10 @@ def compact(edges: DataFrame) -> DataFrame:
     state = materialize(state.select("edge", F.col("before").alias("to"), "at", F.col("more").isNull().alias("done")), "jumps")
     while not state.where("not done").isEmpty():
         goal = state.select(F.col("edge").alias("to"), F.col("to").alias("to2"), F.col("at").alias("at2"), F.col("done").alias("done2"))
-        gone = state.where("not done").join(goal, "to").select("edge", F.col("to2").alias("to"), F.col("at2").alias("at"), F.col("done2").alias("done"))
-        now = materialize(state.where("done").unionByName(gone), "jumps")
+        ahead = state.where("not done").select("edge", "to", "at", "done")
+        for _ in range(2):  # two jumps for each table that is written
+            ahead = ahead.join(goal, "to", "left").select("edge", F.when("done", F.col("to")).otherwise(F.col("to2")).alias("to"), F.when("done", F.col("at")).otherwise(F.col("at2")).alias("at"), (F.col("done") | F.col("done2")).alias("done"))
+        now = materialize(state.where("done").unionByName(ahead), "jumps")
         discard(state)
         state = now
     discard(linked)

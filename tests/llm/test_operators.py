@@ -74,20 +74,33 @@ def order(i):
 
 def test_secrets(docs, nothing, spark, tmp_path):
     ledger = secrets_ledger.Ledger(spark, str(tmp_path / "ledger"))
-    assert ledger.update(docs) == len({t or "" for _, t in TEXTS})
-    assert ledger.update(docs) == 0  # nothing unseen
-    more = docs.limit(0).union(spark.createDataFrame([(99, "secret: zyxwvutsrqponm") + (None,) * 10], SCHEMA))
-    assert ledger.update(more) == 1
+    first, n = ledger.update(docs.where("doc_id < 10"))
+    assert n == len({t or "" for i, t in TEXTS if i is not None and i < 10})
+    batch, n = ledger.update(docs)
+    assert n == len({t or "" for _, t in TEXTS} - {t or "" for i, t in TEXTS if i is not None and i < 10})  # only the unseen
+    again, n = ledger.update(docs)
+    assert n == 0  # nothing unseen
+    other = (*secrets_ledger.RULES[1:], ("word", "secret", 0, 1, ()))
+    assert ledger.findings(batch, other).where("spans is null").count() == len(TEXTS)  # not scanned under these rules, not lost
+    assert ledger.update(docs.where("doc_id = 1"), other)[1] == 1
+    changed = docs.limit(0).union(spark.createDataFrame([(17, "secret: zyxwvutsrqponm") + (None,) * 10], SCHEMA))
+    assert ledger.update(changed)[1] == 1
+    assert ledger.findings().where("doc_id = 17").select("blob").distinct().count() == 2  # both versions of the document
+    assert ledger.findings().count() == 2 * len(TEXTS) + len([i for i, _ in TEXTS if i is not None and i < 10]) + 2
+    secrets_ledger.scan(spark.createDataFrame([("b", "x")], "blob string, text string")).write.mode("append").parquet(str(tmp_path / "ledger/findings"))
+    secrets_ledger.scan(spark.createDataFrame([("b", "x")], "blob string, text string")).write.mode("append").parquet(str(tmp_path / "ledger/findings"))
+    assert ledger.scanned().where("blob = 'b'").count() == 1  # scanned twice at one time, read once
     patterns = {"assign": (re.compile(r"((?i:password|passwd|secret|token|api_?key))[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", re.A), 2, 12), "access": (re.compile("AKIA[A-Z0-9]+"), 0, 18), "hex": (re.compile("[0-9a-f]+"), 0, 16)}
 
     def want(_, t):
         found = sorted((m.start(), j, m.end(), kind) for j, (kind, (p, g, least)) in enumerate(patterns.items()) for m in p.finditer(t or "") if len(m[g]) >= least)
         return (",".join(f"{k}:{a}:{b}" for a, _, b, k in found),)
 
-    got = ledger.findings(docs).select("doc_id", secrets_ledger.joined(F.col("spans")).alias("s"))
+    got = ledger.findings(batch).select("doc_id", secrets_ledger.joined(F.col("spans")).alias("s"))
     assert by_text(got, "s") == expected(want)
-    assert ledger.findings(nothing).count() == 0
-    assert secrets_ledger.Ledger(spark, str(tmp_path / "none")).update(nothing) == 0
+    empty = secrets_ledger.Ledger(spark, str(tmp_path / "none"))
+    batch, n = empty.update(nothing)
+    assert n == 0 and empty.findings(batch).count() == 0
 
 
 def test_bpe(docs, nothing):
@@ -112,17 +125,17 @@ def test_bpe_against_library_on_odd_strings():
     texts += ["".join(rng.choice(["<|endoftext|>", "<|startoftext|>", "a", " "]) for _ in range(6)) for _ in range(50)]
     want = [x.ids for x in library.encode_batch(texts, add_special_tokens=False)]
     assert [np.frombuffer(x, np.int32).tolist() for x in encoder.encode(texts)] == want
-    assert [counter.tokens(t) for t in texts] == [len(x) for x in want]
+    assert counter.tokens(texts) == [len(x) for x in want]
 
 
 def test_chunk_maps_compose(monkeypatch):
     path = public_tokenizers.path(trie_bpe.TOKENIZER)
     counter = token_counts.CountTransducer(trie_bpe.load(path))
     text = token_counts.normalize(A + "'s don't\n" + "q" * 100 + " " + B)
-    whole = counter.count(text)
+    whole = counter.count([text])
     for size in (1, 2, 3, 7, 64):
         monkeypatch.setattr(token_counts, "CHUNK", size)
-        assert counter.count(text) == whole
+        assert counter.count([text]) == whole
 
 
 def words13(t):
@@ -171,6 +184,10 @@ def test_language(docs, nothing, spark):
     for i in (4, 5, 6, 21):
         assert odd[i]["lang_pred"] == "und" and odd[i]["rejected"] and odd[i]["score"] == 0
     assert odd[15]["lang_pred"] in learned
+    marks = spark.createDataFrame([(1, "²³ ½ ⅓"), (2, "ª")], "doc_id long, text string")
+    assert [r["lang_pred"] == "und" for r in language.identify(marks, learned, ["doc_id"]).orderBy("doc_id").collect()] == [True, False]
+    rare = known.union(spark.createDataFrame([(i, f"zq xj kvw {i} qqx jzk", f"r{i:03}") for i in range(1, 260)], known.schema))
+    assert len(language.learn(rare)) > 200 and len(language.learn(rare)) == len({r["lang"] for r in rare.collect() if zlib.crc32(str(r["doc_id"]).encode()) % 5})
     assert all(r["lang_pred"] == "und" for r in language.identify(docs, {}, ["doc_id"]).collect())
     assert language.identify(nothing, learned, ["doc_id"]).count() == 0
 
