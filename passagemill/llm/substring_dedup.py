@@ -155,7 +155,7 @@ def compact(edges: DataFrame) -> DataFrame:
         goal = state.select(F.col("edge").alias("to"), F.col("to").alias("to2"), F.col("at").alias("at2"), F.col("done").alias("done2"))
         ahead = state.where("not done").select("edge", "to", "at", "done")
         for _ in range(2):  # two jumps for each table that is written
-            ahead = ahead.join(goal, "to", "left").select("edge", F.when("done", F.col("to")).otherwise(F.col("to2")).alias("to"), F.when("done", F.col("at")).otherwise(F.col("at2")).alias("at"), (F.col("done") | F.col("done2")).alias("done"))
+            ahead = ahead.join(goal, "to", "left").select("edge", F.when(F.col("done"), F.col("to")).otherwise(F.col("to2")).alias("to"), F.when(F.col("done"), F.col("at")).otherwise(F.col("at2")).alias("at"), (F.col("done") | F.col("done2")).alias("done"))
         now = materialize(state.where("done").unionByName(ahead), "jumps")
         discard(state)
         state = now
