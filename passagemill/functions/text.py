@@ -17,15 +17,43 @@ def tokens(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(TOKEN), F.lit(0))
 
 
-def term_counts(corpus: DataFrame) -> DataFrame:
-    """docno, term, tf: aggregated on the map side before the shuffle."""
-    return corpus.select("docno", F.explode(tokens(F.col("text"))).alias("term")).groupBy("docno", "term").agg(F.count(F.lit(1)).alias("tf"))
+def with_terms(rows: DataFrame, stemmed: bool = False) -> DataFrame:
+    """rows with words (sorted tokens of text), n (how many), terms (distinct, sorted) and tfs, all made inside the row: nothing is shuffled.
+
+    stemmed: tokens are replaced by their stems.
+    """
+    made = tokens(F.col("text"))
+    out = rows.withColumn("words", F.sort_array(stems(made) if stemmed else made)).withColumn("n", F.size("words"))
+    first = lambda i: (i == 0) | (F.get("words", i) != F.get("words", i - 1))
+    out = out.withColumn("_at", F.when(F.col("n") > 0, F.filter(F.sequence(F.lit(0), F.col("n") - 1), first)).otherwise(F.array().cast("array<int>")))
+    ends = F.concat(F.slice("_at", 2, F.greatest(F.size("_at"), F.lit(1))), F.array("n"))
+    tfs = F.when(F.col("n") > 0, F.zip_with("_at", ends, lambda a, b: b - a)).otherwise(F.array().cast("array<int>"))
+    return out.withColumns({"terms": F.transform("_at", lambda i: F.get("words", i)), "tfs": tfs}).drop("_at")
+
+
+def term_counts(corpus: DataFrame, stemmed: bool = False) -> DataFrame:
+    """docno, term, tf, len of each row of corpus."""
+    rows = with_terms(corpus.select("docno", "text"), stemmed)
+    return exploded_terms(rows, ["docno", F.col("n").cast("long").alias("len")]).select("docno", "term", F.col("tf").cast("long").alias("tf"), "len")
+
+
+def exploded_terms(rows: DataFrame, keep: list) -> DataFrame:
+    """keep's columns, term and tf of with_terms' rows.
+
+    The outer form keeps Spark from testing the arrays' size before it made their parts: the test would
+    go below the projections and tokenize a text anew for each of its elements.
+    """
+    made = rows.select(*keep, F.explode_outer(F.arrays_zip("terms", "tfs")).alias("x"))
+    return made.select("*", F.col("x.terms").alias("term"), F.col("x.tfs").alias("tf")).drop("x").where(F.col("term").isNotNull())
+
+
+#: What goes out of a query.
+OPERATORS, MARKS = r"[:(){}\[\]^\"~*?\\/+!\-]", r"[^\p{L}\p{N}_\s]"
 
 
 def clean_query(query: Column) -> Column:
     """A query without operators and marks; runs of white space become one space."""
-    out = F.regexp_replace(query, r"[:(){}\[\]^\"~*?\\/+!\-]", " ")
-    out = F.regexp_replace(out, r"[^\p{L}\p{N}_\s]", " ")
+    out = F.regexp_replace(F.regexp_replace(query, OPERATORS, " "), MARKS, " ")
     return F.trim(F.regexp_replace(out, r"\s+", " "))
 
 
@@ -38,10 +66,15 @@ def text_id(text: Column) -> Column:
     return F.concat(F.lit("txt_"), F.md5(F.encode(text, "UTF-8")))
 
 
+#: Words that are read as true and as false.
+TRUE_WORDS = ("true", "1", "1.0", "yes", "y", "si", "sí", "t")
+FALSE_WORDS = ("false", "0", "0.0", "no", "n", "f", "", "nan", "none")
+
+
 def parse_boolean(text: Column) -> Column:
-    """true, 1, yes, y, si, t and their opposites; null for anything else, so that a caller can reject it."""
+    """TRUE_WORDS and FALSE_WORDS, whatever the case, and null is false; null for anything else, so that a caller can reject it."""
     low = F.lower(F.trim(text))
-    return F.when(low.isin("true", "1", "1.0", "yes", "y", "si", "t"), F.lit(True)).when(low.isin("false", "0", "0.0", "no", "n", "f"), F.lit(False))
+    return F.when(text.isNull(), F.lit(False)).when(low.isin(*TRUE_WORDS), F.lit(True)).when(low.isin(*FALSE_WORDS), F.lit(False))
 
 
 def safe_file_name(text: Column) -> Column:
@@ -137,7 +170,15 @@ def porter_stem(w: str) -> str:
     return w
 
 
-@F.pandas_udf(T.StringType())
-def stem(terms: pd.Series) -> pd.Series:
-    """Stems of terms; each distinct term of a batch is stemmed once."""
-    return terms.map({t: porter_stem(t) for t in terms.dropna().unique()})
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def stems(words: pd.Series) -> pd.Series:
+    """The stems of arrays of words; each distinct word of a batch is stemmed once."""
+    known: dict[str, str] = {}
+
+    def stem(w: str) -> str:
+        made = known.get(w)
+        if made is None:
+            made = known[w] = porter_stem(w)
+        return made
+
+    return words.map(lambda x: None if x is None else [stem(w) for w in x])

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .ranking import average_rank, global_rank, running_sums
+from ..tables import materialize
+from .ranking import average_rank, global_rank, quantile, running_sums
 
 FRACTIONS = (0.0, 0.15, 0.25, 0.3, 0.45, 0.6)
 
@@ -19,14 +20,20 @@ def check_fractions(fractions: tuple[float, ...] | list[float]) -> list[float]:
 
 def prune_by_threshold(scored: DataFrame, fraction: float, inclusive: bool = True, exact: bool = True) -> DataFrame:
     """Passages at or above (inclusive) or above the score's quantile; exact or, for very many passages, approximate."""
-    t = F.percentile("quality", fraction) if exact else F.percentile_approx("quality", fraction, 10_000)
-    cut = F.broadcast(scored.agg(t.alias("_t")))  # one row
+    scored = written(scored)
+    cut = F.broadcast(quantile(scored, "quality", fraction, "_t") if exact else scored.agg(F.percentile_approx("quality", fraction, 10_000).alias("_t")))  # one row
     return scored.crossJoin(cut).where(F.col("quality") >= F.col("_t") if inclusive else F.col("quality") > F.col("_t")).drop("_t")
 
 
+def written(scored: DataFrame) -> DataFrame:
+    """scored as a written table, if it isn't one: ranks read it more than once."""
+    return scored if hasattr(scored, "written_at") else materialize(scored, "scored")
+
+
 def with_prune_rank(scored: DataFrame) -> DataFrame:
-    """scored with rank (1: worst; ties by docno) and total."""
-    return global_rank(scored, "quality", "docno").crossJoin(F.broadcast(scored.agg(F.count(F.lit(1)).alias("total"))))  # one row
+    """scored with rank (1: worst; ties by docno; without a score last) and total."""
+    scored = written(scored)
+    return global_rank(scored, "quality", "docno").withColumn("total", F.lit(scored.count()))
 
 
 def prune_fraction(scored: DataFrame, fraction: float) -> DataFrame:
@@ -56,7 +63,7 @@ def pruning_metrics(scored: DataFrame, fractions: tuple[float, ...] = FRACTIONS)
 
 def roc_points(scored: DataFrame) -> DataFrame:
     """score, fpr, tpr at each distinct score, from the best down. scored: quality, label."""
-    groups = scored.groupBy("quality").agg(F.sum((F.col("label") == 1).cast("long")).alias("p"), F.sum((F.col("label") == 0).cast("long")).alias("n"))
+    groups = written(scored).groupBy("quality").agg(F.sum((F.col("label") == 1).cast("long")).alias("p"), F.sum((F.col("label") == 0).cast("long")).alias("n"))
     totals = F.broadcast(groups.agg(F.sum("p").alias("all_p"), F.sum("n").alias("all_n")))  # one row
     cum = running_sums(groups, "quality", {"cp": "p", "cn": "n"}, ascending=False)
     return cum.crossJoin(totals).select("quality", F.try_divide("cn", "all_n").alias("fpr"), F.try_divide("cp", "all_p").alias("tpr"))
@@ -64,7 +71,7 @@ def roc_points(scored: DataFrame) -> DataFrame:
 
 def auc(scored: DataFrame) -> DataFrame:
     """One row: area under the curve by rank sums, ties counting half; null with one label only."""
-    ranked = average_rank(scored.select("quality", "label"), "quality", "r")
+    ranked = average_rank(written(scored).select("quality", "label"), "quality", "r")
     pos = F.sum((F.col("label") == 1).cast("long"))
     neg = F.sum((F.col("label") == 0).cast("long"))
     out = ranked.agg(pos.alias("p"), neg.alias("n"), F.sum(F.when(F.col("label") == 1, F.col("r"))).alias("s"))
@@ -73,7 +80,8 @@ def auc(scored: DataFrame) -> DataFrame:
 
 def score_summary(scored: DataFrame) -> DataFrame:
     """AUC, accuracy at the median, and mean, population deviation, extremes of each label's scores, with their gap."""
-    cut = F.broadcast(scored.agg(F.median("quality").alias("m")))  # one row
+    scored = written(scored)
+    cut = F.broadcast(quantile(scored, "quality", 0.5, "m"))  # one row
     out = scored.crossJoin(cut)
     pick = lambda v: F.when(F.col("label") == v, F.col("quality"))
     stats = out.agg(
@@ -106,7 +114,7 @@ def _at(points: DataFrame, grid: tuple[float, ...], name: str) -> DataFrame:
 def correlations(pairs: DataFrame, a: str, b: str) -> DataFrame:
     """Pearson, Spearman (Pearson of mean ranks), MAE, RMSE, largest difference over finite pairs."""
     finite = lambda c: ~F.isnan(c) & (F.abs(F.col(c)) < float("inf"))
-    ok = pairs.where(finite(a) & finite(b)).select(F.col(a).alias("x"), F.col(b).alias("y"))
+    ok = written(pairs.where(finite(a) & finite(b)).select(F.col(a).alias("x"), F.col(b).alias("y")))
     ranked = average_rank(average_rank(ok, "x", "rx"), "y", "ry")
     d = F.abs(F.col("x") - F.col("y"))
     return ranked.agg(F.count(F.lit(1)).alias("n"), F.corr("x", "y").alias("pearson"), F.corr("rx", "ry").alias("spearman"), F.avg(d).alias("mae"), F.sqrt(F.avg(d * d)).alias("rmse"), F.max(d).alias("max_abs"))
@@ -114,6 +122,7 @@ def correlations(pairs: DataFrame, a: str, b: str) -> DataFrame:
 
 def histogram(scored: DataFrame, bins: int = 50) -> DataFrame:
     """label, bin (1-based), count: equal bins over each label's own range."""
+    scored = written(scored)
     span = F.broadcast(scored.groupBy("label").agg(F.min("quality").alias("lo"), F.max("quality").alias("hi")))  # a row for each label
     width = (F.col("hi") - F.col("lo")) / bins
     at = F.least(F.floor(F.coalesce(F.try_divide(F.col("quality") - F.col("lo"), width), F.lit(0.0))).cast("int") + 1, F.lit(bins))

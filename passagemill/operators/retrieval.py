@@ -7,28 +7,42 @@ from pyspark.sql import functions as F
 
 from ..functions import text as tx
 from ..functions import vectors as vx
+from ..tables import materialize
 
 K1, B = 0.9, 0.4
 QUERY_BLOCK = 1_000  #: query vectors that meet all documents at once
 
 
-def postings(corpus: DataFrame) -> DataFrame:
-    """term, docno, tf, len: the lexical index."""
-    counts = tx.term_counts(corpus)
-    return counts.join(counts.groupBy("docno").agg(F.sum("tf").alias("len")), "docno").select("term", "docno", "tf", "len")
+SMALL = 1_000_000  #: terms of a query set that are sent to all executors; beyond it they are joined
+
+
+def postings(corpus: DataFrame, stemmed: bool = False) -> DataFrame:
+    """term, docno, tf, len: the lexical index, made without a shuffle."""
+    return tx.term_counts(corpus, stemmed).select("term", "docno", "tf", "len")
+
+
+def lengths(corpus: DataFrame, stemmed: bool = False) -> DataFrame:
+    """docno and len of documents with terms."""
+    return corpus.select("docno", F.size(tx.tokens(F.col("text"))).cast("long").alias("len")).where("len > 0")
+
+
+def asked_postings(index: DataFrame, terms: DataFrame) -> DataFrame:
+    """The postings of the terms of a query set: sent to the index if their number is small, else joined."""
+    distinct = terms.select("term").distinct()
+    return index.join(F.broadcast(distinct) if distinct.count() <= SMALL else distinct, "term", "left_semi")
 
 
 def query_terms(topics: DataFrame) -> DataFrame:
     """qid, term, qtf of cleaned queries."""
-    return tx.term_counts(topics.select(F.col("qid").alias("docno"), tx.clean_query(F.col("query")).alias("text"))).select(F.col("docno").alias("qid"), "term", F.col("tf").alias("qtf"))
+    counts = tx.term_counts(topics.select(F.col("qid").alias("docno"), tx.clean_query(F.col("query")).alias("text")))
+    return counts.groupBy(F.col("docno").alias("qid"), "term").agg(F.sum("tf").alias("qtf"))
 
 
-def bm25(index: DataFrame, topics: DataFrame, k1: float = K1, b: float = B) -> DataFrame:
-    """qid, docno, score of documents that share a term with the query. Only the queries' terms leave the index."""
-    docs = index.select("docno", "len").distinct()
-    stats = docs.agg(F.count(F.lit(1)).alias("docs"), F.avg("len").alias("avg_len"))
+def bm25(index: DataFrame, topics: DataFrame, sizes: DataFrame, k1: float = K1, b: float = B) -> DataFrame:
+    """qid, docno, score of documents that share a term with the query. Only the queries' terms leave the index. sizes: docno, len of its documents."""
+    stats = sizes.agg(F.count(F.lit(1)).alias("docs"), F.avg("len").alias("avg_len"))
     terms = query_terms(topics)
-    asked = index.join(terms.select("term").distinct(), "term", "left_semi")
+    asked = materialize(asked_postings(index, terms), "asked-postings")
     df = asked.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     weighted = asked.join(df, "term").crossJoin(F.broadcast(stats))  # one row
     idf = F.ln(1 + (F.col("docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
@@ -38,14 +52,15 @@ def bm25(index: DataFrame, topics: DataFrame, k1: float = K1, b: float = B) -> D
 
 def sparse_index(encoded: DataFrame) -> DataFrame:
     """term, docno, weight from a map column toks."""
-    return encoded.select("docno", F.explode("toks").alias("term", "weight"))
+    return encoded.select("docno", F.explode_outer("toks").alias("term", "weight")).where(F.col("term").isNotNull())
 
 
 def tf_encoder(corpus: DataFrame) -> DataFrame:
-    """A stand-in for a learned encoder: toks holds log term frequencies scaled to unit length."""
-    counts = tx.term_counts(corpus).withColumn("w", F.log1p("tf"))
-    norm = counts.groupBy("docno").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    return counts.join(norm, "docno").groupBy("docno").agg(F.map_from_entries(F.collect_list(F.struct("term", (F.col("w") / F.col("norm")).alias("w")))).alias("toks"))
+    """A stand-in for a learned encoder: toks holds log term frequencies scaled to unit length. Documents without terms go."""
+    rows = tx.with_terms(corpus.select("docno", "text")).where("n > 0").select("docno", "terms", F.transform("tfs", lambda x: F.log1p(x.cast("double"))).alias("w"))
+    rows = rows.withColumn("norm", F.sqrt(F.aggregate("w", F.lit(0.0), lambda a, x: a + x * x)))
+    # the norm is named twice, so that Spark makes it once for each row and not once for each element
+    return rows.select("docno", F.map_from_arrays("terms", F.transform("w", lambda x: F.when(F.col("norm") > 0, x / F.col("norm")))).alias("toks"))
 
 
 def sparse_search(index: DataFrame, queries: DataFrame) -> DataFrame:

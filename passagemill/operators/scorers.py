@@ -18,25 +18,22 @@ LAMBDA, NO_TERMS = 0.99, -999.0
 
 
 def lexical_features(corpus: DataFrame, stop_words: tuple[str, ...] | list[str] = tuple(tx.STOP_WORDS)) -> DataFrame:
-    """docno and seven lexical features; 0 where a text has no tokens. Needs one shuffle of term counts and none of texts."""
-    counts = tx.term_counts(corpus)
-    stop = F.col("term").isin(*stop_words)
-    sums = counts.groupBy("docno").agg(
-        F.sum("tf").alias("n"), F.count(F.lit(1)).alias("u"), F.sum(F.col("tf") * F.char_length("term")).alias("c"),
-        F.sum(F.when(stop, F.col("tf")).otherwise(0)).alias("s"), F.sum(F.col("tf") * F.log2("tf")).alias("e"),
-    )
-    n = F.coalesce("n", F.lit(0))
-    share = lambda x: tx.safe_divide(F.coalesce(x, F.lit(0)).cast("double"), n.cast("double"))
-    return corpus.select("docno").join(sums, "docno", "left").select(
+    """docno and seven lexical features of each row; 0 where a text has no tokens. Made inside the row, without a shuffle."""
+    n = F.col("n").cast("double")
+    unique, stop = F.size("terms"), F.size(F.filter("words", lambda w: w.isin(*stop_words)))
+    logs = F.aggregate("tfs", F.lit(0.0), lambda a, x: a + x * F.log2(x.cast("double")))
+    share = lambda x: tx.safe_divide(x.cast("double"), n)
+    rows = tx.with_terms(corpus.select("docno", "text")).withColumns({"_u": unique, "_s": stop})
+    return rows.select(
         "docno",
-        n.cast("double").alias("length_tokens"),
-        share(F.col("c")).alias("avg_token_length"),
-        share(F.col("u")).alias("unique_token_ratio"),
-        share(F.col("n") - F.col("u")).alias("repetition_ratio"),
-        F.when(n > 0, F.log2(F.greatest(n, F.lit(1))) - F.col("e") / n).otherwise(0.0).alias("lexical_entropy"),
-        share(F.col("s")).alias("stopword_ratio"),
-        share(F.col("n") - F.col("s")).alias("content_word_ratio"),
-    )
+        n.alias("length_tokens"),
+        share(F.char_length(F.array_join("words", ""))).alias("avg_token_length"),
+        share(F.col("_u")).alias("unique_token_ratio"),
+        share(n - F.col("_u")).alias("repetition_ratio"),
+        F.when(n > 0, F.log2(F.greatest(n, F.lit(1.0))) - logs / n).otherwise(0.0).alias("lexical_entropy"),
+        share(F.col("_s")).alias("stopword_ratio"),
+        share(n - F.col("_s")).alias("content_word_ratio"),
+    )
 
 
 def idf_features(corpus: DataFrame) -> DataFrame:
@@ -63,37 +60,35 @@ def validate_features(features: DataFrame) -> DataFrame:
 
 
 def itn(corpus: DataFrame, stemmed: bool = False) -> DataFrame:
-    """Information to noise: distinct terms (or stems) over all; 0 without terms."""
-    counts = tx.term_counts(corpus)
-    if stemmed:
-        stems = counts.select("term").distinct().select("term", tx.stem("term").alias("stem"))
-        counts = counts.join(stems, "term").groupBy("docno", "stem").agg(F.sum("tf").alias("tf"))
-    sums = counts.groupBy("docno").agg((F.count(F.lit(1)) / F.sum("tf")).alias("q"))
-    return corpus.select("docno").join(sums, "docno", "left").select("docno", F.coalesce("q", F.lit(0.0)).alias("quality"))
+    """Information to noise of each row: distinct terms (or stems) over all; 0 without terms. Without a shuffle."""
+    words = tx.tokens(F.col("text"))
+    rows = corpus.select("docno", (tx.stems(words) if stemmed else words).alias("w"))
+    return rows.select("docno", tx.safe_divide(F.size(F.array_distinct("w")).cast("double"), F.size("w").cast("double")).alias("quality"))
 
 
-def background(corpus: DataFrame, limit: int | None = None) -> DataFrame:
+def background(corpus: DataFrame, limit: int | None = None, stemmed: bool = False) -> DataFrame:
     """term, p over the corpus, or over its first `limit` passages by docno where a bounded model is wanted."""
     if limit is not None:
         corpus = corpus.orderBy("docno").limit(limit)
-    counts = tx.term_counts(corpus).groupBy("term").agg(F.sum("tf").alias("tf"))
+    counts = tx.term_counts(corpus, stemmed).groupBy("term").agg(F.sum("tf").alias("tf"))
     return counts.crossJoin(F.broadcast(counts.agg(F.sum("tf").alias("all")))).select("term", (F.col("tf") / F.col("all")).alias("p"))  # one row
 
 
-def cdd(corpus: DataFrame, model: DataFrame | None = None) -> DataFrame:
-    """Negative distance of a document's smoothed term model from the background; NO_TERMS without terms.
+def cdd(corpus: DataFrame, model: DataFrame | None = None, stemmed: bool = False, limit: int | None = None) -> DataFrame:
+    """Negative distance of each row's smoothed term model from the background; NO_TERMS without terms.
 
     Terms that a document lacks contribute P(t) log2(1 / (1 - LAMBDA)) each, so their sum follows from
     the terms that it has: one equi-join instead of a pass over the vocabulary for each document.
     """
-    counts = tx.term_counts(corpus)
-    lengths = counts.groupBy("docno").agg(F.sum("tf").alias("n"))
-    known = counts.join(model if model is not None else background(corpus), "term").join(lengths, "docno")
+    rows = tx.with_terms(corpus.select("docno", F.monotonically_increasing_id().alias("_row"), "text"), stemmed)
+    own = tx.exploded_terms(rows, ["docno", "_row", "n"])
+    known = own.join(model if model is not None else background(corpus, limit, stemmed), "term", "left")
     mixed = LAMBDA * F.col("tf") / F.col("n") + (1 - LAMBDA) * F.col("p")
-    sums = known.groupBy("docno").agg(F.sum("p").alias("p"), F.sum(F.col("p") * F.log2(F.col("p") / mixed)).alias("s"))
-    out = corpus.select("docno").join(lengths, "docno", "left").join(sums, "docno", "left")
+    sums = known.groupBy("_row", "docno").agg(F.sum("p").alias("p"), F.sum(F.col("p") * F.log2(F.col("p") / mixed)).alias("s"))
     absent = (1 - F.coalesce("p", F.lit(0.0))) * F.log2(F.lit(1 / (1 - LAMBDA)))
-    return out.select("docno", F.when(F.col("n").isNull(), F.lit(NO_TERMS)).otherwise(-(absent + F.coalesce("s", F.lit(0.0)))).alias("quality"))
+    scored = sums.select("docno", (-(absent + F.coalesce("s", F.lit(0.0)))).alias("quality"))
+    empty = corpus.where(F.size(tx.tokens(F.col("text"))) == 0)
+    return scored.unionByName(empty.select("docno", F.lit(NO_TERMS).alias("quality")))
 
 
 def magnitude(vectors: DataFrame, column: str = "doc_vec") -> DataFrame:
@@ -117,7 +112,7 @@ def model_scorer(score: Callable[[list[str]], list[float]] | Callable[[], Callab
 
 
 Scorer = Callable[[DataFrame], DataFrame]
-_SCORERS: dict[str, Scorer] = {"itn": itn, "itn_stemmed": lambda c: itn(c, stemmed=True), "cdd": cdd, "length": lambda c: lexical_features(c).select("docno", F.col("length_tokens").alias("quality"))}
+_SCORERS: dict[str, Scorer] = {"itn": itn, "itn_stemmed": lambda c: itn(c, stemmed=True), "cdd": cdd, "cdd_stemmed": lambda c: cdd(c, stemmed=True), "length": lambda c: c.select("docno", F.size(tx.tokens(F.col("text"))).cast("double").alias("quality"))}
 
 
 def register(name: str, scorer: Scorer) -> None:
