@@ -5,9 +5,6 @@ from __future__ import annotations
 import contextlib
 import ctypes
 import itertools
-import re
-import tempfile
-import uuid
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
@@ -17,53 +14,18 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..tables import CLEANUP, discard, materialize, shared_dir
+
+__all__ = ["CLEANUP", "discard", "materialize", "shared_dir"]
+
 #: A document without an id sorts behind every other one.
 NO_ID = 2**63 - 1
 
 
-#: Deletes the shuffle files of a query when it has ended: what it made is written then.
-CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 #: Shuffle partitions at most; beyond it several buckets share one and are read one after another.
 MOST_PARTITIONS = 100_000
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share. Where none is set: one of this machine in local mode, as in tests; an error on a cluster."""
-    base = spark.conf.get("spark.checkpoint.dir", "") or spark.sparkContext.getCheckpointDir()
-    if not base:
-        if not re.fullmatch(r"local(\[[^\[]*\])?", spark.sparkContext.master):
-            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-        base = f"file://{tempfile.mkdtemp(prefix='passagemill-')}"
-        spark.sparkContext.setCheckpointDir(base)
-    return base
-
-
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write df as a table in the shared folder and read it again; the shuffles that made it are freed.
-
-    It cuts the lineage: a lost executor costs the tasks that it ran, not the phases before.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/passagemill/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
-    before = spark.conf.get(CLEANUP, "false")
-    spark.conf.set(CLEANUP, "true")
-    try:
-        df.write.parquet(path)
-    finally:
-        spark.conf.set(CLEANUP, before)
-    out = spark.read.schema(df.schema).parquet(path)
-    out.written_at = path
-    return out
-
-
-def discard(*tables: DataFrame) -> None:
-    """Delete materialized tables that nothing will read any more."""
-    for table in tables:
-        spark = table.sparkSession
-        path = spark._jvm.org.apache.hadoop.fs.Path(table.written_at)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-
-
 def read_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 

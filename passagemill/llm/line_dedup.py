@@ -3,7 +3,7 @@
 A line goes if an earlier line (by doc_id, then line number) is equal or within EDITS single-character
 edits. Where the shorter of two lines has under MIN_CHARS characters, so many edits are allowed as are
 the same share of it: one from 16 characters, none below, where two edits make another word of a
-word. With short=False lines under MIN_CHARS stay altogether; op2 and the pipeline don't use that.
+word. Equal lines go at every length. With short=False lines under MIN_CHARS stay altogether.
 Lines within EDITS edits share one of EDITS + 1 segments: each line is indexed by its own segments
 under (its length, segment number, segment) and probes, for each length that is up to EDITS smaller,
 the substrings that could be such a segment given where it would have to lie. Keys that bring
@@ -328,7 +328,7 @@ def gone_batch(rows: list[tuple[int, int, int]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()), pa.array(blobs, pa.binary())], ["k", "h", "gone"])
 
 
-def gone_lines(docs: DataFrame, edits: int = EDITS, least: int = MIN_CHARS, short: bool = False) -> DataFrame:
+def gone_lines(docs: DataFrame, edits: int = EDITS, least: int = MIN_CHARS, short: bool = True) -> DataFrame:
     """k, h, gone: of each row with lines to remove, packed line numbers, several times where several things remove them."""
     spark, parts = docs.sparkSession, shuffle_parts(docs)
     full = max(least, edits + 1)
@@ -342,7 +342,7 @@ def gone_lines(docs: DataFrame, edits: int = EDITS, least: int = MIN_CHARS, shor
     return met.where(F.col("gone").isNotNull()).select("k", "h", F.col("gone"), F.lit(False).alias("near")).unionByName(near.withColumn("near", F.lit(True)))
 
 
-def dedup_lines(docs: DataFrame, keep: list[str], edits: int = EDITS, least: int = MIN_CHARS, short: bool = False) -> DataFrame:
+def dedup_lines(docs: DataFrame, keep: list[str], edits: int = EDITS, least: int = MIN_CHARS, short: bool = True) -> DataFrame:
     """keep's columns, n_lines, equal and near (numbers of lines that go, from 0; near only what isn't equal), kept text of every row."""
     found = gone_lines(docs, edits, least, short).groupBy("k", "h").agg(F.collect_list(F.when(~F.col("near"), F.col("gone"))).alias("equal"), F.collect_list(F.when(F.col("near"), F.col("gone"))).alias("near"))
     rows = keyed(docs, keep).join(found, ["k", "h"], "left").select(*keep, F.col("text").alias("_text"), F.col("equal").alias("_equal"), F.col("near").alias("_near"))

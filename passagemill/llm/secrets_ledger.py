@@ -90,7 +90,7 @@ class Ledger:
         if not known.isEmpty():
             blobs = blobs.join(known, "blob", "left_anti")
         watch = Observation()
-        before = self.spark.conf.get(CLEANUP, "false")
+        before = self.spark.conf.get(CLEANUP)
         self.spark.conf.set(CLEANUP, "true")  # the texts that were shuffled are not needed after the scan
         try:
             scan(blobs, rules).observe(watch, F.count(F.lit(1)).alias("n")).write.mode("append").parquet(f"{self.path}/findings")

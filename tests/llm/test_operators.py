@@ -339,8 +339,8 @@ def test_line_dedup(docs, nothing):
         return len(parts), same, like
 
     assert len(long) == len(set(long))
-    assert by_text(line_dedup.dedup_lines(docs, ["doc_id"]), "n_lines", "equal", "near") == expected(want)
-    kept = {r["doc_id"]: r["kept"] for r in line_dedup.dedup_lines(docs, ["doc_id"]).collect()}
+    assert by_text(line_dedup.dedup_lines(docs, ["doc_id"], short=False), "n_lines", "equal", "near") == expected(want)
+    kept = {r["doc_id"]: r["kept"] for r in line_dedup.dedup_lines(docs, ["doc_id"], short=False).collect()}
     assert kept[2] == "" and kept[4] is None and kept[12] == "short\nshort" and kept[10].count("\n") == 0
     assert line_dedup.dedup_lines(nothing, ["doc_id"]).count() == 0
 
@@ -366,7 +366,7 @@ def test_line_dedup_of_short_lines(spark, tmp_path):
         want[i] = len(parts), same, like, "\n".join(x for p, x in enumerate(parts) if p not in same + like)
     docs = spark.createDataFrame(texts, "doc_id long, text string").repartition(3)
     docs.write.parquet(str(tmp_path / "documents.parquet"))
-    got = line_dedup.dedup_lines(docs, ["doc_id"], short=True).collect()
+    got = line_dedup.dedup_lines(docs, ["doc_id"]).collect()
     assert {r["doc_id"]: (r["n_lines"], r["equal"], r["near"], r["kept"]) for r in got} == want
     rows = queries.QUERIES["op2_line_dedup"](spark, str(tmp_path)).collect()
     assert {r["doc_id"]: (r["n_equal"], r["near"]) for r in rows} == {i: (len(x[1]), x[2]) for i, x in want.items()}
@@ -379,7 +379,7 @@ def test_line_dedup_leaves_one_copy_of_repeated_rows(spark):
     rows = [(1, only), (1, only), (None, no_id), (None, no_id), (None, pair + "x"), (None, pair + "y"), (3, prose(12)), (3, "z" + only), (3, "z" + only), (4, no_id[:-1] + "z" + "\n" + prose(12))]
     for n in (1, 4):  # one batch, and rows that meet after the shuffle
         docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(n)
-        got = line_dedup.dedup_lines(docs, ["doc_id"]).select("doc_id", "n_lines", "equal", "near", "kept").collect()
+        got = line_dedup.dedup_lines(docs, ["doc_id"], short=False).select("doc_id", "n_lines", "equal", "near", "kept").collect()
         assert len(got) == len(rows)
         assert [r["kept"] for r in got if r["doc_id"] == 1] == [only] * 2
         assert all(r["equal"] == [] for r in got)
