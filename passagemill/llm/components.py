@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import discard, materialize
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -33,6 +33,8 @@ def components(edges: DataFrame) -> DataFrame:
         hanging = edges.join(edges.select(F.col("a").alias("b")), "b", "left_semi")
         if branching.isEmpty() and hanging.isEmpty():
             break
-        edges = materialize(_small_star(_large_star(edges)), "edges")
+        now = materialize(_small_star(_large_star(edges)), "edges")
+        discard(edges)
+        edges = now
     roots = edges.select(F.col("b").alias("node")).distinct().select("node", F.col("node").alias("component"))
     return edges.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(roots)

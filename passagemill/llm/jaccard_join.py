@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import NO_ID, materialize, read_documents, shuffle_parts, slices, text_of, whole_row
+from .common import NO_ID, discard, materialize, read_documents, shuffle_parts, slices, text_of, whole_row
 from .components import components
 from .repeats import STEP, Sums, mix
 from .substring_dedup import word_symbols
@@ -195,6 +195,7 @@ def classes_of(docs: DataFrame, similarity: float = SIMILARITY, recall: float =
     dealt = dealt.select(F.xxhash64("component", low, high).alias("g"), "node", "block", (F.col("block") == F.col("other")).alias("own"), "set")
     links = dealt.repartition(parts, "g").sortWithinPartitions("g", "node").mapInArrow(verify(similarity), "node long, n long, low long")
     links = materialize(links, "links")
+    discard(found)
     counts = links.groupBy("node").agg(F.sum("n").alias("n_links"))
     grouped = components(links.select(F.col("node").alias("a"), F.col("low").alias("b"))).withColumnRenamed("component", "root")
     named = classes.select("c", "node", "rep", "n_copies").join(counts, "node", "left").join(grouped, "node", "left").withColumn("root", F.coalesce("root", "node"))
@@ -202,7 +203,9 @@ def classes_of(docs: DataFrame, similarity: float = SIMILARITY, recall: float =
     named = named.join(least, "root", "left").select(
         "c", "rep", F.coalesce("least.rep", "rep").alias("class_id"), F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"), "n_copies", F.coalesce(F.col("least.c") == F.col("c"), F.lit(True)).alias("stays")
     )
-    return materialize(named, "named")
+    out = materialize(named, "named")
+    discard(classes, links)
+    return out
 
 
 def jaccard_join(docs: DataFrame, similarity: float = SIMILARITY, recall: float = RECALL) -> DataFrame:
@@ -212,11 +215,26 @@ def jaccard_join(docs: DataFrame, similarity: float = SIMILARITY, recall: float
 
 
 def first_of_classes(docs: DataFrame, similarity: float = SIMILARITY, recall: float = RECALL) -> DataFrame:
-    """The rows of docs that stay if of each class only the document with the least doc_id does; of texts that share it one stays, and of equal rows."""
+    """The rows of docs that stay if of each class only the document with the least doc_id does; of texts that share it one stays, and of rows with equal id and text the least by all columns."""
     stay = classes_of(docs, similarity, recall).where("stays").select("c", F.col("rep").alias("k"))
     rows = keyed(docs.select("doc_id", "text", whole_row(docs)), ["_row"]).drop("text")
-    return rows.join(stay, ["k", "c"]).dropDuplicates(["k", "c"]).select("_row.*")
+    first = F.min_by("_row", F.to_json("_row")) if "map<" in rows.schema["_row"].dataType.simpleString() else F.min("_row")  # maps have no order
+    return rows.join(stay, ["k", "c"]).groupBy("k", "c").agg(first.alias("_row")).select("_row.*")
 
 
 def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join(read_documents(spark, sf_dir))
+
+
+OP9_SQL = r"""
+WITH RECURSIVE t AS (SELECT coalesce(text, '') AS x, min(doc_id) AS rep, count(*) AS n_copies FROM documents GROUP BY 1),
+w AS (SELECT rep, regexp_extract_all(lower(x), '[^\x20\x09-\x0D]+') AS w FROM t),
+g AS (SELECT DISTINCT rep, unnest(CASE WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i : i + 4], ' ')) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS s FROM w),
+z AS (SELECT rep, count(*) AS n FROM g GROUP BY rep),
+p AS (SELECT c.a, c.b FROM (SELECT a.rep AS a, b.rep AS b, count(*) AS n FROM g a JOIN g b ON a.s = b.s AND a.rep <> b.rep GROUP BY 1, 2) c JOIN z za ON za.rep = c.a JOIN z zb ON zb.rep = c.b WHERE c.n >= 0.8 * (za.n + zb.n - c.n) - 1e-9),
+r AS (SELECT rep AS a, rep AS b FROM t UNION SELECT r.a, p.b FROM r JOIN p ON r.b = p.a),
+k AS (SELECT a AS rep, min(b) AS class_id, count(*) FILTER (WHERE a <> b) AS reached FROM r GROUP BY a),
+l AS (SELECT a AS rep, count(*) AS n_links FROM p GROUP BY a)
+SELECT d.doc_id, class_id, coalesce(n_links, 0)::BIGINT AS n_links, n_copies
+FROM documents d JOIN t ON coalesce(d.text, '') = t.x JOIN k USING (rep) LEFT JOIN l USING (rep)
+"""

@@ -1,7 +1,7 @@
 """The registered queries of this subpackage and the SQL of those that SQL can express."""
 
 from .decontaminate import OP4_SQL, op4_decontaminate
-from .jaccard_join import op9_jaccard_join
+from .jaccard_join import OP9_SQL, op9_jaccard_join
 from .language import op5_language_id
 from .line_dedup import op2_line_dedup
 from .media import op8_media_columns
@@ -12,4 +12,4 @@ from .token_counts import op6_token_counts
 from .trie_bpe import op3_bpe_roundtrip
 
 QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_line_dedup, op3_bpe_roundtrip, op4_decontaminate, op5_language_id, op6_token_counts, op7_suffix_dedup, op8_media_columns, op9_jaccard_join, op10_substring_dedup)}
-ORACLE_SQL = {"op4_decontaminate": OP4_SQL, "op7_suffix_dedup": OP7_SQL, "op10_substring_dedup": OP10_SQL}
+ORACLE_SQL = {"op4_decontaminate": OP4_SQL, "op7_suffix_dedup": OP7_SQL, "op9_jaccard_join": OP9_SQL, "op10_substring_dedup": OP10_SQL}
