@@ -108,7 +108,8 @@ def close(a: Column, b: Column, absolute: float = 1e-8, relative: float = 1e-5)
 
 def with_close_flags(results: DataFrame, flags: DataFrame, keys: list[str]) -> DataFrame:
     """Flags whose threshold is close, taken only where exactly one candidate fits. Equality on keys keeps the join an equi-join."""
-    r = results.withColumn("_row", F.xxhash64(*results.columns))
+    r = results.withColumn("_row", F.monotonically_increasing_id())  # equal rows are rows of their own
     f = flags.select(*keys, F.col("threshold").alias("_t"), F.col("equivalent").alias("_e"))
-    fits = r.join(f, keys).where(close(F.col("threshold"), F.col("_t"))).groupBy("_row").agg(F.count(F.lit(1)).alias("_n"), F.first("_e").alias("_e"))
-    return r.join(fits, "_row", "left").select(*results.columns, F.when(F.col("_n") == 1, F.col("_e")).alias("equivalent"))
+    near = F.col("_t").isNotNull() & close(F.col("threshold"), F.col("_t"))
+    fits = r.join(f, keys, "left").groupBy("_row").agg(*(F.first(c).alias(c) for c in results.columns), F.count_if(near).alias("_n"), F.max(F.when(near, F.col("_e"))).alias("_e"))
+    return fits.select(*results.columns, F.when(F.col("_n") == 1, F.col("_e")).alias("equivalent"))

@@ -101,6 +101,28 @@ def target_statistics(rows: DataFrame) -> DataFrame:
     return rows.agg(n.alias("total"), p.alias("positives"), (n - p).alias("negatives"), share(p).alias("positive_pct"), share(n - p).alias("negative_pct"))
 
 
+def validate_targeted(rows: DataFrame, corpus: DataFrame) -> DataFrame:
+    """One row: rows, corpus_rows, positives, negatives of a targeted collection. Other targets than 0 and 1, a missing class or a size unlike the corpus's is an error."""
+    one = rows.agg(F.count(F.lit(1)).alias("rows"), F.count_if(F.col("target") == 1).alias("positives"), F.count_if(F.col("target") == 0).alias("negatives"))
+    one = one.crossJoin(F.broadcast(corpus.agg(F.count(F.lit(1)).alias("corpus_rows"))))  # one row
+    wrong = (
+        F.when(F.col("positives") + F.col("negatives") != F.col("rows"), "a target is neither 0 nor 1")
+        .when(F.col("positives") == 0, "no passage is a target")
+        .when(F.col("negatives") == 0, "every passage is a target")
+        .when(F.col("rows") != F.col("corpus_rows"), "the collection and the corpus differ in size")
+    )
+    return one.select(F.when(wrong.isNotNull(), F.raise_error(wrong).cast("long")).otherwise(F.col("rows")).alias("rows"), "corpus_rows", "positives", "negatives")
+
+
+def window_of(df: DataFrame, order: list[str], skip: int = 0, first: int | None = None) -> DataFrame:
+    """The rows behind the first `skip` in an order, `first` of them: a bounded scan that doesn't depend on partitions."""
+    if skip < 0 or first is not None and first < 0:
+        raise ValueError("skip and first can't be negative")
+    out = df.orderBy(*order)
+    out = out.offset(skip) if skip else out
+    return out if first is None else out.limit(first)
+
+
 def split_counts(qrels: DataFrame) -> DataFrame:
     """split, ids: distinct passages of each split and of their union."""
     each = qrels.groupBy("split").agg(F.count_distinct("docno").alias("ids"))
@@ -133,10 +155,15 @@ def exclusions(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path).select(F.trim("value").alias("docno")).where(F.length("docno") > 0)
 
 
+#: How result files are named.
+RUN_FILE = r"compare_all_(.+)_(dev[._]small|test-\d{4}(?:_test-\d{4})*)_([0-9.]+?)(?:_perquery_wide)?\.csv$"
+
+
 def run_keys(name: Column) -> list[Column]:
-    """experiment, qrels and threshold from a result file's name."""
-    pattern = r"compare_all_(.+)_(dev\.small|test-\d{4}(?:_test-\d{4})*)_([0-9.]+?)(?:_perquery_wide)?\.csv$"
-    return [F.regexp_extract(name, pattern, 1).alias("experiment"), F.regexp_extract(name, pattern, 2).alias("qrels_variant"), F.try_to_number(F.regexp_extract(name, pattern, 3), F.lit("9.9999999999")).cast("double").alias("threshold")]
+    """experiment, qrels_variant (dev_small is read as dev.small) and threshold from a result file's name; another name is an error."""
+    known = F.when(F.rlike(name, F.lit(RUN_FILE)), name).otherwise(F.raise_error(F.concat(F.lit("not a result file's name: "), name)).cast("string"))
+    variant = F.replace(F.regexp_extract(known, RUN_FILE, 2), F.lit("dev_small"), F.lit("dev.small"))
+    return [F.regexp_extract(known, RUN_FILE, 1).alias("experiment"), variant.alias("qrels_variant"), F.try_to_number(F.regexp_extract(known, RUN_FILE, 3), F.lit("9.9999999999")).cast("double").alias("threshold")]
 
 
 def results_csv(spark: SparkSession, glob: str, exclude: tuple[str, ...] = ("_perquery_", "_timings")) -> DataFrame:

@@ -36,6 +36,76 @@ def test_noninferiority_edges(spark):
     assert set(got) == {"same", "bad"} and got["same"]["passes"] and not got["bad"]["passes"] and got["same"]["p_noninferiority"] == 0
 
 
+#: Published results of the test, n, mean, mean difference, interval, t, p.
+PUBLISHED = [
+    (97, 0.7986786123384061, 0.0072614956635575, -0.0485831587023937, 0.0631061500295087, 1.6775496563890568, 0.0483440579338818),
+    (97, 0.9354933726067748, 0.0056128293241695, -0.028200312094712, 0.039425970743051, 3.075383037377125, 0.001369174174751),
+    (6980, 0.3472977213808159, -0.0072142629735752, -0.0100451071625196, -0.0043834187846309, 7.029106974264288, 1.137779813889855e-12),
+    (97, 0.697936757957595, -0.0228450426295011, -0.0355752424557815, -0.0101148428032208, 1.879202593829597, 0.0316251269796488),
+    (97, 0.7986786123384061, 0.0045000818196694, -0.0476338841165077, 0.0566340477558466, 1.691811010368574, 0.046962852406352),
+]
+
+
+def test_published_noninferiority():
+    for n, mean, diff, low, high, t, p in PUBLISHED:
+        error = (diff + 0.05 * mean) / t
+        half = student.t_quantile(0.975, n - 1) * error
+        assert (diff - half, diff + half) == pytest.approx((low, high), rel=1e-6)
+        assert student.t_upper_tail(t, n - 1) == pytest.approx(p, rel=1e-6)
+
+
+def test_ranks_with_nulls_and_many_ties(spark, monkeypatch):
+    monkeypatch.setattr(ranking, "ROWS", 1000)
+    n = 100_000
+    rows = spark.range(n).select(F.format_string("d%06d", "id").alias("docno"), F.when(F.col("id") % 10 < 7, 0.5).when(F.col("id") % 1000 != 999, F.rand(3)).alias("quality"))
+    rows = pruning.written(rows)
+    cuts = ranking.cuts_of(rows, "quality", "docno")
+    assert sum(c[1] is not None for c in cuts) > 20  # the ties are cut, too
+    got = ranking.global_rank(rows, "quality", "docno").toPandas()
+    want = rows.toPandas().sort_values(["quality", "docno"], na_position="last").reset_index(drop=True)
+    assert dict(zip(got["docno"], got["rank"], strict=True)) == {d: i + 1 for i, d in enumerate(want["docno"])}
+    down = ranking.global_rank(rows, "quality", "docno", ascending=False).toPandas()
+    want = rows.toPandas().sort_values(["quality", "docno"], ascending=[False, True], na_position="last").reset_index(drop=True)
+    assert dict(zip(down["docno"], down["rank"], strict=True)) == {d: i + 1 for i, d in enumerate(want["docno"])}
+    for q in (0.0, 0.3, 0.5, 0.97, 1.0):
+        assert ranking.quantile(rows, "quality", q, "t").first()["t"] == pytest.approx(want["quality"].quantile(q), rel=1e-12)
+
+
+def test_ranks_of_small_tables(spark):
+    rows = spark.createDataFrame([("a", None), ("b", 2.0), ("c", 1.0)], "docno string, quality double")
+    assert {r["docno"]: r["rank"] for r in ranking.global_rank(rows, "quality", "docno").collect()} == {"c": 1, "b": 2, "a": 3}
+    assert ranking.global_rank(rows.limit(0), "quality", "docno").count() == 0
+    assert ranking.quantile(rows.limit(0), "quality", 0.5, "t").first()["t"] is None
+
+
+def test_repeated_docnos_are_scored_row_by_row(spark):
+    docs = spark.createDataFrame([("a", "x y"), ("a", "z z z")], "docno string, text string")
+    assert sorted(r["length_tokens"] for r in scorers.lexical_features(docs).collect()) == [2, 3]
+    assert sorted(r["quality"] for r in scorers.itn(docs).collect()) == pytest.approx([1 / 3, 1])
+    assert scorers.cdd(docs).count() == 2 == scorers.cdd(docs, stemmed=True).count()
+
+
+def test_close_flags_take_repeated_rows_apart(spark):
+    rows = spark.createDataFrame([("s", 0.3), ("s", 0.3), ("s", 0.5), ("t", 0.3)], "scorer string, threshold double")
+    flags = spark.createDataFrame([("s", 0.3 + 1e-10, True)], "scorer string, threshold double, equivalent boolean")
+    got = sorted((r["scorer"], r["threshold"], r["equivalent"]) for r in cp.with_close_flags(rows, flags, ["scorer"]).collect())
+    assert [x[2] for x in got] == [True, True, None, None]
+
+
+def test_targeted_validation_and_bounded_scan(spark):
+    rows = spark.createDataFrame([("a", 1), ("b", 0)], "docno string, target int")
+    assert src.validate_targeted(rows, rows).first()["positives"] == 1
+    for bad in (rows.where("target = 1"), rows.union(rows.limit(1)), rows.withColumn("target", F.lit(2))):
+        with pytest.raises(Exception, match="target|differ"):
+            src.validate_targeted(bad, rows).collect()
+    assert [r["docno"] for r in src.window_of(rows, ["docno"], 1, 5).collect()] == ["b"]
+
+
+def test_boolean_words(spark):
+    r = spark.range(1).select(*(tx.parse_boolean(F.lit(x)).alias(f"c{i}") for i, x in enumerate(("Sí", "", "nan", "None", "perhaps")))).first()
+    assert tuple(r) == (True, False, False, False, None)
+
+
 def test_lexical_edges(spark):
     docs = spark.createDataFrame([("d0", ""), ("d1", "a a a a"), ("d2", "a b c d"), ("d3", "été naïve"), ("d4", None)], "docno string, text string")
     x = {r["docno"]: r for r in scorers.lexical_features(docs).collect()}
@@ -88,6 +158,10 @@ def test_sources(spark, tmp_path):
     assert [r["malformed"] for r in rows] == [False, True]
     name = spark.range(1).select(*src.run_keys(F.lit("compare_all_x_dev.small_0.3_perquery_wide.csv"))).first()
     assert (name["experiment"], name["qrels_variant"], name["threshold"]) == ("x", "dev.small", 0.3)
+    name = spark.range(1).select(*src.run_keys(F.lit("compare_all_x_dev_small_0.3.csv"))).first()
+    assert name["qrels_variant"] == "dev.small"
+    with pytest.raises(Exception, match="not a result file's name"):
+        spark.createDataFrame([("other.csv",)], "n string").select(*src.run_keys(F.col("n"))).collect()
     cache = str(tmp_path / "cache")
     scored = spark.createDataFrame([("a", 1.0)], "docno string, quality double")
     src.write_quality(scored, cache, "itn")
