@@ -12,8 +12,9 @@ words; the benchmark is sent to them in blocks of at most BLOCK_WINDOWS windows,
 it needs, each with its own pass.
 
 Defined cases: a null or empty text has no words, no hits and is not contaminated; items without
-words have no window; equal items all count. Rows with equal doc_id and text get equal results. Extra
-columns are not looked at.
+words have no window; equal items all count. Rows with equal doc_id and text get equal results. Very
+long texts are compared whole, inside their row. Without documents the result is empty, without items
+nothing is hit. Extra columns, whatever their names, are not looked at.
 """
 
 from __future__ import annotations

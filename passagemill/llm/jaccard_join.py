@@ -13,6 +13,9 @@ texts at similarity or above) and n_copies (documents with the same text, itself
 
 Defined cases: null is as the empty text; texts without words are copies of each other if they are
 equal and link to nothing else. A null doc_id keeps its row and counts as larger than all others.
+Repeated rows are copies of one text and each get a row. Very long texts are worked on whole, as one
+batch; a group of BLOCK classes holds their sets in memory. An empty table gives an empty result. Extra
+columns, whatever their names, are not looked at.
 """
 
 from __future__ import annotations

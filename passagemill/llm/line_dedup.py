@@ -10,14 +10,17 @@ the substrings that could be such a segment given where it would have to lie. Ke
 different lines together are found on hashes; only their lines are fetched and verified by a banded
 bit-parallel edit distance.
 
-A key's indexed lines are dealt to blocks of BLOCK, and its probing lines go to each block and pass
-by one at a time, so no key gathers more than a block in memory. Copies of a line within a batch are
-settled before the shuffle and equal lines count as one afterwards. A pair is not looked at once the
+When lines are verified, a key's indexed lines are dealt to blocks of BLOCK, and its probing lines go
+to each block and pass by one at a time, so no key gathers more than a block of lines in memory. Before
+that, hashes alone meet: there a key's different lines lie together in one part's memory, at 33 bytes
+and more each. Copies of a line within a batch are settled before the shuffle and equal lines count
+as one afterwards. A pair is not looked at once the
 later line of it is known to go.
 
 Defined cases: a null or empty text has one empty line, which stays. Lines end at \\n alone. A null
 doc_id counts as larger than all others. Rows of one doc_id are told apart by a hash of their text;
-fully equal rows share one fate, so copies among them stay. Extra columns are not looked at.
+fully equal rows share one fate, so copies among them stay. Very long texts are worked on whole, as
+one batch. An empty table gives an empty result. Extra columns, whatever their names, are not looked at.
 """
 
 from __future__ import annotations

@@ -7,7 +7,9 @@ peaks of the next frames. A pair is one number (frequency, frequency, distance i
 with its time in two arrays of equal length.
 
 Defined cases: a null or empty text is 576 bytes of padding. A flat spectrum has no peaks, so the
-arrays are empty. Equal texts give equal values. Extra columns are not looked at.
+arrays are empty. Equal texts give equal values, repeated rows included. Very long texts are stored
+whole and transformed BLOCK frames at a time. An empty table gives an empty result. Extra columns,
+whatever their names, are not looked at.
 """
 
 from __future__ import annotations

@@ -5,7 +5,8 @@ last token of each prefix's encoding; a prefix that many words share is encoded
 are read back from its end by jumping over the last tokens. Decoding joins the tokens of the ids.
 
 Defined cases: a null or empty text has no ids and decodes to ''. Special strings inside a text
-become their special ids. Repeated rows give repeated results. Extra columns are not looked at.
+become their special ids. Repeated rows give repeated results. An empty table gives an empty result.
+Very long texts are encoded whole, as one run. Extra columns, whatever their names, are not looked at.
 Memory: words are cached up to a number, and texts come in runs of about 1 MB.
 """
 

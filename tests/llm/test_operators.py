@@ -557,6 +557,32 @@ def test_queries_against_brute_force(docs, spark, tmp_path):
 
     assert rows("op8_media_columns", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "feature") == expected(media_of)
 
+def test_very_long_texts_and_clashing_columns(spark, benchmark):
+    """A text of a million characters through every operator, beside columns with the names that they make."""
+    names = "spans gone asked open settled bands node set media token_ids decoded equal near kept part edge text2 rank in_".split()
+    rng = random.Random(9)
+    long = " ".join(rng.choice(WORDS) for _ in range(180_000)) + "\n" + "x" * 50_000 + " " + A
+    rows = [(1, A, "en"), (2, long, "de"), (3, None, None), (4, long[:400_000], "en")]
+    docs = spark.createDataFrame([(*r, *["?"] * len(names)) for r in rows], "doc_id long, text string, lang string, " + ", ".join(f"{n} string" for n in names))
+    path = public_tokenizers.path(trie_bpe.TOKENIZER)
+    library = Tokenizer.from_file(path)
+    want = {i: library.encode(t or "", add_special_tokens=False).ids for i, t, _ in rows}
+    assert {r["doc_id"]: r["token_ids"] for r in trie_bpe.roundtrip(docs, ["doc_id"], path).collect()} == want
+    assert {r["doc_id"]: r["n_tokens"] for r in token_counts.count_tokens(docs, ["doc_id"], path).collect()} == {i: len(x) for i, x in want.items()}
+    gone = {r["doc_id"]: r["n_bytes"] - len(r["kept"]) for r in suffix_dedup.dedup(docs).collect()}
+    assert gone == {1: 0, 2: len(A), 3: 0, 4: 400_000}
+    words = {r["doc_id"]: (r["n_words"], len(r["kept"].split())) for r in substring_dedup.dedup(docs).collect()}
+    assert words[2] == (180_061, 180_001) and words[4][1] <= 1 and words[1] == (60, 60)
+    for made in (jaccard_join.first_of_classes(docs), decontaminate.clean(docs, benchmark)):
+        assert made.columns == docs.columns
+    assert jaccard_join.jaccard_join(docs).count() == 4 == decontaminate.contamination(docs, benchmark).count()
+    lines = {r["doc_id"]: (r["n_lines"], r["equal"]) for r in line_dedup.dedup_lines(docs, ["doc_id"]).collect()}
+    assert lines == {1: (1, []), 2: (2, []), 3: (1, []), 4: (1, [])}
+    stored = {r["doc_id"]: bytes(r["media"]) for r in media.store(docs, ["doc_id"]).collect()}
+    assert media.from_wav(stored[2]) == media.padded(long)
+    found = language.identify(docs, language.learn(docs), ["doc_id", *names])
+    assert found.count() == 4 and found.columns == ["doc_id", *names, "lang_pred", "score", "rejected"]
+
 
 def test_queries_match_sql(spark):
     from oracle import connect, difference
