@@ -67,7 +67,7 @@ def text_id(text: Column) -> Column:
 
 
 #: Words that are read as true and as false.
-TRUE_WORDS = ("true", "1", "1.0", "yes", "y", "si", "sí", "t")
+TRUE_WORDS = ("true", "1", "1.0", "yes", "y", "si", "sì", "t")
 FALSE_WORDS = ("false", "0", "0.0", "no", "n", "f", "", "nan", "none")
 
 

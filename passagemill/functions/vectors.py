@@ -39,10 +39,11 @@ def embedding_features(v: Column, near_zero: float = 1e-6) -> list[Column]:
     ]
 
 
-def pooled(states: Column) -> Column:
-    """The mean token vector of an array of token vectors (masked tokens are left out of the array)."""
-    width = F.size(F.element_at(states, 1))
-    return F.transform(F.sequence(F.lit(0), width - 1), lambda j: F.try_divide(total(F.transform(states, lambda t: F.get(t, j).cast("double"))), F.size(states)))
+def pooled(states: Column, mask: Column | None = None) -> Column:
+    """The mean token vector of an array of token vectors; with a mask (an array of 0 and 1) of its tokens with 1, zeros if there are none."""
+    width = F.size(F.get(states, F.lit(0)))
+    kept = states if mask is None else F.filter(states, lambda t, i: F.coalesce(F.get(mask, i) == 1, F.lit(False)))
+    return F.transform(F.sequence(F.lit(0), width - 1), lambda j: total(F.transform(kept, lambda t: F.get(t, j).cast("double"))) / F.greatest(F.size(kept), F.lit(1)))
 
 
 def token_features(states: Column, pool: Column) -> list[Column]:

@@ -16,6 +16,11 @@ def usable_topics(topics: DataFrame, qrels: DataFrame) -> DataFrame:
     return kept.join(qrels.select("qid").distinct(), "qid", "left_semi")
 
 
+def shared_ids(a: DataFrame, b: DataFrame, column: str = "docno") -> DataFrame:
+    """Ids that both have, each once."""
+    return a.select(column).intersect(b.select(column))
+
+
 def first_rows(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """The first row of each key by order: which one stays doesn't depend on partitions."""
     w = Window.partitionBy(*keys).orderBy(*order)

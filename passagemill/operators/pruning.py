@@ -112,12 +112,13 @@ def _at(points: DataFrame, grid: tuple[float, ...], name: str) -> DataFrame:
 
 
 def correlations(pairs: DataFrame, a: str, b: str) -> DataFrame:
-    """Pearson, Spearman (Pearson of mean ranks), MAE, RMSE, largest difference over finite pairs."""
+    """Pearson, Spearman (Pearson of mean ranks), MAE, RMSE, largest difference over finite pairs; a constant side has no correlation (null)."""
     finite = lambda c: ~F.isnan(c) & (F.abs(F.col(c)) < float("inf"))
     ok = written(pairs.where(finite(a) & finite(b)).select(F.col(a).alias("x"), F.col(b).alias("y")))
     ranked = average_rank(average_rank(ok, "x", "rx"), "y", "ry")
     d = F.abs(F.col("x") - F.col("y"))
-    return ranked.agg(F.count(F.lit(1)).alias("n"), F.corr("x", "y").alias("pearson"), F.corr("rx", "ry").alias("spearman"), F.avg(d).alias("mae"), F.sqrt(F.avg(d * d)).alias("rmse"), F.max(d).alias("max_abs"))
+    corr = lambda a, b: F.try_divide(F.covar_pop(a, b), F.stddev_pop(a) * F.stddev_pop(b))
+    return ranked.agg(F.count(F.lit(1)).alias("n"), corr("x", "y").alias("pearson"), corr("rx", "ry").alias("spearman"), F.avg(d).alias("mae"), F.sqrt(F.avg(d * d)).alias("rmse"), F.max(d).alias("max_abs"))
 
 
 def histogram(scored: DataFrame, bins: int = 50) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import vectors as vx
+
 TRANSFORMS = ("identity", "zscore", "log1p_zscore")
 
 
@@ -31,6 +33,19 @@ def fit(features: DataFrame, transforms: dict[str, str], weight: str | None = No
     return one.select(F.explode(F.array(*rows)).alias("x")).select("x.*")
 
 
+def first_examples(examples: DataFrame, order: list[str], first: int | None, weight: str = "freq") -> DataFrame:
+    """docno and how often each is among the first examples in an order (all without a limit)."""
+    kept = examples if first is None else examples.orderBy(*order).limit(first)
+    return kept.groupBy("docno").agg(F.count(F.lit(1)).alias(weight))
+
+
+def fit_states(rows: DataFrame, states: str, mask: Column | None = None) -> DataFrame:
+    """Scalers of the features of token vectors and of their pooled vector, all fitted in one aggregation while rows stream by."""
+    x = rows.select(F.col(states).alias("_s"), vx.pooled(F.col(states), mask).alias("_p"))
+    x = x.select(*vx.embedding_features(F.col("_p")), *vx.token_features(F.col("_s"), F.col("_p")))
+    return fit(x, dict.fromkeys(x.columns, "zscore"))
+
+
 def apply(features: DataFrame, scaler: DataFrame, transforms: dict[str, str]) -> DataFrame:
     """features with each named column scaled; the scaler has one row for each feature and is broadcast."""
     packed = F.broadcast(scaler.agg(F.map_from_entries(F.collect_list(F.struct("feature", F.struct("mean", "std")))).alias("_scaler")))

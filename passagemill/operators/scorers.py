@@ -95,18 +95,22 @@ def magnitude(vectors: DataFrame, column: str = "doc_vec") -> DataFrame:
     return vectors.select("docno", (-vx.l2(F.col(column))).alias("quality"))
 
 
-def model_scorer(score: Callable[[list[str]], list[float]] | Callable[[], Callable[[list[str]], list[float]]], batch: int = 100, load: bool = False) -> Callable[[DataFrame], DataFrame]:
-    """A scorer from a function of prompts: it gets Arrow batches in slices of `batch`; with load it is first called once for each worker to get that function."""
+def model_scorer(score: Callable[[list[str]], list[float]] | Callable[[], Callable[[list[str]], list[float]]], batch: int = 100, load: bool = False, features: tuple[str, ...] = ()) -> Callable[[DataFrame], DataFrame]:
+    """A scorer from a function of prompts: it gets Arrow batches in slices of `batch`; with load it is first called once for each worker to get that function.
+
+    With features (columns of the corpus) the function gets an array of them, a row for each prompt, as second argument.
+    """
 
     def scorer(corpus: DataFrame) -> DataFrame:
         def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             fn = score() if load else score
             for part in parts:
                 texts = part["prompt"].tolist()
-                made = [x for i in range(0, len(texts), batch) for x in fn(texts[i : i + batch])]
+                extra = part[list(features)].to_numpy("float64") if features else None
+                made = [x for i in range(0, len(texts), batch) for x in (fn(texts[i : i + batch]) if extra is None else fn(texts[i : i + batch], extra[i : i + batch]))]
                 yield pd.DataFrame({"docno": part["docno"], "quality": pd.Series(made, dtype="float64")})
 
-        return corpus.select("docno", tx.prompt(F.col("text")).alias("prompt")).mapInPandas(run, "docno string, quality double")
+        return corpus.select("docno", tx.prompt(F.col("text")).alias("prompt"), *features).mapInPandas(run, "docno string, quality double")
 
     return scorer
 

@@ -56,8 +56,8 @@ def rejects(df: DataFrame) -> DataFrame:
 
 
 def tab_fields(lines: DataFrame, names: list[str]) -> DataFrame:
-    """Tab-separated fields of the column value, further ones dropped; malformed is true where there are too few."""
-    parts = F.split("value", "\t")
+    """Tab-separated fields of the column value, further ones dropped, bytes that aren't UTF-8 replaced; malformed is true where there are too few."""
+    parts = F.split(F.make_valid_utf8("value"), "\t")
     return lines.select(*(F.get(parts, F.lit(i)).alias(n) for i, n in enumerate(names)), (F.size(parts) < len(names)).alias("malformed"))
 
 
@@ -73,8 +73,10 @@ def triple_examples(triples: DataFrame) -> DataFrame:
 
 
 def hydrate_triples(triples: DataFrame, corpus: DataFrame) -> DataFrame:
-    """qid, pos_pid, neg_pid with both texts; a text is null where the id is unknown."""
-    side = lambda n: corpus.select(F.col("docno").alias(f"{n}_pid"), F.col("text").alias(f"{n}_text"))
+    """qid, pos_pid, neg_pid with both texts; a text is null where the id is unknown, the least one where a docno repeats. Only passages that triples name are gathered."""
+    ids = triples.select(F.explode(F.array("pos_pid", "neg_pid")).alias("docno")).distinct()
+    known = corpus.join(ids, "docno", "left_semi").groupBy("docno").agg(F.min("text").alias("text"))
+    side = lambda n: known.select(F.col("docno").alias(f"{n}_pid"), F.col("text").alias(f"{n}_text"))
     return triples.join(side("pos"), "pos_pid", "left").join(side("neg"), "neg_pid", "left")
 
 
@@ -84,9 +86,30 @@ def id_triple_examples(hydrated: DataFrame) -> DataFrame:
     return ok.select(F.explode(F.array(make("pos", 1), make("neg", 0))).alias("x")).select("x.*")
 
 
+def triple_source(spark: SparkSession, source: str, triples: str | DataFrame, corpus: DataFrame | None = None, first: int | None = None) -> DataFrame:
+    """docno, passage, label of the examples of training triples.
+
+    source: 'text' (a tab-separated file: query, relevant, other), 'id' (a file of qid and two ids) or
+    'pairs' (a table of pos_pid and neg_pid, the first ones of its id order where a cap is given).
+    Ids need the corpus (docno, text). Malformed lines and unknown ids give no example.
+    """
+    if source == "text":
+        return triple_examples(tab_fields(spark.read.text(triples), ["query", "pos", "neg"]).where("not malformed"))
+    if source not in ("id", "pairs"):
+        raise ValueError(f"no triples from {source}: text, id or pairs")
+    if corpus is None:
+        raise ValueError("triples of ids need a corpus")
+    if source == "id":
+        ids = tab_fields(spark.read.text(triples), ["qid", "pos_pid", "neg_pid"]).where("not malformed").drop("malformed")
+    else:
+        ids = window_of(triples, ["pos_pid", "neg_pid"], 0, first)
+    return id_triple_examples(hydrate_triples(ids, corpus).where("pos_text <> '' and neg_text <> ''"))
+
+
 def triple_statistics(hydrated: DataFrame) -> DataFrame:
     pos, neg = F.col("pos_text").isNull(), F.col("neg_text").isNull()
-    return hydrated.agg(F.count(F.lit(1)).alias("triples"), F.count_if(~pos & ~neg).alias("valid"), F.count_if(pos | neg).alias("skipped"), F.count_if(pos).alias("missing_pos"), F.count_if(neg).alias("missing_neg"), (2 * F.count_if(~pos & ~neg)).alias("emitted"))
+    malformed = F.count_if(F.col("pos_pid").isNull() | F.col("neg_pid").isNull() | (F.col("pos_text") == "") | (F.col("neg_text") == ""))
+    return hydrated.agg(malformed.alias("malformed"), F.count(F.lit(1)).alias("triples"), F.count_if(~pos & ~neg).alias("valid"), F.count_if(pos | neg).alias("skipped"), F.count_if(pos).alias("missing_pos"), F.count_if(neg).alias("missing_neg"), (2 * F.count_if(~pos & ~neg)).alias("emitted"))
 
 
 def targeted(corpus: DataFrame, qrels: DataFrame, min_label: int | None = None) -> DataFrame:
@@ -156,7 +179,7 @@ def exclusions(spark: SparkSession, path: str) -> DataFrame:
 
 
 #: How result files are named.
-RUN_FILE = r"compare_all_(.+)_(dev[._]small|test-\d{4}(?:_test-\d{4})*)_([0-9.]+?)(?:_perquery_wide)?\.csv$"
+RUN_FILE = r"compare_all_(.+?)_(dev[._]small|test-\d{4}(?:_test-\d{4})*)_([0-9.]+?)(?:_perquery_wide)?\.csv$"
 
 
 def run_keys(name: Column) -> list[Column]:

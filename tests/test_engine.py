@@ -1,17 +1,25 @@
 """Registered queries against their SQL, statistics against golden values, and edge cases."""
 
+import gzip
 import math
+import os
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from oracle import connect, difference
-from passagemill.functions import student
+from passagemill.functions import outputs, student
 from passagemill.functions import text as tx
+from passagemill.functions import vectors as vx
+from passagemill.operators import agreement as ag
 from passagemill.operators import comparison as cp
+from passagemill.operators import effectiveness as ef
 from passagemill.operators import history, pruning, ranking, scaling, scorers
+from passagemill.operators import reports as rp
 from passagemill.plans import registry
 from passagemill.sources import corpus as src
+from passagemill.streaming import ingest
 
 SF = "/root/testdata/sf0.001"
 
@@ -101,7 +109,7 @@ def test_targeted_validation_and_bounded_scan(spark):
 
 
 def test_boolean_words(spark):
-    r = spark.range(1).select(*(tx.parse_boolean(F.lit(x)).alias(f"c{i}") for i, x in enumerate(("Sí", "", "nan", "None", "perhaps")))).first()
+    r = spark.range(1).select(*(tx.parse_boolean(F.lit(x)).alias(f"c{i}") for i, x in enumerate(("Sì", "", "nan", "None", "perhaps")))).first()
     assert tuple(r) == (True, False, False, False, None)
 
 
@@ -174,3 +182,159 @@ def test_model_adapter(spark):
     docs = spark.createDataFrame([("a", "xx"), ("b", "yyyy")], "docno string, text string")
     got = {r["docno"]: r["quality"] for r in scorers.model_scorer(lambda texts: [float(len(t)) for t in texts], batch=1)(docs).collect()}
     assert got["b"] - got["a"] == 2
+
+
+def one(df):
+    return tuple(df.first())
+
+
+def test_scalar_functions(spark):
+    x = spark.range(1)
+    assert one(x.select(tx.safe_file_name(F.lit(" a/b c.x ")), tx.config_id(F.lit("s"), F.lit("m"), threshold=F.lit(0.3)), tx.system_family(F.lit("BM25 Full"))["family"])) == ("a_b_c.x", "s | m | thr=0.3", "BM25")
+    a, b, c = one(x.select(vx.log_prob_true(F.lit(0.0), F.lit(0.0)), vx.log_prob_true(F.lit(-1000.0), F.lit(0.0)), vx.log_prob_true(F.lit(1000.0), F.lit(0.0))))
+    assert a == pytest.approx(math.log(0.5)) and b == -1000 and c == 0
+    assert one(x.select(scorers.oriented(F.lit(2.0), False), scorers.oriented(F.lit(2.0), True))) == (-2.0, 2.0)
+    states = F.array(F.array(F.lit(1.0), F.lit(3.0)), F.array(F.lit(5.0), F.lit(7.0)))
+    masked = lambda *m: vx.pooled(states, F.array(*map(F.lit, m)))
+    assert one(x.select(vx.pooled(states), masked(0, 1), masked(0, 0), masked(1))) == ([3.0, 5.0], [5.0, 7.0], [0.0, 0.0], [1.0, 3.0])
+
+
+def test_model_outputs():
+    half = math.log(0.5)
+    pair, words = np.array([[0.0, 0.0], [1000.0, 0.0]]), np.zeros((2, 3, 5))
+    for output in ({"pair_logits": pair}, (pair,), {"logits": pair}, {"logits_true": pair[:, 0], "logits_false": pair[:, 1]}):
+        assert outputs.log_prob_true(output, 1, 4) == pytest.approx([half, 0.0])
+    assert outputs.log_prob_true({"decoder_logits": words}, 1, 4) == pytest.approx([half, half])
+    assert outputs.log_prob_true({"score": [[-1.0], [-2.0]]}, 1, 4).tolist() == [-1.0, -2.0] == outputs.log_prob_true(np.array([-1.0, -2.0]), 1, 4).tolist()
+    for bad in ({"x": 1}, {"logits": np.zeros((2, 3))}, "text"):
+        with pytest.raises(ValueError):
+            outputs.log_prob_true(bad, 1, 4)
+
+
+def test_model_adapter_with_features(spark):
+    docs = spark.createDataFrame([("a", "x", 2.0, 1.0), ("b", "y", 3.0, None)], "docno string, text string, f double, g double")
+    got = {r["docno"]: r["quality"] for r in scorers.model_scorer(lambda texts, x: np.nan_to_num(x).sum(axis=1).tolist(), 1, features=("f", "g"))(docs).collect()}
+    assert got == {"a": 3.0, "b": 3.0}
+
+
+def test_pairs_without_scores_and_empty(spark):
+    pairs = spark.createDataFrame([("q", "a", "b"), ("q", "a", "c"), ("q", "b", None), ("q", "zz", "a")], "qid string, pos_pid string, neg_pid string")
+    s = spark.createDataFrame([("a", 1.0), ("b", 0.5), ("c", float("nan"))], "docno string, quality double")
+    t = s.withColumn("quality", -F.col("quality"))
+    x = ag.pair_scores(pairs, {"s": s, "t": t})
+    got = {r["scorer"]: r for r in ag.pairwise_summary(x, ["s", "t"]).collect()}
+    assert (got["s"]["valid_pairs"], got["s"]["invalid_pairs"], got["s"]["pairwise_accuracy"], got["t"]["pairwise_accuracy"]) == (1, 3, 1.0, 0.0)
+    assert sorted((r["s_margin_minus_t"] for r in ag.with_differences(x, ["s", "t"], "t").collect()), key=lambda v: (v is None, v)) == [1.0, None, None, None]
+    assert ag.pairwise_agreement(x, "s", "t").first()["pairwise_agreement"] == 0.0
+    empty = ag.pairwise_summary(x.limit(0), ["s"]).first()
+    assert (empty["valid_pairs"], empty["pairwise_accuracy"]) == (0, None)
+
+
+def test_reproduction_verdicts(spark):
+    a = spark.range(200).select(F.format_string("d%03d", "id").alias("docno"), F.col("id").cast("double").alias("quality"))
+    verdict = lambda x, y: ag.reproduction(x, y).first()["verdict"]
+    assert verdict(a, a) == "same" and verdict(a, a.where("quality < 150")) == "length"
+    assert verdict(a, a.withColumn("docno", F.concat("docno", F.lit("x")))) == "length"
+    assert verdict(a, a.withColumn("quality", F.lit(1.0))) == "none" and verdict(a, a.withColumn("quality", -F.col("quality"))) == "different"
+    assert verdict(a, a.withColumn("quality", F.col("quality") + 40 * (F.col("quality") % 2))) == "close"
+    assert ag.reproduction(a, a.withColumn("quality", F.lit(float("inf")))).first()["official_finite"] == 0
+
+
+def test_variants_and_reports(spark, tmp_path):
+    rows = spark.createDataFrame([("fam", "A_dev_small"), ("fam", "AB_test-2019"), ("fam", "test-2019"), ("x", "A_y"), ("fam", None)], "scorer string, qrels_variant string")
+    got = [tuple(r) for r in rp.split_variants(rows, "fam", {"A": "fam_a", "AB": "fam_ab"}).collect()]
+    assert got == [("fam_a", "dev.small"), ("fam_ab", "test-2019"), ("fam", "test-2019"), ("x", "A_y"), ("fam", None)]
+    files = spark.createDataFrame([("msm_itn.cache",), ("other.cache",)], "file_name string")
+    assert {r["file_name"]: r["scorer"] for r in rp.scorer_of_cache(files, registry.scorer_table(spark), "msm").collect()} == {"msm_itn.cache": "itn", "other.cache": None}
+    x = spark.createDataFrame([("b", 1), ("a", 1), ("a", 2), (None, 3), ("a", None)], "k string, n int")
+    assert [tuple(r) for r in rp.sorted_report(x, ["k", "-n"]).collect()] == [("a", 2), ("a", 1), ("a", None), ("b", 1), (None, 3)]
+    assert sorted(r["json"] for r in rp.as_json(x.where("k = 'b' or n is null")).collect()) == ['{"k":"a","n":null}', '{"k":"b","n":1}']
+    for kind in ("csv", "tsv", "json", "parquet", "orc"):
+        path = str(tmp_path / f"r.{kind}")
+        rp.write_report(x, path, kind)
+        assert src.table(spark, path).count() == 5
+        with pytest.raises(Exception, match="(?i)exists"):
+            rp.write_report(x, path, kind)
+        rp.write_report(x.limit(1), path, kind, force=True)
+        assert src.table(spark, path).count() == 1
+    rp.write_bundle({"roc": x, "scaler": x.limit(2)}, str(tmp_path / "bundle"))
+    assert {n: t.count() for n, t in rp.read_bundle(spark, str(tmp_path / "bundle"), ["roc", "scaler"]).items()} == {"roc": 5, "scaler": 2}
+    config = {"levels": [0.15, 0.3], "name": "è\n", "none": None}
+    rp.write_config(spark, config, str(tmp_path / "c.yaml"))
+    assert rp.read_config(spark, str(tmp_path / "c.yaml")) == config
+    name = spark.range(1).select(rp.result_file(F.lit("x_y"), F.lit("test-2019_test-2020"), F.lit(0.6), "perquery_wide").alias("n"), rp.run_folder("/runs/", F.lit("BM25 Full"), F.lit("a/b")).alias("f"))
+    assert one(name) == ("compare_all_x_y_test-2019_test-2020_0.6_perquery_wide.csv", "/runs/BM25_Full/a_b")
+    assert one(name.select(*src.run_keys(F.col("n")))) == ("x_y", "test-2019_test-2020", 0.6)
+
+
+def test_result_files_and_flags(spark, tmp_path):
+    for name, value in (("compare_all_x_dev.small_0.3.csv", 1), ("compare_all_x_dev.small_0.3_perquery_wide.csv", 2), ("compare_all_y_test-2019_0.45.csv", 3)):
+        (tmp_path / name).write_text(f"scorer,value\ns,{value}\n")
+    got = src.results_csv(spark, str(tmp_path / "*.csv"))
+    assert sorted((r["experiment"], r["qrels_variant"], r["threshold"], r["value"]) for r in got.collect()) == [("x", "dev.small", 0.3, 1), ("y", "test-2019", 0.45, 3)]
+    results = spark.createDataFrame([("a", 1.0), ("b", 2.0)], "scorer string, value double")
+    flags = spark.createDataFrame([("a", True)], "scorer string, equivalent boolean")
+    assert sorted(map(tuple, cp.with_flags(results, flags, ["scorer"]).collect())) == [("a", 1.0, True, True), ("b", 2.0, False, False)]
+    with pytest.raises(Exception, match="several tests"):
+        cp.with_flags(results, flags.union(flags), ["scorer"]).collect()
+
+
+def test_triple_sources(spark, tmp_path):
+    docs = spark.createDataFrame([("1", "one"), ("2", "two"), ("2", "also two"), ("3", "")], "docno string, text string")
+    with gzip.open(tmp_path / "t.tsv.gz", "wb") as f:
+        f.write(b"query\tgood \xff\tbad\textra\nbroken\tline\n")
+    (tmp_path / "i.tsv").write_text("q\t1\t2\nq\t1\t9\nq\t3\t1\nq\n")
+    text = src.triple_source(spark, "text", str(tmp_path / "t.tsv.gz"))
+    assert sorted((r["passage"], r["label"]) for r in text.collect()) == [("bad", 0), ("good \ufffd", 1)]
+    ids = src.triple_source(spark, "id", str(tmp_path / "i.tsv"), docs)
+    assert sorted(map(tuple, ids.collect())) == [("1", "one", 1), ("2", "also two", 0)]
+    pairs = spark.createDataFrame([("2", "1"), ("1", "2"), (None, "1")], "pos_pid string, neg_pid string")
+    assert src.triple_source(spark, "pairs", pairs, docs).count() == 4 and src.triple_source(spark, "pairs", pairs, docs, 2).count() == 2
+    stats = src.triple_statistics(src.hydrate_triples(pairs, docs)).first()
+    assert (stats["triples"], stats["valid"], stats["malformed"], stats["missing_pos"]) == (3, 2, 1, 1)
+    for source, corpus in (("ftp", docs), ("pairs", None)):
+        with pytest.raises(ValueError):
+            src.triple_source(spark, source, pairs, corpus)
+
+
+def test_lists_tables_and_lookups(spark, tmp_path):
+    (tmp_path / "x.txt").write_text(" a \n\nb\n")
+    (tmp_path / "x.csv").write_text("n,docno\n1,a\n")
+    assert [sorted(r["docno"] for r in src.exclusions(spark, str(tmp_path / f)).collect()) for f in ("x.txt", "x.csv")] == [["a", "b"], ["a"]]
+    x = spark.createDataFrame([("a", 1.0), ("b", None)], "docno string, f double")
+    src.write_tsv(x, str(tmp_path / "o.tsv"))
+    assert src.table(spark, str(tmp_path / "o.tsv")).columns == ["docno", "f"] == src.require(x, ["f"]).columns
+    with pytest.raises(ValueError, match="zz"):
+        src.require(x, ["zz"])
+    assert {r["docno"]: r["f"] for r in scaling.lookup(x.select("docno"), x, ["f"], allow_missing=True).collect()} == {"a": 1.0, "b": 0.0}
+    with pytest.raises(Exception, match="no f for b"):
+        scaling.lookup(x.select("docno"), x, ["f"]).collect()
+    assert [r["docno"] for r in ef.shared_ids(x.union(x), x.limit(1)).collect()] == ["a"]
+    assert {r["docno"]: r["freq"] for r in scaling.first_examples(x.union(x), ["docno"], 3).collect()} == {"a": 2, "b": 1}
+
+
+def test_history_tables(spark):
+    old = spark.createDataFrame([("r", 1, 0.5), ("r", 2, 0.4)], "run string, step long, loss double")
+    new = spark.createDataFrame([("r", 2, 0.1), ("r", 3, 0.2)], "run string, step long, loss double")
+    assert [r["loss"] for r in history.upsert(old, new, ["run", "step"]).orderBy("step").collect()] == [0.5, 0.1, 0.2]
+    losses = spark.createDataFrame([("r", i, float(i)) for i in range(1, 7)], "run string, at long, loss double")
+    evaluations = spark.createDataFrame([("r", 2), ("r", 5)], "run string, step long")
+    assert [r["mean_loss"] for r in history.mean_loss_between(losses, evaluations).orderBy("step").collect()] == [1.5, 4.0]
+    assert ef.timings("x", 10, 2.0)["ms_per_query"] == 200 and ef.timings("x", 0, 2.0)["ms_per_query"] is None
+
+
+def test_streams(spark, tmp_path):
+    spark.createDataFrame([("a", "x x x x"), ("b", "x y z"), ("c", None)], "docno string, text string").write.parquet(str(tmp_path / "p"))
+    stream = ingest.keep_informative(spark.readStream.schema("docno string, text string").parquet(str(tmp_path / "p")), 0.5)
+    q = stream.writeStream.format("memory").queryName("kept").option("checkpointLocation", str(tmp_path / "k1")).trigger(availableNow=True).start()
+    assert q.awaitTermination(120) and [r["docno"] for r in spark.table("kept").collect()] == ["b"]
+    at = "timestamp'2026-01-0{} 0{}:10:00' as ts"
+    for i, (day, hour) in enumerate([(1, 1), (1, 1), (1, 2), (2, 2), (1, 1)]):  # the last one is late
+        spark.range(1).selectExpr(at.format(day, hour), "'e' as event_type", "1.0D as value").coalesce(1).write.mode("append").parquet(str(tmp_path / "e"))
+        for f in sorted(os.listdir(tmp_path / "e")):
+            if f.startswith("part-") and f.endswith(".parquet"):
+                os.utime(tmp_path / "e" / f, (1_000_000 + i, 1_000_000 + i)) if os.stat(tmp_path / "e" / f).st_mtime > 2_000_000 else None
+    events = spark.readStream.schema("ts timestamp, event_type string, value double").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "e"))
+    out = ingest.windowed_counts(events).writeStream.format("memory").queryName("counts").outputMode("append").option("checkpointLocation", str(tmp_path / "k2")).trigger(availableNow=True).start()
+    assert out.awaitTermination(120)
+    assert sorted((r["window"]["start"].hour, r["n"]) for r in spark.table("counts").collect()) == [(1, 2), (2, 1)]
