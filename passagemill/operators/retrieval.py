@@ -86,6 +86,29 @@ def top_k(scores: DataFrame, k: int) -> DataFrame:
     return scores.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
+#: Documents of a query are dealt to so many cells, of which each keeps its best score.
+CELLS = 1024
+
+
+def top_k_of_each(scores: DataFrame, columns: dict[str, str], k: int) -> DataFrame:
+    """g, qid, docno, score, rank: the k best documents of each query in each column of scores (a run for each name), ties by docno.
+
+    scores (written: it is read twice): a row for each qid and docno; null where a document isn't in a
+    run. Only rows that can be among the k best are spread to a row for each run and sorted: of the best
+    scores of a query's cells the k-th best is a score that k documents reach, so nothing under it counts.
+    """
+    cell = F.pmod(F.xxhash64("docno"), F.lit(max(CELLS, 4 * k)))
+    best = scores.groupBy("qid", cell.alias("_cell")).agg(*(F.max(c).alias(c) for c in columns.values()))
+    kth = lambda c: F.get(F.sort_array(F.collect_list(c), asc=False), F.lit(k - 1)).alias(f"_least_{c}")
+    least = best.groupBy("qid").agg(*(kth(c) for c in columns.values()))
+    hopeful = lambda c: F.when(F.col(f"_least_{c}").isNull() | (F.col(c) >= F.col(f"_least_{c}")), F.col(c))
+    rows = F.array(*(F.struct(F.lit(n).alias("g"), hopeful(c).alias("score")) for n, c in columns.items()))
+    some = F.filter(rows, lambda x: x["score"].isNotNull())
+    spread = scores.join(least, "qid").select("qid", "docno", F.explode(some).alias("x")).select("x.g", "qid", "docno", "x.score")
+    w = Window.partitionBy("g", "qid").orderBy(F.desc("score"), F.asc("docno"))
+    return spread.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+
+
 def index_counts(lexical: DataFrame, sparse: DataFrame, dense: DataFrame) -> DataFrame:
     """index, docs of three indexes, and the width of dense vectors."""
     count = lambda df, name: df.agg(F.lit(name).alias("index"), F.count_distinct("docno").alias("docs"))

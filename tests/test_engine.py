@@ -15,7 +15,7 @@ from passagemill.functions import vectors as vx
 from passagemill.operators import agreement as ag
 from passagemill.operators import comparison as cp
 from passagemill.operators import effectiveness as ef
-from passagemill.operators import history, pruning, ranking, scaling, scorers
+from passagemill.operators import history, pruning, ranking, retrieval, scaling, scorers
 from passagemill.operators import reports as rp
 from passagemill.plans import registry
 from passagemill.sources import corpus as src
@@ -338,3 +338,19 @@ def test_streams(spark, tmp_path):
     out = ingest.windowed_counts(events).writeStream.format("memory").queryName("counts").outputMode("append").option("checkpointLocation", str(tmp_path / "k2")).trigger(availableNow=True).start()
     assert out.awaitTermination(120)
     assert sorted((r["window"]["start"].hour, r["n"]) for r in spark.table("counts").collect()) == [(1, 2), (2, 1)]
+
+
+def test_best_of_each_run(spark, monkeypatch):
+    n = 3000
+    x = spark.range(n).select((F.col("id") % 2).cast("string").alias("qid"), F.col("id").cast("string").alias("docno"), F.round(F.rand(1), 2).alias("a"), F.when(F.col("id") % 3 == 0, F.lit(1.0)).alias("b"), F.when(F.col("id") < 4, F.col("id") * 1.0).alias("c"))
+    x = pruning.written(x)
+    rows = x.toPandas()
+    for cells in (1, 64, 4096):
+        monkeypatch.setattr(retrieval, "CELLS", cells)
+        got = {(r["g"], r["qid"], r["rank"]): r["docno"] for r in retrieval.top_k_of_each(x, {"A": "a", "B": "b", "C": "c"}, 10).collect()}
+        want = {}
+        for g, col in (("A", "a"), ("B", "b"), ("C", "c")):
+            for q, part in rows.dropna(subset=[col]).groupby("qid"):
+                for i, doc in enumerate(part.sort_values([col, "docno"], ascending=[False, True])["docno"].head(10)):
+                    want[g, q, i + 1] = doc
+        assert got == want
