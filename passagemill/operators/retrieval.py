@@ -38,16 +38,26 @@ def query_terms(topics: DataFrame) -> DataFrame:
     return counts.groupBy(F.col("docno").alias("qid"), "term").agg(F.sum("tf").alias("qtf"))
 
 
+def meet_topics(weighted: DataFrame, terms: DataFrame, rows: int) -> DataFrame:
+    """Each posting of weighted (rows of them) with every topic that has its term.
+
+    Documents are dealt to partitions before postings multiply, so that sums by topic and document need
+    no shuffle of their own where the topics' terms are sent to the executors.
+    """
+    parts = max(weighted.sparkSession.sparkContext.defaultParallelism, rows // 50_000)
+    return weighted.repartition(parts, "docno").join(F.broadcast(terms) if terms.count() <= SMALL else terms, "term")
+
+
 def bm25(index: DataFrame, topics: DataFrame, sizes: DataFrame, k1: float = K1, b: float = B) -> DataFrame:
     """qid, docno, score of documents that share a term with the query. Only the queries' terms leave the index. sizes: docno, len of its documents."""
     stats = sizes.agg(F.count(F.lit(1)).alias("docs"), F.avg("len").alias("avg_len"))
-    terms = query_terms(topics)
+    terms = materialize(query_terms(topics), "query-terms")
     asked = materialize(asked_postings(index, terms), "asked-postings")
     df = asked.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     weighted = asked.join(df, "term").crossJoin(F.broadcast(stats))  # one row
     idf = F.ln(1 + (F.col("docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     part = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.col("avg_len")))
-    return weighted.select("term", "docno", part.alias("w")).join(terms, "term").groupBy("qid", "docno").agg(F.sum(F.col("w") * F.col("qtf")).alias("score"))
+    return meet_topics(weighted.select("term", "docno", part.alias("w")), terms, asked.count()).groupBy("qid", "docno").agg(F.sum(F.col("w") * F.col("qtf")).alias("score"))
 
 
 def sparse_index(encoded: DataFrame) -> DataFrame:

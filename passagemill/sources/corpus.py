@@ -38,6 +38,17 @@ def table(spark: SparkSession, path: str, schema: str | None = None) -> DataFram
     raise ValueError(f"no reader for {path}")
 
 
+def spread(df: DataFrame, bytes_each: int = 32 << 20) -> DataFrame:
+    """df, dealt to all cores where it has under bytes_each for each of them.
+
+    A row group can't be split among tasks, so a small file of one row group is read by one core whatever
+    follows. What is moved is bounded by bytes_each for a core; larger tables have row groups enough and stay as they are.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(cores) if size < cores * bytes_each else df
+
+
 def normalized(df: DataFrame, strict: bool = True, label: bool = False) -> DataFrame:
     """docno, text (and label) from any accepted names. strict: a blank id or null text is an error; else such rows go."""
     docno, text = F.trim(F.col(resolve(df, "docno")).cast("string")), F.col(resolve(df, "text"))
