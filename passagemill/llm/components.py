@@ -23,9 +23,9 @@ def _small_star(edges: DataFrame) -> DataFrame:
 def components(edges: DataFrame) -> DataFrame:
     """node and component (the least node) of every node of edges (a, b: long, a > b).
 
-    Ends when each node hangs on one node that hangs on none. A node with very many neighbours costs
-    a hot key in the joins, which adaptive execution splits; its minimum is aggregated on both sides
-    of the shuffle.
+    Ends when each node hangs on one node that hangs on none. A node's minimum is aggregated on both
+    sides of the shuffle. The links of a node with very many neighbours land in one task of a join,
+    unless they are large enough for adaptive execution to split it.
     """
     edges = materialize(edges.select("a", "b").where(F.col("a") > F.col("b")).distinct(), "edges")
     while True:
