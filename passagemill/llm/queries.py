@@ -5,11 +5,12 @@ from .jaccard_join import OP9_SQL, op9_jaccard_join
 from .language import op5_language_id
 from .line_dedup import op2_line_dedup
 from .media import op8_media_columns
+from .quality_rules import OP11_SQL, op11_quality_rules
 from .secrets_ledger import op1_secret_scan
 from .substring_dedup import OP10_SQL, op10_substring_dedup
 from .suffix_dedup import OP7_SQL, op7_suffix_dedup
 from .token_counts import op6_token_counts
 from .trie_bpe import op3_bpe_roundtrip
 
-QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_line_dedup, op3_bpe_roundtrip, op4_decontaminate, op5_language_id, op6_token_counts, op7_suffix_dedup, op8_media_columns, op9_jaccard_join, op10_substring_dedup)}
-ORACLE_SQL = {"op4_decontaminate": OP4_SQL, "op7_suffix_dedup": OP7_SQL, "op9_jaccard_join": OP9_SQL, "op10_substring_dedup": OP10_SQL}
+QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_line_dedup, op3_bpe_roundtrip, op4_decontaminate, op5_language_id, op6_token_counts, op7_suffix_dedup, op8_media_columns, op9_jaccard_join, op10_substring_dedup, op11_quality_rules)}
+ORACLE_SQL = {"op4_decontaminate": OP4_SQL, "op7_suffix_dedup": OP7_SQL, "op9_jaccard_join": OP9_SQL, "op10_substring_dedup": OP10_SQL, "op11_quality_rules": OP11_SQL}
