@@ -23,7 +23,12 @@ def with_terms(rows: DataFrame, stemmed: bool = False) -> DataFrame:
     stemmed: tokens are replaced by their stems.
     """
     made = tokens(F.col("text"))
-    out = rows.withColumn("words", F.sort_array(stems(made) if stemmed else made)).withColumn("n", F.size("words"))
+    return run_lengths(rows, stems(made) if stemmed else made)
+
+
+def run_lengths(rows: DataFrame, made: Column) -> DataFrame:
+    """rows with words (the strings of an array, sorted), n, terms and tfs, as with_terms has them of tokens."""
+    out = rows.withColumn("words", F.sort_array(made)).withColumn("n", F.size("words"))
     first = lambda i: (i == 0) | (F.get("words", i) != F.get("words", i - 1))
     out = out.withColumn("_at", F.when(F.col("n") > 0, F.filter(F.sequence(F.lit(0), F.col("n") - 1), first)).otherwise(F.array().cast("array<int>")))
     ends = F.concat(F.slice("_at", 2, F.greatest(F.size("_at"), F.lit(1))), F.array("n"))

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as tx
 from ..functions import vectors as vx
+from .language_model import perplexity
 
 LAMBDA, NO_TERMS = 0.99, -999.0
 
@@ -116,7 +117,7 @@ def model_scorer(score: Callable[[list[str]], list[float]] | Callable[[], Callab
 
 
 Scorer = Callable[[DataFrame], DataFrame]
-_SCORERS: dict[str, Scorer] = {"itn": itn, "itn_stemmed": lambda c: itn(c, stemmed=True), "cdd": cdd, "cdd_stemmed": lambda c: cdd(c, stemmed=True), "length": lambda c: c.select("docno", F.size(tx.tokens(F.col("text"))).cast("double").alias("quality"))}
+_SCORERS: dict[str, Scorer] = {"itn": itn, "itn_stemmed": lambda c: itn(c, stemmed=True), "cdd": cdd, "cdd_stemmed": lambda c: cdd(c, stemmed=True), "perplexity": perplexity, "length": lambda c: c.select("docno", F.size(tx.tokens(F.col("text"))).cast("double").alias("quality"))}
 
 
 def register(name: str, scorer: Scorer) -> None:
