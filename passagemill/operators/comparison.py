@@ -106,10 +106,50 @@ def close(a: Column, b: Column, absolute: float = 1e-8, relative: float = 1e-5)
     return F.abs(a - b) <= absolute + relative * F.abs(b)
 
 
-def with_close_flags(results: DataFrame, flags: DataFrame, keys: list[str]) -> DataFrame:
-    """Flags whose threshold is close, taken only where exactly one candidate fits. Equality on keys keeps the join an equi-join."""
+def band_join(left: DataFrame, right: DataFrame, keys: list[str], a: str, b: str, width: Column | float, how: str = "inner") -> DataFrame:
+    """Rows with equal keys whose a and b lie within width of each other, and some that lie within three: the caller tests.
+
+    The values are cut into cells as wide as the tolerance, and a right row goes to its own and both
+    neighbours, so a key with many values is many small groups. Columns of both sides must differ but for keys.
+    """
+    w = F.lit(width) if isinstance(width, (int, float)) else width
+    cell = lambda c: F.floor(F.col(c) / w)
+    near = right.withColumn("_cell", F.explode(F.array(cell(b) - 1, cell(b), cell(b) + 1)))
+    return left.withColumn("_cell", cell(a)).join(near, [*keys, "_cell"], how).drop("_cell")
+
+
+def with_close_flags(results: DataFrame, flags: DataFrame, keys: list[str], absolute: float = 1e-8, relative: float = 1e-5) -> DataFrame:
+    """Flags whose threshold is close, taken only where exactly one candidate fits; equal flags are several."""
     r = results.withColumn("_row", F.monotonically_increasing_id())  # equal rows are rows of their own
-    f = flags.select(*keys, F.col("threshold").alias("_t"), F.col("equivalent").alias("_e"))
-    near = F.col("_t").isNotNull() & close(F.col("threshold"), F.col("_t"))
-    fits = r.join(f, keys, "left").groupBy("_row").agg(*(F.first(c).alias(c) for c in results.columns), F.count_if(near).alias("_n"), F.max(F.when(near, F.col("_e"))).alias("_e"))
-    return fits.select(*results.columns, F.when(F.col("_n") == 1, F.col("_e")).alias("equivalent"))
+    f = flags.groupBy(*keys, F.col("threshold").alias("_t")).agg(F.count(F.lit(1)).alias("_c"), F.max("equivalent").alias("_e")).where(F.col("_t").isNotNull())
+    largest = f.agg(F.coalesce(F.max(F.abs("_t")), F.lit(0.0)).alias("m")).first()["m"]  # the widest tolerance
+    near = close(F.col("threshold"), F.col("_t"), absolute, relative)
+    hit = band_join(r.select("_row", *keys, "threshold"), f, keys, "threshold", "_t", absolute + relative * largest).where(near)
+    one = hit.groupBy("_row").agg(F.sum("_c").alias("_n"), F.max("_e").alias("_e")).where("_n = 1")
+    return r.join(one, "_row", "left").select(*results.columns, F.col("_e").alias("equivalent"))
+
+
+#: Tolerances of resolve_variants: of thresholds, and of the full collection's mean (absolute, relative).
+SAME_THRESHOLD, SAME_MEAN = 1e-10, (1e-10, 1e-7)
+
+
+def resolve_variants(tests: DataFrame, results: DataFrame, keys: list[str]) -> DataFrame:
+    """tests with a qrels_variant for the rows that lack one, where results allow one variant alone; rows that stay without one are kept as null.
+
+    A result is a candidate if its keys are equal, its threshold is the same within SAME_THRESHOLD, and,
+    where the test names a mean_full, its mean_full is close to that.
+    """
+    t = tests.withColumn("_row", F.monotonically_increasing_id())
+    asked = t.where(F.col("qrels_variant").isNull() & F.col("threshold").isNotNull()).select("_row", *keys, "threshold", F.when(~F.isnan("mean_full"), F.col("mean_full")).alias("mean_full"))
+    # equal questions and equal answers meet once
+    cases = asked.groupBy(*keys, "threshold", "mean_full").agg(F.min("_row").alias("_case"))
+    answers = results.where(F.col("qrels_variant").isNotNull()).select(*keys, F.col("threshold").alias("_t"), F.col("mean_full").alias("_m"), F.col("qrels_variant").alias("_q")).distinct()
+    hit = band_join(cases, answers, keys, "threshold", "_t", SAME_THRESHOLD)
+    same = (F.abs(F.col("threshold") - F.col("_t")) <= SAME_THRESHOLD) & (F.col("mean_full").isNull() | F.coalesce(close(F.col("_m"), F.col("mean_full"), *SAME_MEAN), F.lit(False)))
+    found = hit.where(same).groupBy("_case").agg(F.count_distinct("_q").alias("_n"), F.min("_q").alias("_found")).where("_n = 1")
+    named = cases.join(found, "_case").select(*keys, "threshold", "mean_full", "_found")
+    equal = F.lit(True)
+    for c in (*keys, "threshold", "mean_full"):
+        equal = equal & asked[c].eqNullSafe(named[c])
+    resolved = asked.join(named, equal).select("_row", "_found")
+    return t.join(resolved, "_row", "left").select(*(F.coalesce("qrels_variant", "_found").alias(c) if c == "qrels_variant" else F.col(c) for c in tests.columns))

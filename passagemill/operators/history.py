@@ -31,13 +31,42 @@ def best_step(history: DataFrame) -> DataFrame:
 
 
 def mean_loss_between(losses: DataFrame, evaluations: DataFrame) -> DataFrame:
-    """Mean of losses (run, at, loss) in (previous evaluation, step] for each evaluation (run, step)."""
+    """run, step, mean_loss: mean of losses (run, at, loss) in (previous evaluation, step] for each evaluation (run, step) that has any.
+
+    Losses and spans meet in cells of the steps: a span goes to each cell that it touches, a loss to its
+    own, and a cell is about as wide as a span is long, so a run of any length is many small groups and
+    no loss meets all spans of its run. The first span of a run starts below all steps.
+    """
+    ends = losses.agg(F.min("at").alias("_least"), F.max("at").alias("_last"))
+    counted = evaluations.groupBy("run").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n").alias("_spans"))
+    width = F.greatest((F.col("_last") - F.col("_least")) / F.greatest(F.col("_spans"), F.lit(1)), F.lit(1.0))
+    grid = F.broadcast(ends.crossJoin(counted).select("_least", width.alias("_width")))  # one row
+    cell = lambda c: F.floor((c - F.col("_least")) / F.col("_width"))
     w = Window.partitionBy("run").orderBy("step")
-    spans = evaluations.withColumn("_from", F.coalesce(F.lag("step").over(w), F.lit(float("-inf"))))
-    hit = losses.join(spans, "run").where((F.col("at") > F.col("_from")) & (F.col("at") <= F.col("step")))
+    spans = evaluations.select("run", "step").distinct().withColumn("_from", F.lag("step").over(w)).crossJoin(grid).where(F.col("step") >= F.col("_least"))
+    low = F.greatest(F.coalesce(F.col("_from"), F.col("_least")), F.col("_least"))
+    spans = spans.withColumn("_cell", F.explode(F.sequence(cell(low), cell(F.col("step")))))
+    placed = losses.crossJoin(grid).withColumn("_cell", cell(F.col("at")))
+    hit = placed.join(spans.drop("_width", "_least"), ["run", "_cell"]).where((F.col("_from").isNull() | (F.col("at") > F.col("_from"))) & (F.col("at") <= F.col("step")))
     return hit.groupBy("run", "step").agg(F.avg("loss").alias("mean_loss"))
 
 
+#: The column of a log's entries that says which of equal keys counts: the greatest.
+VERSION = "_version"
+
+
+def append(rows: DataFrame, path: str, version: int) -> None:
+    """Add rows to a log. Nothing that is there is read or written again."""
+    rows.withColumn(VERSION, F.lit(version).cast("long")).write.mode("append").parquet(path)
+
+
+def merged(log: DataFrame, keys: list[str]) -> DataFrame:
+    """A log merged on reading: of rows with equal keys (null ones are equal) the one of the greatest version, without the version."""
+    rest = [c for c in log.columns if c not in (*keys, VERSION)]
+    last = log.groupBy(*keys).agg(F.max_by(F.struct(*rest), VERSION).alias("_x"))
+    return last.select(*keys, *(F.col("_x")[c].alias(c) for c in rest))
+
+
 def streaks(flagged: DataFrame, flag: str = "overfitting") -> DataFrame:
     """run, step, streak: how many evaluations in a row were flagged. A run's history is small and is walked in pandas."""
 
