@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..tables import materialize
-from .ranking import average_rank, global_rank, quantile, running_sums
+from .ranking import global_rank, quantile, running_sums, with_average_rank
 
 FRACTIONS = (0.0, 0.15, 0.25, 0.3, 0.45, 0.6)
 
@@ -71,10 +71,10 @@ def roc_points(scored: DataFrame) -> DataFrame:
 
 def auc(scored: DataFrame) -> DataFrame:
     """One row: area under the curve by rank sums, ties counting half; null with one label only."""
-    ranked = average_rank(written(scored).select("quality", "label"), "quality", "r")
-    pos = F.sum((F.col("label") == 1).cast("long"))
-    neg = F.sum((F.col("label") == 0).cast("long"))
-    out = ranked.agg(pos.alias("p"), neg.alias("n"), F.sum(F.when(F.col("label") == 1, F.col("r"))).alias("s"))
+    is_ = lambda v: F.sum((F.col("label") == v).cast("long"))
+    groups = written(scored).where(F.col("quality").isNotNull()).groupBy("quality").agg(F.count(F.lit(1)).alias("c"), is_(1).alias("pos"), is_(0).alias("neg"))
+    ranked = running_sums(groups, "quality", {"upto": "c"})  # a row for each score: no row meets its score again
+    out = ranked.agg(F.sum("pos").alias("p"), F.sum("neg").alias("n"), F.sum(F.col("pos") * (F.col("upto") - (F.col("c") - 1) / 2)).alias("s"))
     return out.select(F.try_divide(F.col("s") - F.col("p") * (F.col("p") + 1) / 2, F.col("p").cast("double") * F.col("n")).alias("auc"))
 
 
@@ -115,10 +115,16 @@ def correlations(pairs: DataFrame, a: str, b: str) -> DataFrame:
     """Pearson, Spearman (Pearson of mean ranks), MAE, RMSE, largest difference over finite pairs; a constant side has no correlation (null)."""
     finite = lambda c: ~F.isnan(c) & (F.abs(F.col(c)) < float("inf"))
     ok = written(pairs.where(finite(a) & finite(b)).select(F.col(a).alias("x"), F.col(b).alias("y")))
-    ranked = average_rank(average_rank(ok, "x", "rx"), "y", "ry")
     d = F.abs(F.col("x") - F.col("y"))
-    corr = lambda a, b: F.try_divide(F.covar_pop(a, b), F.stddev_pop(a) * F.stddev_pop(b))
-    return ranked.agg(F.count(F.lit(1)).alias("n"), corr("x", "y").alias("pearson"), corr("rx", "ry").alias("spearman"), F.avg(d).alias("mae"), F.sqrt(F.avg(d * d)).alias("rmse"), F.max(d).alias("max_abs"))
+    plain = ok.agg(F.count(F.lit(1)).alias("n"), F.try_divide(F.covar_pop("x", "y"), F.stddev_pop("x") * F.stddev_pop("y")).alias("pearson"), F.avg(d).alias("mae"), F.sqrt(F.avg(d * d)).alias("rmse"), F.max(d).alias("max_abs"))
+    # equal pairs are one row with a weight, and both sides' mean ranks have the mean (n + 1) / 2
+    pairs = materialize(ok.groupBy("x", "y").agg(F.count(F.lit(1)).alias("c")), "pairs")
+    keys = lambda k: running_sums(pairs.groupBy(k).agg(F.sum("c").alias("_n")), k, {"_upto": "_n"})
+    ranked = with_average_rank(with_average_rank(pairs, keys("x"), "x", "rx"), keys("y"), "y", "ry").crossJoin(F.broadcast(plain.select("n")))  # one row
+    x, y = ((F.col(r) - (F.col("n") + 1) / 2) for r in ("rx", "ry"))
+    total = lambda v: F.sum(F.col("c") * v)
+    spearman = ranked.agg(F.try_divide(total(x * y), F.sqrt(total(x * x)) * F.sqrt(total(y * y))).alias("spearman"))
+    return plain.crossJoin(F.broadcast(spearman)).select("n", "pearson", "spearman", "mae", "rmse", "max_abs")  # one row
 
 
 def histogram(scored: DataFrame, bins: int = 50) -> DataFrame:

@@ -1,9 +1,10 @@
 """Exact global ranks, running sums and quantiles without one task that sorts everything.
 
-Rows are cut into ranges by approximate quantiles of the key, and a key that fills several ranges is
-cut again by the order that decides between equal keys. Any cut points give the exact result: the
-ranges' totals (one row for each range) are added up, and windows run inside ranges. The input is
-read twice, for the cuts and for the work: pass a written table where it is dear.
+Rows are dealt to ranges of the whole order, key and tie together, by Spark's range partitioning (its
+cut points are rows of a sample, whatever their types and prefixes), and written with their range. The
+ranges' totals, one row for each, are added up, and windows run inside ranges. Any cut points give the
+exact result. There are as many ranges as rows ask for, so a key of any frequency fills many small
+ones where a tie tells its rows apart.
 """
 
 from __future__ import annotations
@@ -11,73 +12,44 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-ROWS = 100_000  #: rows that a range should have
-RANGES = 512  #: ranges at most; cut points are collected to the driver
+from ..tables import materialize
 
-#: A cut: rows beyond it have a greater key, or an equal one and a greater place (None: no place is).
-Cut = tuple[float, int | None]
+ROWS = 200_000  #: rows that a range should have
+SMALL = 1_000_000  #: distinct keys whose ranks are sent to all executors; beyond it they are joined
 
 
-def place(tie: str) -> Column:
-    """A number that orders strings as their first seven bytes do."""
-    return F.conv(F.rpad(F.substring(F.hex(F.encode(F.col(tie).cast("string"), "UTF-8")), 1, 14), 14, "0"), 16, 10).cast("long")
-
-
-def cuts_of(df: DataFrame, key: str, tie: str | None = None, rows: int | None = None) -> list[Cut]:
-    """Ascending cut points for ranges of about this many rows."""
-    fractions = [i / RANGES for i in range(1, RANGES)]
-    found = df.agg(F.count(key).alias("n"), F.percentile_approx(key, fractions, 10_000).alias("c")).first()
-    ranges = min(RANGES, found["n"] // (rows or ROWS) + 1)
-    points = [float(x) for x in found["c"] or []]
-    points = [points[i * RANGES // ranges - 1] for i in range(1, ranges)] if points else []
-    often = {x: points.count(x) for x in set(points) if points.count(x) > 1}
-    cuts: list[Cut] = [(x, None) for x in set(points)]
-    if tie and often:
-        most = max(often.values())
-        inner = df.where(F.col(key).isin(list(often))).groupBy(key).agg(F.percentile_approx(place(tie), [i / (most + 1) for i in range(1, most + 1)], 10_000).alias("c"))
-        cuts += [(float(r[key]), p) for r in inner.collect() for p in set(r["c"])]  # RANGES keys at most
-    return sorted(cuts, key=lambda c: (c[0], c[1] is None, c[1] or 0))
-
-
-def _range_of(cuts: list[Cut], key: str, tie: str | None, nulls: int) -> Column:
-    """The number of a row's range, by halving the cuts; nulls names the range of null keys."""
-
-    def beyond(cut: Cut) -> Column:
-        more = F.col(key) > cut[0]
-        return more if cut[1] is None else more | ((F.col(key) == cut[0]) & (place(tie) > cut[1]))
-
-    def tree(low: int, high: int) -> Column:
-        if low == high:
-            return F.lit(low)
-        middle = (low + high) // 2
-        return F.when(beyond(cuts[middle]), tree(middle + 1, high)).otherwise(tree(low, middle))
-
-    return F.when(F.col(key).isNull(), F.lit(nulls)).otherwise(tree(0, len(cuts)))
+def ranged(df: DataFrame, order: list[Column], rows: int | None = None) -> DataFrame:
+    """df, written, with _range: the ranges follow each other in the order. Rows that are equal in it are in one range."""
+    n = df.count() if rows is None else rows
+    ranges = n // ROWS + 1
+    return materialize(df.repartitionByRange(ranges, *order).withColumn("_range", F.spark_partition_id()), "ranges")
 
 
 def running_sums(df: DataFrame, key: str, sums: dict[str, str], ascending: bool = True, ties: str | None = None) -> DataFrame:
     """df with columns of running sums: sums maps new names to summed columns. Equal keys share a sum unless ties orders them; null keys come last."""
-    cuts = cuts_of(df, key, ties)
-    made = df.withColumn("_range", _range_of(cuts, key, ties if ascending else None, len(cuts) if ascending else 0)) if ascending or not ties else _descending(df, cuts, key)
     order = [F.col(key).asc_nulls_last() if ascending else F.col(key).desc_nulls_last()] + ([F.col(ties).asc()] if ties else [])
+    return _running(df, order, sums, bool(ties))
+
+
+def _running(df: DataFrame, order: list[Column], sums: dict[str, str], apart: bool) -> DataFrame:
+    made = ranged(df, order)
     inside = Window.partitionBy("_range").orderBy(*order)
-    inside = inside.rowsBetween(Window.unboundedPreceding, 0) if ties else inside.rangeBetween(Window.unboundedPreceding, 0)
+    inside = inside.rowsBetween(Window.unboundedPreceding, 0) if apart else inside.rangeBetween(Window.unboundedPreceding, 0)
     totals = made.groupBy("_range").agg(*(F.sum(c).alias(f"_t_{n}") for n, c in sums.items()))
-    over = Window.orderBy(F.col("_range").asc() if ascending else F.col("_range").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    over = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     before = totals.select("_range", *(F.coalesce(F.sum(f"_t_{n}").over(over), F.lit(0)).alias(f"_b_{n}") for n in sums))
-    out = made.join(F.broadcast(before), "_range")  # 2 * RANGES rows at most
+    out = made.join(F.broadcast(before), "_range")  # a row for each range
     return out.select(*df.columns, *((F.sum(c).over(inside) + F.col(f"_b_{n}")).alias(n) for n, c in sums.items()))
 
 
-def _descending(df: DataFrame, cuts: list[Cut], key: str) -> DataFrame:
-    """Ranges for a descending key whose equal values are ordered upwards: places are no cuts there."""
-    return df.withColumn("_range", _range_of([c for c in cuts if c[1] is None], key, None, 0))
+def numbered(df: DataFrame, order: list[Column], name: str = "rank") -> DataFrame:
+    """df with its exact 1-based place in an order; rows that are equal in it get different places."""
+    return _running(df.withColumn("_one", F.lit(1).cast("long")), order, {name: "_one"}, True).drop("_one")
 
 
 def global_rank(df: DataFrame, key: str, tie: str, name: str = "rank", ascending: bool = True) -> DataFrame:
     """df with its exact 1-based rank by key, then tie; null keys come last."""
-    one = df.withColumn("_one", F.lit(1).cast("long"))
-    return running_sums(one, key, {name: "_one"}, ascending, tie).drop("_one")
+    return numbered(df, [F.col(key).asc_nulls_last() if ascending else F.col(key).desc_nulls_last(), F.col(tie).asc()], name)
 
 
 def counted_keys(df: DataFrame, key: str) -> DataFrame:
@@ -87,7 +59,13 @@ def counted_keys(df: DataFrame, key: str) -> DataFrame:
 
 def average_rank(df: DataFrame, key: str, name: str) -> DataFrame:
     """df with the rank of key in which ties share their mean; ranks are made over distinct keys. Rows without a key go."""
-    return df.join(counted_keys(df, key).select(key, (F.col("_upto") - (F.col("_n") - 1) / 2).alias(name)), key)
+    return with_average_rank(df, counted_keys(df, key), key, name)
+
+
+def with_average_rank(df: DataFrame, counted: DataFrame, key: str, name: str) -> DataFrame:
+    """df with the mean rank of key, from counted_keys() of all rows: sent where keys are few, so that a frequent key's rows stay where they are."""
+    ranks = materialize(counted.select(key, (F.col("_upto") - (F.col("_n") - 1) / 2).alias(name)), "mean-ranks")
+    return df.join(F.broadcast(ranks) if ranks.count() <= SMALL else ranks, key)
 
 
 def quantile(df: DataFrame, key: str, fraction: float, name: str) -> DataFrame:

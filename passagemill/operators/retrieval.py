@@ -74,8 +74,10 @@ def tf_encoder(corpus: DataFrame) -> DataFrame:
 
 
 def sparse_search(index: DataFrame, queries: DataFrame) -> DataFrame:
-    """qid, docno, score: dot products over shared terms. queries: qid, term, weight."""
-    return index.join(queries.select("qid", "term", F.col("weight").alias("qw")), "term").groupBy("qid", "docno").agg(F.sum(F.col("weight") * F.col("qw")).alias("score"))
+    """qid, docno, score: dot products over shared terms. queries: qid, term, weight. Only the queries' terms leave the index, and documents are dealt before topics multiply them."""
+    terms = materialize(queries.select("qid", "term", F.col("weight").alias("qw")), "query-weights")
+    asked = materialize(asked_postings(index, terms), "asked-weights")
+    return meet_topics(asked, terms, asked.count()).groupBy("qid", "docno").agg(F.sum(F.col("weight") * F.col("qw")).alias("score"))
 
 
 def dense_search(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:

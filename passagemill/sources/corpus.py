@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import text_id
+from ..operators.ranking import numbered
 
 #: Names that a column may have, the first present one counts.
 ALIASES = {"docno": ("pid", "docno", "docid", "doc_id", "passage_id"), "text": ("text", "passage", "body", "contents"), "label": ("label", "labels", "target", "y", "is_relevant", "relevance")}
@@ -152,9 +153,11 @@ def window_of(df: DataFrame, order: list[str], skip: int = 0, first: int | None
     """The rows behind the first `skip` in an order, `first` of them: a bounded scan that doesn't depend on partitions."""
     if skip < 0 or first is not None and first < 0:
         raise ValueError("skip and first can't be negative")
-    out = df.orderBy(*order)
-    out = out.offset(skip) if skip else out
-    return out if first is None else out.limit(first)
+    if first is not None:  # Spark keeps skip + first rows of each partition
+        return df.orderBy(*order).offset(skip).limit(first)
+    if not skip:
+        return df.orderBy(*order)
+    return numbered(df, [F.col(c) for c in order], "_place").where(F.col("_place") > skip).drop("_place").orderBy(*order)
 
 
 def split_counts(qrels: DataFrame) -> DataFrame:
