@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.corpus import window_of
 from ..tables import materialize
-from .ranking import global_rank, quantile, running_sums, with_average_rank
+from .ranking import global_rank, numbered, quantile, running_sums, with_average_rank
 
 FRACTIONS = (0.0, 0.15, 0.25, 0.3, 0.45, 0.6)
 
@@ -145,6 +146,15 @@ def balanced_sample(rows: DataFrame, per_label: int, seed: int = 42, exclude: Da
     return drawn.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= per_label).drop("_h", "_n")
 
 
+def scanned_sample(examples: DataFrame, order: list[str], per_label: int, skip: int = 0, scan: int | None = None, exclude: DataFrame | None = None) -> DataFrame:
+    """The first per_label examples of each label in an order, without the first `skip` and among the `scan` that follow them, each docno once and none that is excluded. A label that the scan holds too few of gives fewer."""
+    seen = numbered(window_of(examples, order, skip, scan), [F.col(c) for c in order], "_at")
+    if exclude is not None:
+        seen = seen.join(exclude.select("docno").distinct(), "docno", "left_anti")
+    once = seen.withColumn("_o", F.row_number().over(Window.partitionBy("docno").orderBy("_at"))).where("_o = 1")
+    return once.withColumn("_n", F.row_number().over(Window.partitionBy("label").orderBy("_at"))).where(F.col("_n") <= per_label).drop("_at", "_o", "_n")
+
+
 def fingerprint(sample: DataFrame) -> DataFrame:
     """One digest of a bounded sample: docno, label and text by docno."""
     line = F.concat_ws("\t", "docno", F.col("label").cast("string"), F.md5("text"))

@@ -61,6 +61,21 @@ def test_published_noninferiority():
         assert student.t_upper_tail(t, n - 1) == pytest.approx(p, rel=1e-6)
 
 
+def test_published_noninferiority_from_pairs(spark):
+    """Pairs with just the published means and deviations, through the operator."""
+    rows = []
+    for i, (n, mean, diff, _, _, t, _) in enumerate(PUBLISHED):
+        sd = (diff + 0.05 * mean) / t * math.sqrt(n)
+        z = np.arange(n) - (n - 1) / 2
+        z = z / z.std(ddof=1)
+        rows += [(i, mean, float(mean + diff + sd * v)) for v in z]
+    got = {r["s"]: r for r in cp.noninferiority(spark.createDataFrame(rows, "s int, value_full double, value_pruned double"), ["s"]).collect()}
+    for i, (n, mean, diff, low, high, t, p) in enumerate(PUBLISHED):
+        r = got[i]
+        assert r["n_queries"] == n and r["passes"] == (p < 0.05) and r["margin_respected_by_ci"] == (low > -0.05 * mean)
+        assert [r[c] for c in ("mean_full", "mean_diff", "ci95_low", "ci95_high", "t_noninferiority", "p_noninferiority")] == pytest.approx([mean, diff, low, high, t, p], rel=1e-6)
+
+
 def test_ranks_with_nulls_and_many_ties(spark, monkeypatch):
     monkeypatch.setattr(ranking, "ROWS", 1000)
     n = 100_000
