@@ -8,7 +8,7 @@ language; margins under MARGIN are rejected (column rejected), and so are texts
 The margin alone decides: it holds for texts of every length.
 
 Learning reads text and lang of documents outside the held-out fold only. Every label is learned,
-from SAMPLE_TEXTS of its texts at most, each with a piece of PIECE characters from anywhere in it.
+from SAMPLE_TEXTS of its different texts at most, however often they repeat, each whole.
 
 Defined cases: a null text or one without a letter (Unicode's category L) is `und` with score 0 and
 rejected; without any labelled text all are. Rows with a null lang teach nothing. Ties go to the
@@ -23,13 +23,13 @@ import numpy as np
 import pyarrow as pa
 import regex
 import zstandard
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import map_texts, read_documents
 
 FOLDS = 5
-SAMPLE_TEXTS, PIECE = 256, 1_200  #: labelled texts of a language that give a piece to its dictionary, and characters of a piece
+SAMPLE_TEXTS = 48  #: different labelled texts of a language that make its dictionary
 LEVEL, BLOCK = 6, 2_048  #: zstandard level; bytes compressed at once
 MARGIN = 0.002
 UNKNOWN = "und"
@@ -44,23 +44,25 @@ def fold(doc_id: Column) -> Column:
 def learn(docs: DataFrame) -> dict[str, bytes]:
     """Language to dictionary, the most frequent language first, from text and lang alone.
 
-    The counts are over all labelled rows. The sample is the distinct texts with the least hash: a
-    threshold known from the count leaves about four times the sample, of which the least are kept.
-    Each gives one piece from anywhere in it, by its hash. Labels can be wrong, so each half of the
-    sample is classified by the other half's dictionaries, and what they give to another language is
-    left out. The driver gets a count and a sample for each label: a bound by the number of languages.
+    The counts are over all labelled rows. The sample is the different texts with the least hash: a
+    threshold known from the number of different texts leaves about four times the sample (all, where
+    there are few), of which the least are kept; copies go before the shuffle. Labels can be wrong, so
+    each half of the sample is classified by the other half's dictionaries, and what they give to
+    another language is left out. The driver gets a count and a sample for each label: a bound by the
+    number of languages.
     """
     known = docs.select("doc_id", "text", "lang").where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ((fold(F.col("doc_id")) != 0) | F.col("doc_id").isNull()))
-    told = known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").collect()
+    known = known.select("lang", "text", F.xxhash64("text").alias("h"))
+    told = known.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.approx_count_distinct("h").alias("texts")).orderBy(F.desc("n"), "lang").collect()
     if not told:
         return {}
     counts = {r["lang"]: r["n"] for r in told}
-    share = F.create_map(*(F.lit(x) for lang, n in counts.items() for x in (lang, min(1.0, 4 * SAMPLE_TEXTS / n))))
-    drawn = known.select("lang", "text", F.xxhash64("text").alias("h")).where((F.col("h").cast("double") / 2.0**64 + 0.5) <= F.element_at(share, F.col("lang")))
-    pieces = F.greatest(F.ceil(F.char_length("text") / PIECE), F.lit(1))
-    part = F.substring("text", (F.pmod(F.xxhash64("h"), pieces) * PIECE + 1).cast("int"), F.lit(PIECE))
-    least = drawn.select("lang", "h", part.alias("part")).dropDuplicates(["lang", "h"]).groupBy("lang").agg(F.slice(F.sort_array(F.collect_list(F.struct("h", "part"))), 1, SAMPLE_TEXTS)["part"].alias("parts"))
-    parts = {r["lang"]: r["parts"] for r in least.collect()}
+    share = F.create_map(*(F.lit(x) for r in told for x in (r["lang"], min(1.0, 4 * SAMPLE_TEXTS / max(r["texts"], 1)))))
+    drawn = known.where((F.col("h").cast("double") / 2.0**64 + 0.5) <= F.element_at(share, F.col("lang"))).groupBy("lang", "h").agg(F.min("text").alias("text"))
+    least = drawn.withColumn("_n", F.row_number().over(Window.partitionBy("lang").orderBy("h"))).where(F.col("_n") <= SAMPLE_TEXTS)
+    parts: dict[str, list[str]] = {}
+    for r in least.orderBy("lang", "h").select("lang", "text").collect():
+        parts.setdefault(r["lang"], []).append(r["text"])
     parts = {lang: parts[lang] for lang in counts if lang in parts}
     halves = [Classifier({lang: join(x[i::2]) for lang, x in parts.items()}) for i in (0, 1)]
     agree = {lang: [t for i, t in enumerate(x) if halves[1 - i % 2].predict(t)[0] in (lang, UNKNOWN)] for lang, x in parts.items()}
