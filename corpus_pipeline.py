@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from passagemill.llm import decontaminate, jaccard_join, language, line_dedup, trie_bpe
-from passagemill.llm.common import materialize, read_documents, whole_row
+from passagemill.llm.common import discard, materialize, read_documents, whole_row
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -56,7 +56,10 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_documents(spark, sf_dir)
     for i, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
+        made = stage(spark, docs, sf_dir)
         if i + 1 < len(STAGES):
-            docs = materialize(docs, name)
+            made = materialize(made, name)
+            if i:
+                discard(docs)  # the next stage is written: nothing reads the one before
+        docs = made
     return docs
