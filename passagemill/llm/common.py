@@ -70,6 +70,23 @@ def by_part(batches: Iterable[pa.RecordBatch]) -> Iterator[Iterator[pa.RecordBat
         yield (batch for _, batch in group)
 
 
+#: Keys that join_by_key sends to all executors at most, and rows that a key may have without being one of them.
+HOT_KEYS, FEW = 50_000, 1_024
+
+
+def join_by_key(rows: DataFrame, keyed: DataFrame, key: str, n: str, total: int) -> DataFrame:
+    """rows joined with keyed (written: it is read twice; one row for each key) where a key may hold any share of the rows.
+
+    n names keyed's column of how many rows a key has, total is how many rows there are. Keys with more
+    than FEW rows and more than one of HOT_KEYS equal shares are HOT_KEYS at most, and are sent to where
+    their rows are; no other key's rows fill a task.
+    """
+    most = max(FEW, total // HOT_KEYS)
+    hot = F.broadcast(keyed.where(F.col(n) > most).drop(n))
+    cold = keyed.where(F.col(n) <= most).drop(n)
+    return rows.join(hot, key).unionByName(rows.join(hot.select(key), key, "left_anti").join(cold, key))
+
+
 def text_of(name: str = "text") -> Column:
     return F.coalesce(F.col(name), F.lit(""))
 

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import discard, materialize, read_documents
+from .common import discard, join_by_key, materialize, read_documents
 from .repeats import Columns, Shape, Sums, candidates, chosen_runs, covered, keyed, pack, pick, run_starts, unpack
 from .suffix_dedup import byte_symbols, stretches
 
@@ -117,15 +117,15 @@ def taken_apart(batches):
 def occurrences_of(sent: DataFrame) -> DataFrame:
     """Occurrences of edges at all grains: what is longer than a run is taken apart where no smaller document has it whole."""
     long = sent.where(F.col("parts").isNotNull())
-    least = long.groupBy("edge").agg(F.min("k").alias("least"))
-    own = long.join(least, "edge").where(F.col("k") == F.col("least")).select("k", "h", "parts")
+    # least goes by edge and document, so that the holders of one edge don't meet
+    own = long.join(long.groupBy("edge").agg(F.min("k").alias("k")), ["edge", "k"]).select("k", "h", "parts")
     return sent.drop("parts").unionByName(own.mapInArrow(taken_apart, EDGE))
 
 
 def repeated_edges(occurrences: DataFrame) -> DataFrame:
     """Edges of two documents or more, each with the coordinates of its least occurrence: sk, sh, sp."""
-    once = occurrences.groupBy("edge").agg(F.min(F.struct("k", "h", "p")).alias("s"), F.max("k").alias("most"), *(F.min(c).alias(c) for c in ("first", "last", "head", "tail", "n")))
-    return once.where(F.col("s.k") < F.col("most")).select("edge", "first", "last", "head", "tail", "n", F.col("s.k").alias("sk"), F.col("s.h").alias("sh"), F.col("s.p").alias("sp"))
+    once = occurrences.groupBy("edge").agg(F.min(F.struct("k", "h", "p")).alias("s"), F.max("k").alias("most"), F.count(F.lit(1)).alias("c"), *(F.min(c).alias(c) for c in ("first", "last", "head", "tail", "n")))
+    return once.where(F.col("s.k") < F.col("most")).select("edge", "first", "last", "head", "tail", "n", F.col("s.k").alias("sk"), F.col("s.h").alias("sh"), F.col("s.p").alias("sp"), "c")
 
 
 def links(edges: DataFrame) -> DataFrame:
@@ -140,7 +140,7 @@ def links(edges: DataFrame) -> DataFrame:
 
 
 def compact(edges: DataFrame) -> DataFrame:
-    """edge, sk, sh, sp and start (the place in the source where the edge's path starts).
+    """edge, sk, sh, sp, c (occurrences) and start (the place in the source where the edge's path starts), written.
 
     Pointer jumping: to names an edge before on the path and at its place; done says that it is the
     first. A path goes forward in one source, so there are no rings, and as many jumps are needed as
@@ -160,12 +160,14 @@ def compact(edges: DataFrame) -> DataFrame:
         discard(state)
         state = now
     discard(linked)
-    return edges.join(state.select("edge", "at"), "edge", "left").select("edge", "sk", "sh", "sp", F.coalesce("at", "sp").alias("start"))
+    paths = materialize(edges.join(state.select("edge", "at"), "edge", "left").select("edge", "sk", "sh", "sp", F.coalesce("at", "sp").alias("start"), "c"), "paths")
+    discard(state)
+    return paths
 
 
 def long_spans(occurrences: DataFrame, paths: DataFrame) -> DataFrame:
     """k, h, a, size (words) of occurrences that follow one path without a gap, and the source's sk, sh, sa."""
-    on = occurrences.join(paths, "edge").where(F.col("k") > F.col("sk")).select("k", "h", "p", "n", "sk", "sh", "start", (F.col("p") - F.col("sp")).alias("shift"))
+    on = join_by_key(occurrences, paths, "edge", "c", occurrences.count()).where(F.col("k") > F.col("sk")).select("k", "h", "p", "n", "sk", "sh", "start", (F.col("p") - F.col("sp")).alias("shift"))
     line = Window.partitionBy("k", "h", "sk", "sh", "start", "shift").orderBy("p", "n")
     reach = F.max(F.col("p") + F.col("n")).over(line.rowsBetween(Window.unboundedPreceding, -1))
     cut = on.withColumn("new", F.coalesce(F.col("p") > reach, F.lit(True)).cast("int"))
@@ -209,8 +211,9 @@ def repeated_spans(docs: DataFrame, shape: Shape) -> DataFrame:
     occurrences = materialize(occurrences_of(told), "occurrences")
     discard(may, told)
     edges = materialize(repeated_edges(occurrences), "edges")
-    spans = materialize(long_spans(occurrences, compact(edges)), "spans")
-    discard(occurrences, edges)
+    paths = compact(edges)
+    spans = materialize(long_spans(occurrences, paths), "spans")
+    discard(occurrences, edges, paths)
     found, told = verified(rows, spans)
     out = materialize(found.groupBy("k", "h").agg(F.collect_set(F.struct("a", "size")).alias("spans")), "repeated-spans")
     discard(spans, told)

@@ -297,10 +297,19 @@ def test_spans_are_verified_by_words(spark):
     assert [(r["k"], r["a"], r["size"]) for r in found.collect()] == [(2, 1, 3)]
 
 
+def test_a_key_of_most_rows_is_joined_where_its_rows_are(spark, monkeypatch):
+    monkeypatch.setattr(common, "FEW", 5)
+    rows = spark.createDataFrame([(0, i) for i in range(300)] + [(i % 40, i) for i in range(1000)] + [(77, 1)], "key long, at long")
+    keyed = common.materialize(rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("key <> 3").withColumn("value", F.col("key") * 2), "keyed")
+    for total in (1301, 1301 * common.HOT_KEYS // 30, 10**9):
+        got = common.join_by_key(rows, keyed, "key", "n", total)
+        assert got.columns == ["key", "at", "value"] and got.exceptAll(rows.join(keyed.drop("n"), "key")).isEmpty() and got.count() == 1276
+
+
 def test_paths_are_compacted(spark):
     """Five edges in a row of one source, a branching node, and an edge of another source."""
-    edges = [(i, i, i, 100 + i, 101 + i, 1, 1, 1, i) for i in range(5)] + [(9, 9, 9, 102, 300, 1, 1, 1, 50), (8, 8, 8, 105, 106, 1, 2, 2, 5)]
-    made = substring_dedup.compact(spark.createDataFrame(edges, "edge long, first long, last long, head long, tail long, n int, sk long, sh long, sp int"))
+    edges = [(i, i, i, 100 + i, 101 + i, 1, 1, 1, i, 2) for i in range(5)] + [(9, 9, 9, 102, 300, 1, 1, 1, 50, 2), (8, 8, 8, 105, 106, 1, 2, 2, 5, 2)]
+    made = substring_dedup.compact(spark.createDataFrame(edges, "edge long, first long, last long, head long, tail long, n int, sk long, sh long, sp int, c long"))
     assert {r["edge"]: r["start"] for r in made.collect()} == {0: 0, 1: 0, 2: 2, 3: 2, 4: 2, 9: 50, 8: 5}
 
 
