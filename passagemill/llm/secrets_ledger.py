@@ -5,8 +5,11 @@ tables: paths, where each batch appends which document had which blob, so the hi
 is kept; and findings, a row for each scanned pair of blob and rule version, also where nothing was
 found. A scan takes only blobs that findings lacks under the current rules, each distinct text once
 however many paths hold it, and findings are joined back to all paths, those of earlier batches
-included. The rule version is a digest of the rules, so changed rules scan all again and unchanged
-ones nothing. Batches that run at one time may scan a blob twice; reading takes each pair once.
+included. The rule version is a digest of the rules. A batch under changed rules scans its own blobs
+again; rescan does so for the whole history: it is given texts (the ledger keeps none), takes those
+whose blob any batch recorded and the rules haven't seen, and its findings join to all of their paths.
+lacking says what is left. Batches that run at one time may scan a blob twice; reading takes each pair
+once. A blob of very many paths is joined where they are.
 
 Defined cases: a null text is the empty blob. Repeated rows give repeated results. Spans are in code
 points, end exclusive. A path whose blob wasn't scanned under the rules keeps its row, with null spans.
@@ -24,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-from .common import CLEANUP, map_texts, read_documents, shared_dir, text_of
+from .common import CLEANUP, FEW, HOT_KEYS, map_texts, materialize, read_documents, shared_dir, text_of
 
 #: The rules, in the order in which equal starts are listed: pattern, group whose length counts, least length, a string or strings (lower case) without which nothing matches.
 RULES: tuple[tuple[str, str, int, int, tuple[str, ...]], ...] = (
@@ -85,10 +88,21 @@ class Ledger:
         batch = uuid.uuid4().hex
         named = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.sha2(text_of(), 256).alias("blob"), text_of().alias("text"))
         named.select("doc_id", "blob", F.lit(batch).alias("batch")).write.mode("append").parquet(f"{self.path}/paths")
-        blobs = named.groupBy("blob").agg(F.first("text").alias("text"))
         known = self.scanned(rules).select("blob")
-        if not known.isEmpty():
-            blobs = blobs.join(known, "blob", "left_anti")
+        blobs = named.groupBy("blob").agg(F.first("text").alias("text"))
+        return batch, self._scan(blobs if known.isEmpty() else blobs.join(known, "blob", "left_anti"), rules)
+
+    def lacking(self, rules: Rules = RULES) -> DataFrame:
+        """blob of every recorded version that wasn't scanned under the rules."""
+        return self.paths().select("blob").distinct().join(self.scanned(rules).select("blob"), "blob", "left_anti")
+
+    def rescan(self, versions: DataFrame, rules: Rules = RULES) -> int:
+        """Scan recorded blobs of all batches that lack these rules, as far as versions (text, one or many for a blob) holds their texts. Returns how many were scanned."""
+        named = versions.select(F.sha2(text_of(), 256).alias("blob"), text_of().alias("text"))
+        wanted = materialize(self.lacking(rules), "lacking")
+        return self._scan(named.join(wanted, "blob", "left_semi").groupBy("blob").agg(F.first("text").alias("text")), rules)
+
+    def _scan(self, blobs: DataFrame, rules: Rules) -> int:
         watch = Observation()
         before = self.spark.conf.get(CLEANUP)
         self.spark.conf.set(CLEANUP, "true")  # the texts that were shuffled are not needed after the scan
@@ -96,12 +110,19 @@ class Ledger:
             scan(blobs, rules).observe(watch, F.count(F.lit(1)).alias("n")).write.mode("append").parquet(f"{self.path}/findings")
         finally:
             self.spark.conf.set(CLEANUP, before)
-        return batch, watch.get["n"]
+        return watch.get["n"]
 
     def findings(self, batch: str | None = None, rules: Rules = RULES) -> DataFrame:
         """doc_id, blob, batch, spans of every recorded row, or of one batch's; spans are null where a blob wasn't scanned under the rules."""
         paths = self.paths() if batch is None else self.paths().where(F.col("batch") == batch)
-        return paths.join(self.scanned(rules), "blob", "left").select("doc_id", "blob", "batch", "spans")
+        most = max(FEW, paths.count() // HOT_KEYS)
+        often = materialize(paths.groupBy("blob").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > most).select("blob"), "frequent-blobs")
+        scanned, columns = self.scanned(rules), ["doc_id", "blob", "batch", "spans"]
+        if often.isEmpty():
+            return paths.join(scanned, "blob", "left").select(*columns)
+        keys = F.broadcast(often)  # HOT_KEYS at most
+        hot = paths.join(keys, "blob", "left_semi").join(F.broadcast(scanned.join(keys, "blob", "left_semi")), "blob", "left")
+        return hot.select(*columns).unionByName(paths.join(keys, "blob", "left_anti").join(scanned, "blob", "left").select(*columns))
 
 
 def joined(spans):

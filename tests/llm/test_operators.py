@@ -103,6 +103,31 @@ def test_secrets(docs, nothing, spark, tmp_path):
     assert n == 0 and empty.findings(batch).count() == 0
 
 
+def test_new_rules_reach_the_first_batch(docs, spark, tmp_path, monkeypatch):
+    ledger = secrets_ledger.Ledger(spark, str(tmp_path / "ledger"))
+    first, _ = ledger.update(docs)
+    changed = docs.limit(0).union(spark.createDataFrame([(17, "secret: zyxwvutsrqponm") + (None,) * 10, (2, None) + (None,) * 10], SCHEMA))
+    rules = (*secrets_ledger.RULES, ("word", "one", 0, 1, ()))
+    second, n = ledger.update(changed, rules)
+    assert n == 2  # a new text, and the empty one under new rules
+    texts = {t or "" for _, t in TEXTS}
+    assert ledger.lacking(rules).count() == len(texts) - 1 and ledger.lacking().count() == 1
+    history = docs.unionByName(changed).unionByName(docs)
+    some = history.where("doc_id >= 18")
+    assert ledger.rescan(some, rules) == len({t for i, t in TEXTS if i is not None and i >= 18})
+    assert ledger.rescan(history, rules) == ledger.lacking(rules).count() + len(texts) - 1 - len({t for i, t in TEXTS if i is not None and i >= 18})
+    assert ledger.lacking(rules).isEmpty() and ledger.rescan(history, rules) == 0
+    found = ledger.findings(first, rules)
+    assert found.where("spans is null").isEmpty() and found.count() == len(TEXTS)
+    assert {r["doc_id"] for r in found.where("exists(spans, s -> s.kind = 'word')").collect()} >= {18, 19}
+    ledger.rescan(history)
+    plain = sorted(map(str, ledger.findings(first).collect()))
+    monkeypatch.setattr(secrets_ledger, "FEW", 1)  # blobs of two paths are frequent
+    assert sorted(map(str, ledger.findings(first).collect())) == plain
+    unknown = ledger.findings(first, rules[1:])
+    assert unknown.where("spans is null").count() == len(TEXTS)
+
+
 def test_bpe(docs, nothing):
     path = public_tokenizers.path(trie_bpe.TOKENIZER)
     library = Tokenizer.from_file(path)
