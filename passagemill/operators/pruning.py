@@ -34,7 +34,8 @@ def written(scored: DataFrame) -> DataFrame:
 def with_prune_rank(scored: DataFrame) -> DataFrame:
     """scored with rank (1: worst; ties by docno; without a score last) and total."""
     scored = written(scored)
-    return global_rank(scored, "quality", "docno").withColumn("total", F.lit(scored.count()))
+    total = scored.count()
+    return global_rank(scored, "quality", "docno", rows=total).withColumn("total", F.lit(total))
 
 
 def prune_fraction(scored: DataFrame, fraction: float) -> DataFrame:

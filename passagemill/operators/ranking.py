@@ -31,8 +31,8 @@ def running_sums(df: DataFrame, key: str, sums: dict[str, str], ascending: bool
     return _running(df, order, sums, bool(ties))
 
 
-def _running(df: DataFrame, order: list[Column], sums: dict[str, str], apart: bool) -> DataFrame:
-    made = ranged(df, order)
+def _running(df: DataFrame, order: list[Column], sums: dict[str, str], apart: bool, rows: int | None = None) -> DataFrame:
+    made = ranged(df, order, rows)
     inside = Window.partitionBy("_range").orderBy(*order)
     inside = inside.rowsBetween(Window.unboundedPreceding, 0) if apart else inside.rangeBetween(Window.unboundedPreceding, 0)
     totals = made.groupBy("_range").agg(*(F.sum(c).alias(f"_t_{n}") for n, c in sums.items()))
@@ -42,14 +42,14 @@ def _running(df: DataFrame, order: list[Column], sums: dict[str, str], apart: bo
     return out.select(*df.columns, *((F.sum(c).over(inside) + F.col(f"_b_{n}")).alias(n) for n, c in sums.items()))
 
 
-def numbered(df: DataFrame, order: list[Column], name: str = "rank") -> DataFrame:
-    """df with its exact 1-based place in an order; rows that are equal in it get different places."""
-    return _running(df.withColumn("_one", F.lit(1).cast("long")), order, {name: "_one"}, True).drop("_one")
+def numbered(df: DataFrame, order: list[Column], name: str = "rank", rows: int | None = None) -> DataFrame:
+    """df with its exact 1-based place in an order; rows that are equal in it get different places. rows: how many there are, where that is known."""
+    return _running(df.withColumn("_one", F.lit(1).cast("long")), order, {name: "_one"}, True, rows).drop("_one")
 
 
-def global_rank(df: DataFrame, key: str, tie: str, name: str = "rank", ascending: bool = True) -> DataFrame:
+def global_rank(df: DataFrame, key: str, tie: str, name: str = "rank", ascending: bool = True, rows: int | None = None) -> DataFrame:
     """df with its exact 1-based rank by key, then tie; null keys come last."""
-    return numbered(df, [F.col(key).asc_nulls_last() if ascending else F.col(key).desc_nulls_last(), F.col(tie).asc()], name)
+    return numbered(df, [F.col(key).asc_nulls_last() if ascending else F.col(key).desc_nulls_last(), F.col(tie).asc()], name, rows)
 
 
 def counted_keys(df: DataFrame, key: str) -> DataFrame:
