@@ -260,7 +260,8 @@ def test_variants_and_reports(spark, tmp_path):
     got = [tuple(r) for r in rp.split_variants(rows, "fam", {"A": "fam_a", "AB": "fam_ab"}).collect()]
     assert got == [("fam_a", "dev.small"), ("fam_ab", "test-2019"), ("fam", "test-2019"), ("x", "A_y"), ("fam", None)]
     files = spark.createDataFrame([("msm_itn.cache",), ("other.cache",)], "file_name string")
-    assert {r["file_name"]: r["scorer"] for r in rp.scorer_of_cache(files, registry.scorer_table(spark), "msm").collect()} == {"msm_itn.cache": "itn", "other.cache": None}
+    table = spark.createDataFrame([(1, "itn", "Information to noise", ["ITN"], ["{dataset_name}_itn.cache"], "lexical", True, True), (2, "cdd", None, [], ["{dataset_name}_itn.cache"], "lexical", True, True)], rp.SCORER_TABLE)
+    assert {r["file_name"]: r["scorer"] for r in rp.scorer_of_cache(files, table, "msm").collect()} == {"msm_itn.cache": "itn", "other.cache": None}
     x = spark.createDataFrame([("b", 1), ("a", 1), ("a", 2), (None, 3), ("a", None)], "k string, n int")
     assert [tuple(r) for r in rp.sorted_report(x, ["k", "-n"]).collect()] == [("a", 2), ("a", 1), ("a", None), ("b", 1), (None, 3)]
     assert sorted(r["json"] for r in rp.as_json(x.where("k = 'b' or n is null")).collect()) == ['{"k":"a","n":null}', '{"k":"b","n":1}']
