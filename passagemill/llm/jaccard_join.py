@@ -4,9 +4,12 @@ Documents are sets of five-word shingles (a shorter document with words is one s
 text form a class first and go on as one. Each class has a MinHash signature cut into bands; bands
 and rows are the widest that reach the target recall at the similarity. Equal bands meet by their
 hash, each bucket links its members to its least one, and components of those links hold every
-candidate pair. In a component all pairs are then verified on full shingle sets, exactly. A large
-component is verified in blocks: its classes are dealt to blocks of about BLOCK, and each pair of
-blocks is one bounded group, so no group grows with the data and no pair becomes a row.
+candidate pair. Pairs are then verified on full shingle sets, exactly: component by component, or
+bucket by bucket where that sends fewer sets. Small components, and those in which nearly all share
+their bands, go whole, as a set travels once then; of a large component that hangs together by
+chains only pairs that share a band meet, each in the first band that it shares. What is verified
+is dealt to blocks of about BLOCK, and each pair of blocks is one bounded group, so no group grows with
+the data and no pair becomes a row. Keys of very many rows are joined where their rows are.
 
 Result: one row for each document with class_id (the least doc_id that links lead to), n_links (other
 texts at similarity or above) and n_copies (documents with the same text, itself included).
@@ -27,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import NO_ID, discard, materialize, read_documents, shuffle_parts, slices, text_of, whole_row
+from .common import NO_ID, discard, join_by_key, materialize, read_documents, shuffle_parts, slices, text_of, whole_row
 from .components import components
 from .repeats import STEP, Sums, mix
 from .substring_dedup import word_symbols
@@ -125,16 +128,28 @@ def linked(sets: list[np.ndarray], similarity: float) -> np.ndarray:
     return out
 
 
+def first_shared(bands: np.ndarray, band: int) -> np.ndarray:
+    """Which pairs of sets share this band and none before it, from an array of sets by bands."""
+    out = bands[:, None, band] == bands[None, :, band]
+    for i in range(band):
+        out &= bands[:, None, i] != bands[None, :, i]
+    return out
+
+
 def verify(similarity: float):
-    """Groups of (g, node, block, i, j, set), sorted by g: links of each node in its group, and the least node of its part."""
+    """Groups of (g, node, block, own, band, bands, set), sorted by g and node: links of each node in its group, and the least node of its part.
+
+    With a band from 0 on only pairs that meet in that band first count.
+    """
 
-    def group(rows: list[tuple]) -> list[tuple[int, int, int]]:
-        nodes = np.array([r[0] for r in rows], np.int64)
-        blocks = np.array([r[1] for r in rows])
-        out = linked([np.frombuffer(r[3], np.uint64) for r in rows], similarity)
+    def group(rows: list[tuple]) -> list[tuple[bytes, int, bytes]]:
+        blocks, band = np.array([r[1] for r in rows]), rows[0][3]
+        out = linked([np.frombuffer(r[5], np.uint64) for r in rows], similarity)
         if not rows[0][2]:  # two different blocks: pairs within one are another group's
             out &= blocks[:, None] != blocks[None, :]
-        low = nodes.copy()
+        if band >= 0:
+            out &= first_shared(np.array([r[4] for r in rows], np.int64), band)
+        low = np.arange(len(rows))  # rows come by node
         links = out.sum(axis=1)
         busy = np.flatnonzero(links)
         while True:
@@ -144,19 +159,19 @@ def verify(similarity: float):
             if (new == low).all():
                 break
             low = new
-        return [(int(nodes[i]), int(links[i]), int(low[i])) for i in busy]
+        return [(rows[i][0], int(links[i]), rows[low[i]][0]) for i in busy]
 
     def run(batches):
         now, rows, done = None, [], []
         for batch in batches:
-            for g, node, block, own, blob in zip(*(batch.column(c).to_pylist() for c in ("g", "node", "block", "own", "set")), strict=True):
+            for g, *row in zip(*(batch.column(c).to_pylist() for c in ("g", "node", "block", "own", "band", "bands", "set")), strict=True):
                 if g != now and rows:
                     done += group(rows) if len(rows) > 1 else []
                     rows = []
                 now = g
-                if rows and rows[-1][0] == node:
+                if rows and rows[-1][0] == row[0]:
                     continue  # a repeated row of docs
-                rows.append((node, block, own, blob))
+                rows.append(row)
             if len(done) > 10_000:
                 yield links_batch(done)
                 done = []
@@ -168,8 +183,27 @@ def verify(similarity: float):
     return run
 
 
-def links_batch(rows: list[tuple[int, int, int]]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*rows, strict=True)], ["node", "n", "low"])
+def links_batch(rows: list[tuple[bytes, int, bytes]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), (pa.binary(), pa.int64(), pa.binary()), strict=True)], ["node", "n", "low"])
+
+
+def groups_of(met: DataFrame, found: DataFrame) -> DataFrame:
+    """node and places, an array of where its set is verified: unit, blocks (of the unit) and band (-1: all pairs).
+
+    met (node, bucket, band, n members) and found (node, component) are written. A component is one unit, or each
+    of its buckets is, whatever sends fewer sets.
+    """
+    blocks = lambda n: F.ceil(F.col(n) / BLOCK).cast("int")
+    by_bucket = met.groupBy("node").agg(F.sum(blocks("n")).alias("sent"))
+    sized = found.join(by_bucket, "node").groupBy("component").agg(F.count(F.lit(1)).alias("size"), F.sum("sent").alias("sent"))
+    sized = materialize(sized.select("component", "size", blocks("size").alias("blocks"), (F.col("size") * blocks("size") <= F.col("sent")).alias("whole")), "sizes")
+    nodes = join_by_key(found, sized, "component", "size", sized.agg(F.sum("size")).first()[0] or 0)
+    place = lambda unit, n, band: F.struct(unit.alias("unit"), n.alias("blocks"), band.alias("band"))
+    whole = nodes.where("whole").select("node", F.array(place(F.xxhash64("component"), F.col("blocks"), F.lit(-1))).alias("places"))
+    split = nodes.where("not whole").select("node").join(met, "node").groupBy("node").agg(F.collect_list(place(F.col("bucket"), blocks("n"), F.col("band"))).alias("places"))
+    out = materialize(whole.unionByName(split), "places")
+    discard(sized)
+    return out
 
 
 def keyed(docs: DataFrame, keep: list[str]) -> DataFrame:
@@ -183,38 +217,43 @@ def classes_of(docs: DataFrame, similarity: float = SIMILARITY, recall: float =
     bands, rows = banding(similarity, recall)
     texts = keyed(docs, [])
     classes = signatures(texts, bands, rows).groupBy("c").agg(F.min("k").alias("rep"), F.count(F.lit(1)).alias("n_copies"), F.first("bands").alias("bands"))
-    # a class is named by its text; in edge tables by a number of that name
-    classes = materialize(classes.withColumn("node", F.conv(F.substring("c", 1, 15), 16, 10).cast("long")), "classes")
-    banded = classes.select("node", F.posexplode("bands").alias("band", "hash"))
-    hubs = banded.groupBy("band", "hash").agg(F.min("node").alias("b"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    edges = banded.join(hubs, ["band", "hash"]).select(F.col("node").alias("a"), "b")
-    found = materialize(components(edges), "candidates")
-    sized = found.groupBy("component").agg(F.count(F.lit(1)).alias("n")).select("component", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
-    nodes = found.join(sized, "component").join(classes.select("node", "c", "rep"), "node").select("node", "component", "blocks", "c", F.col("rep").alias("k"))
-    sets = with_sets(texts.join(nodes, ["k", "c"]).select("node", "component", "blocks", "text"))
+    # a class is named by its text; in edge tables by the bytes of that name
+    classes = materialize(classes.withColumn("node", F.unhex("c")), "classes")
+    banded = classes.select("node", F.posexplode("bands").alias("band", "hash")).select("node", "band", F.xxhash64("band", "hash").alias("bucket"))
+    buckets = materialize(banded.groupBy("bucket").agg(F.min("node").alias("least"), F.count(F.lit(1)).alias("n")).where("n > 1").withColumn("members", F.col("n")), "buckets")
+    met = materialize(join_by_key(banded, buckets, "bucket", "members", buckets.agg(F.sum("n")).first()[0] or 0), "met")
+    discard(buckets)
+    found = materialize(components(met.select(F.col("node").alias("a"), F.col("least").alias("b"))), "candidates")
+    places = groups_of(met, found)
+    discard(met, found)
+    nodes = places.join(classes.select("node", "c", F.col("rep").alias("k"), "bands"), "node")
+    sets = with_sets(texts.join(nodes, ["k", "c"]).select("node", "places", "bands", "text"))
+    placed = sets.select("node", "bands", "set", F.explode("places").alias("_")).select("node", "set", "_.*", F.when(F.col("_.band") >= 0, F.col("bands")).alias("bands"))
     block = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block")
-    dealt = sets.select("node", "component", "blocks", block, "set").select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    dealt = placed.select("*", block).select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
     low, high = F.least("block", "other"), F.greatest("block", "other")
-    dealt = dealt.select(F.xxhash64("component", low, high).alias("g"), "node", "block", (F.col("block") == F.col("other")).alias("own"), "set")
-    links = dealt.repartition(parts, "g").sortWithinPartitions("g", "node").mapInArrow(verify(similarity), "node long, n long, low long")
+    dealt = dealt.select(F.xxhash64("unit", low, high).alias("g"), "node", "block", (F.col("block") == F.col("other")).alias("own"), "band", "bands", "set")
+    links = dealt.repartition(parts, "g").sortWithinPartitions("g", "node").mapInArrow(verify(similarity), "node binary, n long, low binary")
     links = materialize(links, "links")
-    discard(found)
+    discard(places)
     counts = links.groupBy("node").agg(F.sum("n").alias("n_links"))
     grouped = components(links.select(F.col("node").alias("a"), F.col("low").alias("b"))).withColumnRenamed("component", "root")
-    named = classes.select("c", "node", "rep", "n_copies").join(counts, "node", "left").join(grouped, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    least = named.where(F.col("n_links") > 0).groupBy("root").agg(F.min(F.struct("rep", "c")).alias("least"))
-    named = named.join(least, "root", "left").select(
-        "c", "rep", F.coalesce("least.rep", "rep").alias("class_id"), F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"), "n_copies", F.coalesce(F.col("least.c") == F.col("c"), F.lit(True)).alias("stays")
-    )
-    out = materialize(named, "named")
-    discard(classes, links)
+    # every node of a link has a root and a count
+    named = materialize(classes.select("c", "node", "rep", "n_copies").join(counts.join(grouped, "node"), "node", "left"), "rooted")
+    least = named.where(F.col("root").isNotNull()).groupBy("root").agg(F.min(F.struct("rep", "c")).alias("least"), F.count(F.lit(1)).alias("members"))
+    least = materialize(least, "leasts")
+    alone = named.where(F.col("root").isNull()).select("c", "rep", F.col("rep").alias("class_id"), F.lit(0).cast("long").alias("n_links"), "n_copies", F.lit(True).alias("stays"))
+    linked = join_by_key(named.where(F.col("root").isNotNull()), least, "root", "members", least.agg(F.sum("members")).first()[0] or 0)
+    out = materialize(alone.unionByName(linked.select("c", "rep", F.col("least.rep").alias("class_id"), "n_links", "n_copies", (F.col("least.c") == F.col("c")).alias("stays"))), "named")
+    discard(classes, links, named, least)
     return out
 
 
 def jaccard_join(docs: DataFrame, similarity: float = SIMILARITY, recall: float = RECALL) -> DataFrame:
     """A row for each row of docs: doc_id, class_id, n_links, n_copies."""
-    named = classes_of(docs, similarity, recall)
-    return keyed(docs, ["doc_id"]).select("doc_id", "c").join(named, "c").select("doc_id", "class_id", "n_links", "n_copies")
+    named = classes_of(docs, similarity, recall).select("c", "class_id", "n_links", "n_copies", F.col("n_copies").alias("rows"))
+    total = named.agg(F.sum("rows")).first()[0] or 0
+    return join_by_key(keyed(docs, ["doc_id"]).select("doc_id", "c"), named, "c", "rows", total).select("doc_id", "class_id", "n_links", "n_copies")
 
 
 def first_of_classes(docs: DataFrame, similarity: float = SIMILARITY, recall: float = RECALL) -> DataFrame:
