@@ -3,7 +3,7 @@
 A line goes if an earlier line (by doc_id, then line number) is equal or within EDITS single-character
 edits. Where the shorter of two lines has under MIN_CHARS characters, so many edits are allowed as are
 the same share of it: one from 16 characters, none below, where two edits make another word of a
-word. Equal lines go at every length. With short=False lines under MIN_CHARS stay altogether.
+word. So edits=10, least=100 is a bound of a tenth of the length up to 100 characters. Equal lines go at every length. With short=False lines under MIN_CHARS stay altogether.
 Lines within EDITS edits share one of EDITS + 1 segments: each line is indexed by its own segments
 under (its length, segment number, segment) and probes, for each length that is up to EDITS smaller,
 the substrings that could be such a segment given where it would have to lie. Keys that bring
@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, read_documents, shuffle_parts, slices, with_fields
+from .common import buckets_for, by_part, dealt, materialize, read_documents, shuffle_parts, slices, with_fields
 from .repeats import STEP, Sums, blobs_by_part, joined, keyed, mix, pack, pick, unpack
 
 EDITS, MIN_CHARS = 2, 32
@@ -171,7 +171,12 @@ ASKED = (("key", "<u8"), ("p", "<u4"), ("role", "u1"))
 
 
 def meet(batches):
-    """One partition: line numbers that go because the line came before; keys under which different lines meet."""
+    """Parts one after another: line numbers that go because the line came before; keys under which different lines meet."""
+    for part in by_part(batches):
+        yield from meet_part(part)
+
+
+def meet_part(batches):
     lines, keys, gone = [], [], []
     for batch in batches:
         for kind, blob in zip(batch.column("kind").to_pylist(), batch.column("blob").to_pylist(), strict=True):
@@ -333,10 +338,10 @@ def gone_batch(rows: list[tuple[int, int, int]]) -> pa.RecordBatch:
 
 def gone_lines(docs: DataFrame, edits: int = EDITS, least: int = MIN_CHARS, short: bool = True) -> DataFrame:
     """k, h, gone: of each row with lines to remove, packed line numbers, several times where several things remove them."""
-    spark, parts = docs.sparkSession, shuffle_parts(docs)
+    parts, buckets = shuffle_parts(docs), buckets_for(docs)
     full = max(least, edits + 1)
     rows = keyed(docs, [])
-    met = rows.mapInArrow(send(edits, full, 1 if short else full, parts), SENT).repartitionById(parts, F.col("part")).mapInArrow(meet, MET)
+    met = dealt(rows.mapInArrow(send(edits, full, 1 if short else full, buckets), SENT), buckets).mapInArrow(meet, MET)
     met = materialize(met, "lines")
     asked = met.where(F.col("asked").isNotNull()).groupBy("k", "h").agg(F.collect_list("asked").alias("asked"))
     told = rows.join(asked, ["k", "h"]).select("k", "h", "text", "asked").mapInArrow(fetch, TOLD)
