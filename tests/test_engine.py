@@ -370,3 +370,24 @@ def test_best_of_each_run(spark, monkeypatch):
                 for i, doc in enumerate(part.sort_values([col, "docno"], ascending=[False, True])["docno"].head(10)):
                     want[g, q, i + 1] = doc
         assert got == want
+
+
+def test_best_of_each_run_by_a_part_of_the_documents(spark):
+    x = spark.range(4000).select((F.col("id") % 2).cast("string").alias("qid"), F.col("id").cast("string").alias("docno"), F.round(F.rand(1), 2).alias("a"), F.when(F.col("id") < 4, F.col("id") * 1.0).alias("c"))
+    x = pruning.written(x)
+    rows = lambda df: sorted((r["g"], r["qid"], r["rank"], r["docno"]) for r in df.collect())
+    part = x.where(F.pmod(F.hash("docno"), F.lit(retrieval.PARTS)) == 0).withColumn("_cell", retrieval.cell_of(F.col("docno"), 10))
+    least = retrieval.least_of_best(part, ["a", "c"], 10)
+    assert least.where("_least_a > 0 AND _least_c IS NULL").count() == 2
+    want = rows(retrieval.top_k_of_each(x, {"A": "a", "C": "c"}, 10))
+    assert rows(retrieval.top_k_of_each(x, {"A": "a", "C": "c"}, 10, least)) == want
+    assert rows(retrieval.top_k_of_each(x, {"A": "a", "C": "c"}, 10, least.where("qid = '0'"))) == want  # no bound for a query
+
+
+def test_scores_of_all_topics_and_documents_are_never_written(spark, monkeypatch):
+    from passagemill.plans import registry
+
+    written = []
+    monkeypatch.setattr(registry, "materialize", lambda df, name, make=registry.materialize: written.append(name) or make(df, name))
+    assert registry.runs_long(spark, "/root/testdata/sf0.001", ("itn",), (0.3,)).count() > 0
+    assert "sums" not in written and "runs" in written
