@@ -83,3 +83,17 @@ def test_no_corpus_and_lone_passage(spark):
     assert lm.perplexity(empty).collect() == []
     lone = spark.createDataFrame([("1", "a b a")], "docno string, text string")
     assert lm.perplexity(lone).first()["quality"] == pytest.approx(-1.0)  # nothing is known: one unknown word
+
+
+def test_statistics_of_pairs_meet_pairs(spark, monkeypatch):
+    written = {}
+
+    def watched(df, name, make=lm.materialize):
+        out = make(df, name)
+        written[name] = (out.columns, out.count())
+        return out
+
+    monkeypatch.setattr(lm, "materialize", watched)
+    lm.perplexity(spark.createDataFrame([(str(i), t) for i, t in enumerate(TEXTS)], "docno string, text string")).collect()
+    assert written["known-pairs"][1] == written["pairs"][1] < written["known"][1] == written["trigrams"][1]
+    assert {"total_v", "before_w"} <= set(written["known-pairs"][0])
