@@ -23,6 +23,8 @@ from pyspark.sql import functions as F
 
 from ..functions import vectors as vx
 from ..tables import materialize
+from . import products as px
+from .products import matrix
 from .retrieval import QUERY_BLOCK, top_k
 
 CELLS, LLOYD, PROBES = 64, 6, 8  #: cells of an index, iterations, cells of a query that are read first
@@ -42,10 +44,6 @@ def fingerprint(vectors: DataFrame) -> str:
     return f"{one['n']}-{int(one['s'])}-{one['x']}"
 
 
-def _matrix(column: pa.Array) -> np.ndarray:
-    return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
-
-
 def _nearest(x: np.ndarray, centroids: np.ndarray) -> np.ndarray:
     return ((centroids * centroids).sum(1) - 2 * x @ centroids.T).argmin(1)
 
@@ -53,7 +51,7 @@ def _nearest(x: np.ndarray, centroids: np.ndarray) -> np.ndarray:
 def learn(vectors: DataFrame, cells: int = CELLS, rounds: int = LLOYD) -> np.ndarray:
     """Centroids of docno, doc_vec. They start as the vectors with the least hashes of docno; a cell that loses all vectors keeps its centroid."""
     first = vectors.select("doc_vec", F.xxhash64("docno").alias("h")).orderBy("h", "doc_vec").limit(cells).select("doc_vec").toArrow()
-    centroids = _matrix(first.column("doc_vec").combine_chunks()) if len(first) else np.zeros((0, 1))
+    centroids = matrix(first.column("doc_vec").combine_chunks()) if len(first) else np.zeros((0, 1))
     for _ in range(rounds if len(centroids) else 0):
         sent = vectors.sparkSession.sparkContext.broadcast(centroids)
 
@@ -62,7 +60,7 @@ def learn(vectors: DataFrame, cells: int = CELLS, rounds: int = LLOYD) -> np.nda
             sums, n = np.zeros(known.shape), np.zeros(len(known))
             for batch in batches:
                 for i in range(0, batch.num_rows, BLOCK):
-                    x = _matrix(batch.column("doc_vec").slice(i, BLOCK))
+                    x = matrix(batch.column("doc_vec").slice(i, BLOCK))
                     cell = _nearest(x, known)
                     np.add.at(sums, cell, x)
                     n += np.bincount(cell, minlength=len(known))
@@ -85,7 +83,7 @@ def assigned(vectors: DataFrame, centroids: np.ndarray) -> DataFrame:
         for batch in batches:
             for i in range(0, batch.num_rows, BLOCK):
                 some = batch.slice(i, BLOCK)
-                x = _matrix(some.column("doc_vec"))
+                x = matrix(some.column("doc_vec"))
                 cell = _nearest(x, sent.value)
                 far = np.sqrt(((x - sent.value[cell]) ** 2).sum(1))
                 yield pa.RecordBatch.from_arrays([some.column("docno"), some.column("doc_vec"), pa.array(cell.astype(np.int32)), pa.array(far)], ["docno", "doc_vec", "cell", "far"])
@@ -100,7 +98,8 @@ def write(vectors: DataFrame, path: str, cells: int = CELLS) -> str:
     centroids = learn(vectors, cells)
     dealt = assigned(vectors, centroids)
     # hot cells are cut by docno's hash: a range partition holds a share of rows, not a cell
-    dealt.withColumn("_h", F.xxhash64("docno")).repartitionByRange("cell", "_h").sortWithinPartitions("cell").drop("_h").write.parquet(f"{path}/vectors")
+    parts = max(2 * spark.sparkContext.defaultParallelism, int(mark.split("-")[0]) // 50_000)
+    dealt.withColumn("_h", F.xxhash64("docno")).repartitionByRange(parts, "cell", "_h").sortWithinPartitions("cell").drop("_h").write.parquet(f"{path}/vectors")
     sizes = spark.read.parquet(f"{path}/vectors").groupBy("cell").agg(F.max("far").alias("radius"), F.count(F.lit(1)).alias("n"))
     known = spark.createDataFrame([(i, c.tolist()) for i, c in enumerate(centroids)], "cell int, centroid array<double>")  # cells x components numbers
     known.join(sizes, "cell").coalesce(1).write.parquet(f"{path}/cells")
@@ -141,9 +140,12 @@ def _search_block(index: DenseIndex, queries: DataFrame, k: int, exact: bool, pr
     order = F.desc("bound" if exact else "middle")
     cells = materialize(every.withColumn("place", F.row_number().over(Window.partitionBy("qid").orderBy(order, "cell"))), "cells")
 
-    def scored(wanted: DataFrame) -> DataFrame:
-        met = index.vectors.join(F.broadcast(wanted.select("qid", "cell")), "cell").join(F.broadcast(queries), "qid")  # QUERY_BLOCK x CELLS rows at most
-        return met.select("qid", "docno", F.round(vx.dot(F.col("doc_vec"), F.col("query_vec")), places).alias("score"))
+    asked = queries.select("qid", "query_vec").toArrow()
+    ids = asked.column("qid").combine_chunks()
+
+    def scored(wanted: DataFrame, least: DataFrame | None = None) -> DataFrame:
+        pairs = px.of_queries(ids, wanted.select("qid", "cell").toArrow())  # QUERY_BLOCK x CELLS rows at most
+        return px.best(index.vectors, asked, k, places, pairs, None if least is None else px.of_queries(ids, least.select("qid", "_least").toArrow(), "_least"))
 
     first = materialize(top_k(scored(cells.where(F.col("place") <= probes)), k), "first-cells")
     hopeful = cells.withColumn("read", F.col("place") <= probes)
@@ -151,7 +153,7 @@ def _search_block(index: DenseIndex, queries: DataFrame, k: int, exact: bool, pr
         least = first.where(F.col("rank") == k).select("qid", F.col("score").alias("_least"))
         room = 1e-9 * (1 + F.abs("bound")) + 10.0**-places  # rounding of sums and of scores
         hopeful = hopeful.join(least, "qid", "left").withColumn("read", F.col("read") | F.col("_least").isNull() | (F.col("bound") + room >= F.col("_least")))
-        first = top_k(first.drop("rank").unionByName(scored(hopeful.where(F.col("read") & (F.col("place") > probes)))), k)
+        first = top_k(first.drop("rank").unionByName(scored(hopeful.where(F.col("read") & (F.col("place") > probes)), least)), k)
     return first, hopeful.groupBy("qid").agg(F.sum("n").alias("vectors"), F.sum(F.when(F.col("read"), F.col("n")).otherwise(0)).alias("scored"))
 
 

@@ -50,3 +50,11 @@ def test_odd_vectors_and_queries(spark, vectors):
     for some in (every.where("docno = 'o1'"), every.where("docno = 'x'")):
         assert rows(rt.dense_search(some, q, 3, 9)) == pairs(some, q, 3)
         assert rows(rt.dense_search(every, some.select(F.col("docno").alias("qid"), F.col("doc_vec").alias("query_vec")), 3, 9)) == pairs(every, some.select(F.col("docno").alias("qid"), F.col("doc_vec").alias("query_vec")), 3)
+
+
+def test_stored_search_meets_no_pairs_in_joins(spark, vectors, tmp_path):
+    path = f"{tmp_path}/index"
+    found, read = dx.search(dx.open_index(spark, path, dx.write(vectors, path, 8)), asked(vectors), 7, probes=2)
+    assert rows(found) == pairs(vectors, asked(vectors), 7)
+    assert "Join" not in found._jdf.queryExecution().executedPlan().toString()
+    assert read.count() == asked(vectors).count()
