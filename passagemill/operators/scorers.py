@@ -6,6 +6,7 @@ Lexical scorers run in Spark. Scorers that need a model plug in through model_sc
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -13,9 +14,11 @@ from pyspark.sql import functions as F
 
 from ..functions import text as tx
 from ..functions import vectors as vx
+from ..tables import materialize
 from .language_model import perplexity
 
 LAMBDA, NO_TERMS = 0.99, -999.0
+SENT = 100_000  #: terms of the background that are sent to all rows
 
 
 def lexical_features(corpus: DataFrame, stop_words: tuple[str, ...] | list[str] = tuple(tx.STOP_WORDS)) -> DataFrame:
@@ -75,21 +78,54 @@ def background(corpus: DataFrame, limit: int | None = None, stemmed: bool = Fals
     return counts.crossJoin(F.broadcast(counts.agg(F.sum("tf").alias("all")))).select("term", (F.col("tf") / F.col("all")).alias("p"))  # one row
 
 
+def counted(corpus: DataFrame, stemmed: bool = False) -> DataFrame:
+    """docno, _row, n, terms and tfs of each row of corpus, written: texts are taken apart once, whatever reads them."""
+    return materialize(tx.counted_terms(corpus.select("docno", F.monotonically_increasing_id().alias("_row"), "text"), ["docno", "_row"], stemmed), "terms")
+
+
 def cdd(corpus: DataFrame, model: DataFrame | None = None, stemmed: bool = False, limit: int | None = None) -> DataFrame:
-    """Negative distance of each row's smoothed term model from the background; NO_TERMS without terms.
+    """Negative distance of each row's smoothed term model from the background; NO_TERMS without terms."""
+    return cdd_of_terms(counted(corpus, stemmed), model if model is not None or limit is None else background(corpus, limit, stemmed))
+
+
+def frequent(model: DataFrame, most: int) -> tuple[DataFrame, DataFrame]:
+    """The most probable terms of term, p, most of them or fewer, and the others. They are cut at a power of two, so what is gathered is a count for each power."""
+    power = F.floor(F.log2("p"))
+    taken, cut = 0, None
+    for r in sorted(model.groupBy(power.alias("at")).agg(F.count(F.lit(1)).alias("n")).where("at is not null").collect(), key=lambda r: -r["at"]):
+        taken += r["n"]
+        if taken > most:
+            break
+        cut = r["at"]
+    often = F.lit(False) if cut is None else F.coalesce(power >= cut, F.lit(False))
+    return model.where(often), model.where(~often)
+
+
+def cdd_of_terms(rows: DataFrame, model: DataFrame | None = None) -> DataFrame:
+    """cdd of rows as counted() writes them.
 
     Terms that a document lacks contribute P(t) log2(1 / (1 - LAMBDA)) each, so their sum follows from
-    the terms that it has: one equi-join instead of a pass over the vocabulary for each document.
+    the terms that it has. SENT terms of the background, the most frequent ones, are sent to the rows;
+    only the postings of all others are shuffled.
     """
-    rows = tx.with_terms(corpus.select("docno", F.monotonically_increasing_id().alias("_row"), "text"), stemmed)
-    own = tx.exploded_terms(rows, ["docno", "_row", "n"])
-    known = own.join(model if model is not None else background(corpus, limit, stemmed), "term", "left")
-    mixed = LAMBDA * F.col("tf") / F.col("n") + (1 - LAMBDA) * F.col("p")
-    sums = known.groupBy("_row", "docno").agg(F.sum("p").alias("p"), F.sum(F.col("p") * F.log2(F.col("p") / mixed)).alias("s"))
+    if model is None:
+        counts = materialize(tx.exploded_terms(rows, []).groupBy("term").agg(F.sum("tf").alias("tf")), "background")
+        model = counts.crossJoin(F.broadcast(counts.agg(F.sum("tf").alias("all")))).select("term", (F.col("tf") / F.col("all")).alias("p"))  # one row
+    else:
+        model = materialize(model.select("term", "p"), "background")
+    often, seldom = frequent(model, SENT)
+    own = tx.exploded_terms(rows, ["_row", "n"]).select("_row", "term", (LAMBDA * F.col("tf") / F.col("n")).alias("own"))
+    mixed = F.col("own") + (1 - LAMBDA) * F.col("p")
+
+    def sums(known: DataFrame) -> DataFrame:
+        return known.groupBy("_row").agg(F.sum("p").alias("p"), F.sum(F.col("p") * F.log2(F.col("p") / mixed)).alias("s")).withColumns({"docno": F.lit(None).cast("string"), "n": F.lit(None).cast("int")})
+
+    parts = [sums(own.join(F.broadcast(often), "term")), rows.select("_row", F.lit(None).cast("double").alias("p"), F.lit(None).cast("double").alias("s"), "docno", "n")]
+    if not seldom.isEmpty():
+        parts.append(sums(own.join(F.broadcast(often.select("term")), "term", "left_anti").join(seldom, "term")))
+    one = reduce(DataFrame.unionByName, parts).groupBy("_row").agg(F.max("docno").alias("docno"), F.max("n").alias("n"), F.sum("p").alias("p"), F.sum("s").alias("s"))
     absent = (1 - F.coalesce("p", F.lit(0.0))) * F.log2(F.lit(1 / (1 - LAMBDA)))
-    scored = sums.select("docno", (-(absent + F.coalesce("s", F.lit(0.0)))).alias("quality"))
-    empty = corpus.where(F.size(tx.tokens(F.col("text"))) == 0)
-    return scored.unionByName(empty.select("docno", F.lit(NO_TERMS).alias("quality")))
+    return one.select("docno", F.when(F.col("n") == 0, NO_TERMS).otherwise(-(absent + F.coalesce("s", F.lit(0.0)))).alias("quality"))
 
 
 def magnitude(vectors: DataFrame, column: str = "doc_vec") -> DataFrame:
