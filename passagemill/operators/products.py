@@ -68,19 +68,35 @@ def _k_best(pairs: pa.Table, k: int) -> tuple[pa.Table, np.ndarray]:
     return pairs.filter(pa.array(place < k)), place[place < k]
 
 
-def best_of_task(batches: Iterator[pa.RecordBatch], ids: pa.Array, q: np.ndarray, k: int, places: int | None, wanted: np.ndarray | None, least: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """qid, docno, score of the k best of a task's vectors for each query. wanted: which queries (rows) ask for which cells, where the vectors have a cell. least: scores that the k best of all reach."""
-    least, norms, columns = least.copy(), np.sqrt((q * q).sum(1)), np.ascontiguousarray(q.T)
-    unit = 0.0 if places is None else 10.0**-places
-    held: list[pa.Table] = []
+class Kept:
+    """The k best pairs of each query that a task has seen, and for each query a score that they reach."""
+
+    def __init__(self, queries: int, k: int, least: np.ndarray | None = None) -> None:
+        self.k, self.least, self.held = k, np.full(queries, -np.inf) if least is None else least.copy(), []
+
+    def add(self, at: np.ndarray, score: np.ndarray, docno: pa.Array) -> None:
+        self.held.append(pa.table({"at": at, "score": score, "docno": docno}))
+        if sum(map(len, self.held)) > max(HELD, 2 * self.k * len(self.least)):
+            self.keep()
 
-    def keep() -> None:
-        some, place = _k_best(pa.concat_tables(held), k)
-        last = place == k - 1
-        at, score = some.column("at").to_numpy()[last], some.column("score").to_numpy()[last]
-        least[at] = np.maximum(least[at], score)
-        held[:] = [some]
+    def keep(self) -> None:
+        some, place = _k_best(pa.concat_tables(self.held), self.k)
+        last = place == self.k - 1
+        at = some.column("at").to_numpy()[last]
+        self.least[at] = np.maximum(self.least[at], some.column("score").to_numpy()[last])
+        self.held = [some]
 
+    def batches(self) -> Iterator[pa.RecordBatch]:
+        if self.held:
+            self.keep()
+            yield from self.held[0].to_batches()
+
+
+def best_of_task(batches: Iterator[pa.RecordBatch], ids: pa.Array, q: np.ndarray, k: int, places: int | None, wanted: np.ndarray | None, least: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """qid, docno, score of the k best of a task's vectors for each query. wanted: which queries (rows) ask for which cells, where the vectors have a cell. least: scores that the k best of all reach."""
+    norms, columns = np.sqrt((q * q).sum(1)), np.ascontiguousarray(q.T)
+    unit, held = 0.0 if places is None else 10.0**-places, Kept(len(q), k, least)
+    least = held.least
     for batch in batches:
         for i in range(0, batch.num_rows, ROWS):
             some = batch.slice(i, ROWS)
@@ -99,13 +115,9 @@ def best_of_task(batches: Iterator[pa.RecordBatch], ids: pa.Array, q: np.ndarray
                 at, row = np.nonzero(~(near < (least[asked] - room)[:, None]))
                 row, at = of_cell[row], asked[at]
                 score = rounded(_added_up(x.T, columns, row, at), places)
-                held.append(pa.table({"at": at, "score": score, "docno": some.column("docno").take(pa.array(row))}))
-            if sum(map(len, held)) > max(HELD, 2 * k * len(q)):
-                keep()
-    if held:
-        keep()
-        for batch in held[0].to_batches():
-            yield pa.RecordBatch.from_arrays([ids.take(batch.column("at")), batch.column("docno"), batch.column("score")], ["qid", "docno", "score"])
+                held.add(at, score, some.column("docno").take(pa.array(row)))
+    for some in held.batches():
+        yield pa.RecordBatch.from_arrays([ids.take(some.column("at")), some.column("docno"), some.column("score")], ["qid", "docno", "score"])
 
 
 def best(vectors: DataFrame, queries: pa.Table, k: int, places: int | None = None, wanted: np.ndarray | None = None, least: np.ndarray | None = None) -> DataFrame:

@@ -152,6 +152,8 @@ def model_scorer(score: Callable[[list[str]], list[float]] | Callable[[], Callab
     return scorer
 
 
+#: Scorers that a row of counted() says by itself.
+OF_COUNTS: dict[str, Callable[[], Column]] = {"itn": lambda: tx.safe_divide(F.size("terms").cast("double"), F.col("n").cast("double")), "length": lambda: F.col("n").cast("double")}
 Scorer = Callable[[DataFrame], DataFrame]
 _SCORERS: dict[str, Scorer] = {"itn": itn, "itn_stemmed": lambda c: itn(c, stemmed=True), "cdd": cdd, "cdd_stemmed": lambda c: cdd(c, stemmed=True), "perplexity": perplexity, "length": lambda c: c.select("docno", F.size(tx.tokens(F.col("text"))).cast("double").alias("quality"))}
 
