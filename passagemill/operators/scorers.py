@@ -78,9 +78,9 @@ def background(corpus: DataFrame, limit: int | None = None, stemmed: bool = Fals
     return counts.crossJoin(F.broadcast(counts.agg(F.sum("tf").alias("all")))).select("term", (F.col("tf") / F.col("all")).alias("p"))  # one row
 
 
-def counted(corpus: DataFrame, stemmed: bool = False) -> DataFrame:
-    """docno, _row, n, terms and tfs of each row of corpus, written: texts are taken apart once, whatever reads them."""
-    return materialize(tx.counted_terms(corpus.select("docno", F.monotonically_increasing_id().alias("_row"), "text"), ["docno", "_row"], stemmed), "terms")
+def counted(corpus: DataFrame, stemmed: bool = False, also: tuple | None = None) -> DataFrame:
+    """docno, _row, n, terms and tfs (and also's column) of each row of corpus, written: texts are taken apart once, whatever reads them."""
+    return materialize(tx.counted_terms(corpus.select("docno", F.monotonically_increasing_id().alias("_row"), "text"), ["docno", "_row"], stemmed, also), "terms")
 
 
 def cdd(corpus: DataFrame, model: DataFrame | None = None, stemmed: bool = False, limit: int | None = None) -> DataFrame:
